@@ -72,3 +72,16 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
         return batches_of(function(rows_of(batches)), arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, wanted, columns: list[str]) -> DataFrame:
+    """Rows of docs, all columns as they are, for which wanted(*values) holds; values are UTF-8, null as empty."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            parts = [pa.array(batch.column(c)).cast(pa.string()).cast(pa.binary()) for c in columns]
+            mask = [bool(wanted(*(x.as_py() or b"" for x in row))) for row in zip(*parts, strict=True)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

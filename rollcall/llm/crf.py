@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
+from .common import keep_rows, map_rows, texts
 
 SAMPLE, SAMPLE_LINES = 4000, 400
 STEPS, RATE, DECAY = 150, 0.1, 1e-3
@@ -200,3 +200,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     out = map_rows(texts(docs), run, "doc_id long, score double")
     return out.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
+
+
+def filtered(docs: DataFrame, model: Model, least: float = GOOD_FROM) -> DataFrame:
+    """The rows of docs whose text scores at least that much, in one pass."""
+    return keep_rows(docs, lambda text: model.score(text) >= least, ["text"])
