@@ -143,7 +143,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     a = s.withColumnsRenamed({"doc_id": "a"} | {f"w{k}": f"a{k}" for k in range(words)})
     b = s.withColumnsRenamed({"doc_id": "b"} | {f"w{k}": f"b{k}" for k in range(words)})
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(words)), F.lit(0))
-    return pairs.join(a, "a").join(b, "b").filter(differ <= MOST_BITS).select(*pairs.columns)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", differ.alias("differ")).filter(F.col("differ") <= MOST_BITS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,30 +180,39 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1")
     rows = kept(rows.join(firsts, "bucket"), "buckets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = kept(_likely(pairs, reps), "likely-pairs")
-        return kept(_confirmed(docs, pairs, percent).select("a", "b"), "links")
+    def confirm(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links and components with those of pairs; each document's most likely partner comes first, the rest
+        only where it still joins components."""
+        likely = kept(_likely(pairs, reps), "likely-pairs")
+        best = likely.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        for first in (True, False):
+            some = best if first else likely.select("a", "b")
+            if comps is not None:
+                ca, cb = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+                some = some.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+            new = kept(_confirmed(docs, kept(some, "pairs"), percent).select("a", "b"), "links")
+            links = new if links is None else links.union(new)
+            comps = kept(components(links), "components")
+        return links, comps
 
     # Round 1: each bucket's members and its smallest one.
     stars = rows.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    links = confirm(stars)
-    comps = kept(components(links), "components")
+    links, comps = confirm(stars, None, None)
 
     # Round 2: small buckets in which several components meet, in full.
-    def meeting(rows: DataFrame) -> DataFrame:
+    def meeting(rows: DataFrame, comps: DataFrame) -> DataFrame:
         now = _labelled(rows.select("doc_id", "bucket", "first", "size"), comps)
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
         return now.join(mixed, "bucket")
 
-    left = kept(meeting(rows), "meeting")
+    left = kept(meeting(rows, comps), "meeting")
     few = left.filter(F.col("size") <= SMALL)
     x, y = few.select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), "first"), few.select("bucket", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
     pairs = x.join(y, "bucket").filter("a > b and ca != cb and b != first").select("a", "b").distinct()
-    links = links.union(confirm(pairs))
-    comps = kept(components(links), "components")
+    links, comps = confirm(pairs, links, comps)
 
     # Round 3: large buckets, by distance from the smallest member.
-    many = kept(meeting(left.filter(F.col("size") > SMALL).drop("comp")), "meeting-many")
+    many = kept(meeting(left.filter(F.col("size") > SMALL).drop("comp"), comps), "meeting-many")
     if not many.isEmpty():
         width = 1 - percent / 100
         stars = many.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
@@ -212,8 +221,7 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         x = placed.select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("far").alias("fa"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
         y = placed.select("bucket", "cell", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("far").alias("fb"), "first")
         pairs = x.join(y, ["bucket", "cell"]).filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("b") != F.col("first")) & (F.abs(F.col("fa") - F.col("fb")) <= width + 1e-9)).select("a", "b").distinct()
-        links = links.union(confirm(pairs))
-        comps = kept(components(links), "components")
+        links, comps = confirm(pairs, links, comps)
 
     whole = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left")
