@@ -105,7 +105,14 @@ class Vocabulary:
 def vocabulary(counted: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the share of each unit, from (word, n)."""
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counted.filter(f"length(word) between 1 and {HEAD_BYTES}").orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    # Whole steps of a logarithmic scale, from the top, while they hold HEAD words at most: no sort, few rows to the driver.
+    short = counted.filter(f"length(word) between 1 and {HEAD_BYTES}").withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    least, held = 1 << 30, 0
+    for r in sorted(short.groupBy("step").count().collect(), reverse=True):
+        if (held := held + r["count"]) > HEAD:
+            break
+        least = r.step
+    top = sorted(short.filter(F.col("step") >= least).select("word", "n").collect(), key=lambda r: (-r.n, bytes(r.word)))
     ends = counted.filter("length(word) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = [END] + [bytes(r.word) for r in top]
     n = np.array([ends] + [r.n for r in top], np.int64)

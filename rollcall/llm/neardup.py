@@ -12,7 +12,7 @@ on. Small ones (up to SMALL members) are paired in full; in larger ones the Jacc
 metric, says which pairs can still be linked: two members whose distances from the bucket's smallest differ
 by more than 1 - threshold cannot, and the rest are joined on cells of that width.
 
-Edge cases: null and empty texts have an empty set and are linked with nothing; texts of fewer than five words
+Edge cases: a row without an id keeps its own place, linked with nothing; null and empty texts have an empty set and are linked with nothing; texts of fewer than five words
 are one shingle; repeated rows (equal ids) are one document and each gets a row; an empty table gives no rows.
 """
 
@@ -172,7 +172,7 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     signed = kept(signatures(docs), "signatures")
-    full = signed.filter("n_shingles > 0")
+    full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = kept(classes, "classes")
     reps = kept(full.join(classes, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]), "representatives")
@@ -224,5 +224,5 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         links, comps = confirm(pairs, links, comps)
 
     whole = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), (F.coalesce("comp", "doc_id") == F.col("doc_id")).alias("kept"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(whole, "set_hash", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("comp", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
