@@ -16,7 +16,7 @@ LEAST_QUALITY = crf.GOOD_FROM
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
