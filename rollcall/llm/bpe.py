@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, texts
 
-MEMO_CHUNKS, MEMO_BYTES = 700_000, 40  # entries kept, and the longest chunk that is kept
+MEMO_CHUNKS, MEMO_BYTES = 500_000, 40  # entries kept, and the longest chunk that is kept
 #: White space as the vocabulary's patterns know it; Python's own also has U+001C to U+001F.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")

@@ -63,12 +63,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
 
 
+BATCH_ROWS = 256  # rows of whole texts that a task exchanges with Python at a time
+
+
+def _prepared(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with function(iterator of row tuples) -> iterator of row tuples; schema: 'name type, ...'."""
-    ship(df.sparkSession)
+    _prepared(df.sparkSession)
     arrow = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         return batches_of(function(rows_of(batches)), arrow)
 
     return df.mapInArrow(run, schema)
@@ -76,9 +85,10 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
 
 def keep_rows(docs: DataFrame, wanted, columns: list[str]) -> DataFrame:
     """Rows of docs, all columns as they are, for which wanted(*values) holds; values are UTF-8, null as empty."""
-    ship(docs.sparkSession)
+    _prepared(docs.sparkSession)
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             parts = [pa.array(batch.column(c)).cast(pa.string()).cast(pa.binary()) for c in columns]
             mask = [bool(wanted(*(x.as_py() or b"" for x in row))) for row in zip(*parts, strict=True)]

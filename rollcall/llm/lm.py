@@ -35,8 +35,8 @@ END = b""  # no word is empty
 MODEL_WORDS, SUFFIXES = 1500, 256
 HEAD, HEAD_BYTES = 200_000, 64  # words that tasks know, and their longest
 SIZE, NOISE, STEP_TOKENS, RATE = 24, 32, 8192, 0.08
-FLUSH = 400_000  # distinct words that a task counts before it passes them on
-BATCH_TOKENS = 400_000
+FLUSH = 250_000  # distinct words that a task counts before it passes them on
+BATCH_TOKENS = 200_000
 UNITS = MODEL_WORDS + 1 + SUFFIXES
 SEED = 11
 

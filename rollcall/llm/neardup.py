@@ -31,7 +31,7 @@ SAMPLES = BANDS * ROWS
 BITS = 1024  # of an odd sketch
 SKETCH_LEAST = 0.55  # an estimate below this cannot be a link; five standard deviations away
 SMALL = 24
-MEMO = 500_000
+MEMO = 250_000
 
 _RNG = np.random.default_rng(20240601)
 FACTOR = _RNG.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
