@@ -29,9 +29,8 @@ WORDS, THRESHOLD = 5, 75  # shingle length; percent
 BANDS, ROWS = 36, 5
 SAMPLES = BANDS * ROWS
 BITS = 1024  # of an odd sketch
-SKETCH_LEAST = 0.55  # an estimate below this cannot be a link; five standard deviations away
+SKETCH_LEAST = 0.6  # an estimate below this cannot be a link; more than four standard deviations away
 SMALL = 24
-MARGIN = 0.15  # of a distance that sketches suggest for near copies; four standard deviations
 MEMO = 250_000
 
 _RNG = np.random.default_rng(20240601)
@@ -137,14 +136,14 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return map_rows(rows, run, "a long, b long, shared long, total long").dropDuplicates(["a", "b"])
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose sketches don't rule a link out."""
     words = BITS // 64
     s = sketches.select("doc_id", *[F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(words)])
     a = s.withColumnsRenamed({"doc_id": "a"} | {f"w{k}": f"a{k}" for k in range(words)})
     b = s.withColumnsRenamed({"doc_id": "b"} | {f"w{k}": f"b{k}" for k in range(words)})
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(words)), F.lit(0))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", differ.alias("differ")).filter(F.col("differ") <= most)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", differ.alias("differ")).filter(F.col("differ") <= MOST_BITS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,21 +211,19 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     pairs = x.join(y, "bucket").filter("a > b and ca != cb and b != first").select("a", "b").distinct()
     links, comps = confirm(pairs, links, comps)
 
-    # Round 3: large buckets. Members outside the component of the smallest one get their exact distance from it;
-    # those inside, often very many, the distance that sketches suggest, with a margin.
+    # Round 3: large buckets in which components meet. Members get their exact distance from the smallest one; those
+    # outside its component are held against the others in reach.
     many = meeting(left.filter(F.col("size") > SMALL).drop("comp"), comps)
     many = many.join(comps.select(F.col("node").alias("first"), F.col("comp").alias("home")), "first", "left").withColumn("home", F.coalesce("home", "first"))
     many = kept(many, "meeting-many")
     if not many.isEmpty():
         width = 1 - percent / 100
-        outside = many.filter("comp != home")
-        far = _confirmed(docs, kept(outside.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "pairs"), 0)
-        far = far.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), (1 - F.col("shared") / F.col("total")).alias("far"))
-        outside = kept(outside.join(far, ["doc_id", "first"]).select("bucket", "first", "doc_id", "comp", "far"), "outside")
-        inside = many.filter("comp = home").join(outside.select("bucket").distinct(), "bucket", "left_semi")
-        guess = _likely(inside.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), reps, BITS)
-        guess = guess.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), (-F.lit(BITS / (4 * SAMPLES)) * F.log(F.greatest(1 - F.col("differ") * (2 / BITS), F.lit(1e-9)))).alias("far"))
-        inside = inside.join(guess, ["doc_id", "first"]).select("bucket", "first", "doc_id", "comp", "far")
+        mixed = many.filter("comp != home").select("bucket").distinct()
+        many = many.join(mixed, "bucket", "left_semi")
+        stars = kept(many.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+        far = _confirmed(docs, stars, 0).select(F.col("a").alias("doc_id"), F.col("b").alias("first"), (1 - F.col("shared") / F.col("total")).alias("far"))
+        placed = kept(many.join(far, ["doc_id", "first"]).select("bucket", "first", "doc_id", "comp", "home", "far"), "placed")
+        outside = placed.filter("comp != home")
 
         def reach(others: DataFrame, width: float) -> DataFrame:
             cell = F.floor(F.col("far") / width).cast("int")
@@ -235,7 +232,7 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
             near = (F.col("cx") != F.col("cy")) & (F.col("y") != F.col("first")) & (F.abs(F.col("fx") - F.col("fy")) <= width + 1e-9)
             return x.join(y, ["bucket", "cell"]).filter(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
-        pairs = reach(outside, width).union(reach(inside, width + MARGIN)).distinct()
+        pairs = reach(placed, width).distinct()
         links, comps = confirm(pairs, links, comps)
 
     whole = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
