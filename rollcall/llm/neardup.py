@@ -8,9 +8,8 @@ far; every link is then confirmed on the full sets.
 
 No bucket is ever paired with itself. In each round the bucket's members are first compared with its smallest
 one. What is then already connected needs no more links: only buckets in which several components meet go
-on. Small ones (up to SMALL members) are paired in full; in larger ones the Jaccard distance, which is a
-metric, says which pairs can still be linked: two members whose distances from the bucket's smallest differ
-by more than 1 - threshold cannot, and the rest are joined on cells of that width.
+on. Small ones (up to SMALL members) are paired in full. In larger ones, members outside the first one's
+component meet only those that share one of their rarest shingles with them (a prefix filter, which is exact).
 
 Edge cases: a row without an id keeps its own place, linked with nothing; null and empty texts have an empty set and are linked with nothing; texts of fewer than five words
 are one shingle; repeated rows (equal ids) are one document and each gets a row; an empty table gives no rows.
@@ -31,6 +30,8 @@ SAMPLES = BANDS * ROWS
 BITS = 1024  # of an odd sketch
 SKETCH_LEAST = 0.6  # an estimate below this cannot be a link; more than four standard deviations away
 SMALL = 24
+CELL_BITS = 20
+CELLS = 1 << CELL_BITS  # of the table that orders shingles by how frequent they are
 MEMO = 250_000
 
 _RNG = np.random.default_rng(20240601)
@@ -146,6 +147,65 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", differ.alias("differ")).filter(F.col("differ") <= MOST_BITS)
 
 
+def _cell_counts(held: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall into each of CELLS cells: a table of fixed size."""
+
+    def run(rows):
+        cells, size = [], 0
+
+        def sums():
+            found, n = np.unique(np.concatenate(cells), return_counts=True)
+            yield from zip(found.tolist(), n.tolist(), strict=True)
+
+        for (text,) in rows:
+            cells.append(_cells(shingles(text)))
+            size += len(cells[-1])
+            if size > CELLS:
+                yield from sums()
+                cells, size = [], 0
+        if cells:
+            yield from sums()
+
+    parts = map_rows(held.select("text"), run, "cell long, n long")
+    got = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    out = np.zeros(CELLS, np.int64)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _cells(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _sharing_rare(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members (doc_id, comp, outside) of different components, one of them outside, that can be linked.
+
+    All sets are put in one order, shingles of rare cells first. Two linked sets meet early in it: their first common
+    shingle lies in the first n - ceil(percent * n / 100) + 1 of each, and leaves enough behind it for the overlap
+    that a link needs. This holds in any order, so cells that several shingles share lose no link. A member whose
+    own rare shingles fill that prefix meets nobody, however many members its buckets have.
+    """
+    spark = docs.sparkSession
+    held = kept(texts(docs).join(members, "doc_id").select("doc_id", "comp", "outside", "text"), "texts-of-members")
+    counts = spark.sparkContext.broadcast(_cell_counts(held))
+
+    def run(rows):
+        for doc_id, comp, outside, text in rows:
+            items = shingles(text)
+            often = counts.value[_cells(items)]
+            order = np.lexsort((items, often))[: len(items) - -(-percent * len(items) // 100) + 1]
+            for at, k in enumerate(order.tolist()):
+                if often[k] > 1:  # else no other set has it
+                    yield doc_id, comp, outside, len(items), at, int(items[k]) - (1 << 63)
+
+    early = kept(map_rows(held, run, "doc_id long, comp long, outside long, n long, at long, shingle long"), "early-shingles")
+    x = early.filter("outside = 1").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "comp", "n", "at")])
+    y = early.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "comp", "n", "at")])
+    enough = F.expr(f"({100 + percent}) * (least(n_x - at_x, n_y - at_y)) >= {percent} * (n_x + n_y)")
+    met = x.join(y, "shingle").filter((F.col("comp_x") != F.col("comp_y")) & enough)
+    return met.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest id reachable, for every node of edges (a, b)."""
     both = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
@@ -211,29 +271,13 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     pairs = x.join(y, "bucket").filter("a > b and ca != cb and b != first").select("a", "b").distinct()
     links, comps = confirm(pairs, links, comps)
 
-    # Round 3: large buckets in which components meet. Members get their exact distance from the smallest one; those
-    # outside its component are held against the others in reach.
+    # Round 3: large buckets in which components meet. Members outside their bucket's first component are held
+    # against the others that share a rare shingle with them.
     many = meeting(left.filter(F.col("size") > SMALL).drop("comp"), comps)
     many = many.join(comps.select(F.col("node").alias("first"), F.col("comp").alias("home")), "first", "left").withColumn("home", F.coalesce("home", "first"))
-    many = kept(many, "meeting-many")
-    if not many.isEmpty():
-        width = 1 - percent / 100
-        mixed = many.filter("comp != home").select("bucket").distinct()
-        many = many.join(mixed, "bucket", "left_semi")
-        stars = kept(many.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-        far = _confirmed(docs, stars, 0).select(F.col("a").alias("doc_id"), F.col("b").alias("first"), (1 - F.col("shared") / F.col("total")).alias("far"))
-        placed = kept(many.join(far, ["doc_id", "first"]).select("bucket", "first", "doc_id", "comp", "home", "far"), "placed")
-        outside = placed.filter("comp != home")
-
-        def reach(others: DataFrame, width: float) -> DataFrame:
-            cell = F.floor(F.col("far") / width).cast("int")
-            x = outside.select("bucket", F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("far").alias("fx"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-            y = others.select("bucket", "first", cell.alias("cell"), F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("far").alias("fy"))
-            near = (F.col("cx") != F.col("cy")) & (F.col("y") != F.col("first")) & (F.abs(F.col("fx") - F.col("fy")) <= width + 1e-9)
-            return x.join(y, ["bucket", "cell"]).filter(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-
-        pairs = reach(placed, width).distinct()
-        links, comps = confirm(pairs, links, comps)
+    members = kept(many.groupBy("doc_id").agg(F.first("comp").alias("comp"), F.max((F.col("comp") != F.col("home")).cast("long")).alias("outside")), "members")
+    if not members.isEmpty():
+        links, comps = confirm(_sharing_rare(docs, members, percent), links, comps)
 
     whole = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(whole, "set_hash", "left")
