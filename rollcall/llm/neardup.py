@@ -251,8 +251,9 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
                 ca, cb = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
                 some = some.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
             new = kept(_confirmed(docs, kept(some, "pairs"), percent).select("a", "b"), "links")
-            links = new if links is None else links.union(new)
-            comps = kept(components(links), "components")
+            if comps is None or not new.isEmpty():
+                links = new if links is None else links.union(new)
+                comps = kept(components(links), "components")
         return links, comps
 
     # Round 1: each bucket's members and its smallest one.
