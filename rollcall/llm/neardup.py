@@ -206,9 +206,23 @@ def _sharing_rare(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
     return met.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest id reachable, for every node of edges (a, b)."""
-    both = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+def _print(edges: DataFrame) -> tuple:
+    """Count, sums and hash of distinct edges: equal only for equal sets, but for a chance of about 2^-64."""
+    return tuple(edges.agg(F.count("*"), F.sum("u"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(node, comp): the smallest id reachable, for every node of edges (a, b) and of before, an earlier result.
+
+    New edges only meet between earlier components, so stars are drawn on those and the rest follows by one join.
+    """
+    ends = edges.select("a", "b")
+    if before is not None:
+        for x in "ab":
+            top = before.select(F.col("node").alias(x), F.col("comp").alias("top"))
+            ends = ends.join(top, x, "left").withColumn(x, F.coalesce("top", x)).drop("top")
+    both = kept(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    now = _print(both)
     while True:
         # Every node's neighbours point to the smallest of them, larger ones first, then smaller ones.
         wide = both.select("u", "v").union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -216,13 +230,17 @@ def components(edges: DataFrame) -> DataFrame:
         large = wide.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        after = kept(small, "edges")
-        same = after.count() == both.count() and after.exceptAll(both).isEmpty()
-        both = after
-        if same:
+        both, last = kept(small, "edges"), now
+        now = _print(both)
+        if now == last:
             break
     tops = both.select(F.col("v").alias("node")).distinct()
-    return both.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(tops.select("node", F.col("node").alias("comp")))
+    found = both.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(tops.select("node", F.col("node").alias("comp")))
+    if before is None:
+        return found
+    up = found.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
+    moved = before.join(up, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"))
+    return moved.union(found.join(before.select("node"), "node", "left_anti").select("node", "comp"))
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -240,9 +258,9 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1")
     rows = kept(rows.join(firsts, "bucket"), "buckets")
 
-    def confirm(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Links and components with those of pairs; each document's most likely partner comes first, the rest
-        only where it still joins components."""
+    def confirm(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """Components with the links among pairs; each document's most likely partner comes first, the rest only
+        where it still joins components."""
         likely = kept(_likely(pairs, reps), "likely-pairs")
         best = likely.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         for first in (True, False):
@@ -250,15 +268,17 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
             if comps is not None:
                 ca, cb = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
                 some = some.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-            new = kept(_confirmed(docs, kept(some, "pairs"), percent).select("a", "b"), "links")
+            some = kept(some, "pairs")
+            if comps is not None and some.isEmpty():
+                continue
+            new = kept(_confirmed(docs, some, percent).select("a", "b"), "links")
             if comps is None or not new.isEmpty():
-                links = new if links is None else links.union(new)
-                comps = kept(components(links), "components")
-        return links, comps
+                comps = kept(components(new, comps), "components")
+        return comps
 
     # Round 1: each bucket's members and its smallest one.
     stars = rows.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    links, comps = confirm(stars, None, None)
+    comps = confirm(stars, None)
 
     # Round 2: small buckets in which several components meet, in full.
     def meeting(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -270,7 +290,7 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     few = left.filter(F.col("size") <= SMALL)
     x, y = few.select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), "first"), few.select("bucket", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
     pairs = x.join(y, "bucket").filter("a > b and ca != cb and b != first").select("a", "b").distinct()
-    links, comps = confirm(pairs, links, comps)
+    comps = confirm(pairs, comps)
 
     # Round 3: large buckets in which components meet. Members outside their bucket's first component are held
     # against the others that share a rare shingle with them.
@@ -278,7 +298,7 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     many = many.join(comps.select(F.col("node").alias("first"), F.col("comp").alias("home")), "first", "left").withColumn("home", F.coalesce("home", "first"))
     members = kept(many.groupBy("doc_id").agg(F.first("comp").alias("comp"), F.max((F.col("comp") != F.col("home")).cast("long")).alias("outside")), "members")
     if not members.isEmpty():
-        links, comps = confirm(_sharing_rare(docs, members, percent), links, comps)
+        comps = confirm(_sharing_rare(docs, members, percent), comps)
 
     whole = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(whole, "set_hash", "left")
