@@ -92,7 +92,7 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int = STRIDE) -> DataFra
 def materialised(docs: DataFrame, vocabulary: str, key: int = 7, stride: int = STRIDE, shard: int = SHARD) -> tuple[DataFrame, int]:
     """((slot, doc_id, start, length, shard, path, record), number of sequences); shards are written."""
     spark = docs.sparkSession
-    cut = kept(sequences(docs, vocabulary, stride), "sequences")
+    cut = kept(sequences(docs, vocabulary, stride), "sequences", "zstd")
     parts = cut.groupBy("part").count().orderBy("part").collect()  # one row for each task
     before, total = [], 0
     for p in parts:
