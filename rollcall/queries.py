@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -12,6 +12,7 @@ from .operators.graph import ancestry, subtree
 from .operators.latest import best_of, merged
 from .operators.runs import chain_breaks, consecutive, within_budget
 from .operators.suppression import withheld
+from .sinks import csv_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +235,73 @@ def x65_json_access(spark, d):
 def e8_unpivot(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
     return s.unpivot("s_suppkey", ["name", "nation"], "field", "raw").filter("raw is not null")
+
+
+@query("""SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON s_nationkey = o_orderkey % 25 OR s_nationkey = (o_orderkey + 7) % 25
+WHERE o_orderstatus = 'P'""")
+def j15_array_containment(spark, d):
+    o, s = table(spark, d, "orders").filter("o_orderstatus = 'P'"), table(spark, d, "supplier")
+    keys = F.array_distinct(F.array(F.col("o_orderkey") % 25, (F.col("o_orderkey") + 7) % 25))
+    return o.select("o_orderkey", F.explode(keys).alias("k")).join(s, F.col("k") == F.col("s_nationkey")).select("o_orderkey", "s_suppkey")
+
+
+@query("""SELECT c_custkey, (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey = c_custkey) AS latest FROM customer""")
+def j23_latest_by_key(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "latest")
+
+
+@query("""SELECT o_custkey, o_orderpriority, dense_rank() OVER (PARTITION BY o_custkey ORDER BY f, o_orderpriority) AS version FROM
+(SELECT o_custkey, o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY 1, 2)""")
+def w3_version_ordinals(spark, d):
+    first = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("f"))
+    order = Window.partitionBy("o_custkey").orderBy("f", "o_orderpriority")
+    return first.select("o_custkey", "o_orderpriority", F.dense_rank().over(order).alias("version"))
+
+
+@query("""SELECT p_brand, min(p_partkey) AS p_partkey, count(*) AS n FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1""")
+def a9_a10_keepers(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n"), F.count_distinct("p_type").alias("k")).filter("k > 1").drop("k")
+
+
+@query(f"""WITH RECURSIVE e AS ({TREE}), a AS (SELECT c_custkey AS node, c_custkey AS ancestor, 0 AS depth FROM customer
+UNION ALL SELECT a.node, e.parent, a.depth + 1 FROM a JOIN e ON e.child = a.ancestor WHERE a.depth < 11)
+SELECT node, ancestor, min(depth) AS depth FROM a WHERE depth > 0 GROUP BY 1, 2""")
+def g2_nearest_ancestors(spark, d):
+    c = table(spark, d, "customer")
+    return ancestry(c.select(F.col("c_custkey").alias("node")), _tree(c)).filter("depth > 0").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+@query("""SELECT l_orderkey, max(l_discount) AS confidence, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen,
+arg_max(l_linestatus, (l_linenumber, l_linestatus)) AS mode, bool_or(l_returnflag = 'R') AS sticky FROM lineitem GROUP BY l_orderkey""")
+def m10_m15_window_fold(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.max("l_discount").alias("confidence"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"),
+        F.max_by("l_linestatus", F.struct("l_linenumber", "l_linestatus")).alias("mode"), F.bool_or(F.col("l_returnflag") == "R").alias("sticky"))
+
+
+@query("""SELECT c_custkey, concat_ws(',', c_custkey::VARCHAR, CASE WHEN regexp_matches(c_name, '[",\\r\\n]|^ | $') THEN '"' || replace(c_name, '"', '""') || '"'
+ELSE coalesce(c_name, '') END, CASE WHEN regexp_matches(c_mktsegment, '[",\\r\\n]|^ | $') THEN '"' || replace(c_mktsegment, '"', '""') || '"'
+ELSE coalesce(c_mktsegment, '') END) AS line FROM customer""")
+def k1_csv_lines(spark, d):
+    return table(spark, d, "customer").select("c_custkey", csv_line("c_custkey", "c_name", "c_mktsegment").alias("line"))
+
+
+@query("""SELECT s_suppkey, n_name FROM supplier JOIN (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey
+ORDER BY length(n_name) DESC, n_nationkey) AS n FROM nation) ON n_regionkey = s_suppkey % 5 AND n = 1""")
+def l9_l10_most_specific(spark, d):
+    order = F.struct(F.length("n_name"), -F.col("n_nationkey"))
+    best = table(spark, d, "nation").groupBy("n_regionkey").agg(F.max_by("n_name", order).alias("n_name"))
+    return table(spark, d, "supplier").join(best, F.col("s_suppkey") % 5 == F.col("n_regionkey")).select("s_suppkey", "n_name")
+
+
+@query("""SELECT CASE WHEN o_totalprice < 0 THEN 'invalid' WHEN o_orderstatus = 'F' THEN 'covered' WHEN o_orderdate < DATE '1995-01-01' THEN 'outside'
+ELSE 'eligible' END AS outcome, count(*) AS n FROM orders GROUP BY 1""")
+def a14_first_match_counts(spark, d):
+    outcome = F.when(F.col("o_totalprice") < 0, "invalid").when(F.col("o_orderstatus") == "F", "covered").when(F.col("o_orderdate") < F.lit("1995-01-01").cast("date"), "outside")
+    return table(spark, d, "orders").groupBy(outcome.otherwise("eligible").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey NULLS LAST, c_acctbal DESC, c_custkey LIMIT 50""")
+def l1_l5_top_queue(spark, d):
+    return table(spark, d, "customer").orderBy(F.asc_nulls_last("c_nationkey"), F.desc("c_acctbal"), "c_custkey").limit(50).select("c_nationkey", "c_custkey")
