@@ -378,3 +378,15 @@ def test_empty_tables(spark, name):
         "order": lambda: materialise.read_back(materialise.materialised(none, VOCABULARY)[0]),
     }[name]
     assert run().count() == 0
+
+
+def test_components_grow_by_new_links(spark):
+    rng = np.random.default_rng(5)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 60, (36, 2)) if e[0] != e[1]]
+    top = {n: n for e in edges for n in e}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    first, rest = (spark.createDataFrame(e, "a long, b long") for e in (edges[:18], edges[18:]))
+    got = neardup.components(rest, neardup.components(first)).collect()
+    assert len(got) == len(top) and {r["node"]: r["comp"] for r in got} == top
