@@ -16,7 +16,14 @@ LEAST_QUALITY = crf.GOOD_FROM
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row for each id: that of the longest text, then the first by text and by the other columns."""
+    own = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min(F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("_length"), F.col("text").alias("_text"), F.struct(F.lit(0), *own).alias("_own")))
+    return docs.groupBy("doc_id").agg(first.alias("_first")).select(*[F.col("doc_id") if c == "doc_id" else (F.col("_first._text") if c == "text" else F.col(f"_first._own.`{c}`")).alias(c) for c in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +38,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
+    """One document, the one with the smallest id, of each group of near copies; every row without an id."""
     decided = neardup.linked(docs)
-    return _only(docs, decided.filter("kept")).dropDuplicates(["doc_id"])
+    return _one_each(_only(docs.filter("doc_id is not null"), decided.filter("kept"))).union(docs.filter("doc_id is null"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

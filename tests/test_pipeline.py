@@ -1,0 +1,13 @@
+"""The stages of the corpus pipeline on awkward rows."""
+
+import corpus_pipeline
+
+
+def test_near_dedup_keeps_rows_without_ids(spark):
+    a, b = ("one two three four five six seven eight " + x for x in ("nine", "ten " * 9))
+    rows = [(None, a, "x"), (None, a, "y"), (None, None, "z"), (5, a, "x"), (5, b, "x"), (5, b, "w"), (9, a, "x"), (7, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    # Rows without ids all stay; of id 5 the longest text, first by the other columns; 9 is a copy of 5.
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*rows[:3], (5, b, "w"), (7, None, "x")], key=str)
