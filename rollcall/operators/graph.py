@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+import tempfile
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+def effective(edges: DataFrame, as_of: date | str | None) -> DataFrame:
+    """Edges in force on a day, both ends included, an open end without one; all edges if no day is given."""
+    if as_of is None:
+        return edges
+    day = F.lit(as_of).cast("date")
+    return edges.filter((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day)))
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='rollcall-')}")
+    return df.checkpoint()
+
+
+def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | str | None = None) -> DataFrame:
     """(node, ancestor, depth), every node its own at depth 0, from (parent, child): one equality join a level.
 
-    The frontier of each level is joined, never the closure so far; levels end when a frontier is empty.
+    The frontier of each level is joined, never the closure so far; the last level is depth `most`. With as_of,
+    only edges in force on that day (effective_from, effective_to) count.
     """
     level = nodes.select("node", F.col("node").alias("ancestor"))
-    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
+    up = effective(edges, as_of).select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
     out = level.withColumn("depth", F.lit(0))
-    for depth in range(1, most):
+    for depth in range(1, most + 1):
         level = level.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
         out = out.union(level.withColumn("depth", F.lit(depth)))
     return out
 
 
-def subtree(roots: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
-    """(node): roots (node) and all below them."""
-    level = roots.select("node").distinct()
+def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
+    """(node): roots (node) and all below them, however deep; cycles end where they meet what is known.
+
+    Each level is checkpointed, so plans stay short. With as_of, only edges in force on that day count.
+    """
+    level = _checkpointed(roots.select("node").distinct())
     out = level
-    down = edges.select(F.col("parent").alias("node"), "child")
-    for _ in range(1, most):
-        level = level.join(down, "node").select(F.col("child").alias("node")).distinct()
+    down = effective(edges, as_of).select(F.col("parent").alias("node"), "child")
+    while not level.isEmpty():
+        below = level.join(down, "node").select(F.col("child").alias("node")).distinct()
+        level = _checkpointed(below.join(out, "node", "left_anti"))
         out = out.union(level)
-    return out.distinct()
+    return out
