@@ -83,15 +83,17 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def keep_rows(docs: DataFrame, wanted, columns: list[str]) -> DataFrame:
-    """Rows of docs, all columns as they are, for which wanted(*values) holds; values are UTF-8, null as empty."""
+def keep_rows(docs: DataFrame, wanted, columns: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows of docs, all columns as they are, for which wanted(*values) holds; values are UTF-8, null as empty, and
+    those of the columns in `more` as they are."""
     _prepared(docs.sparkSession)
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             parts = [pa.array(batch.column(c)).cast(pa.string()).cast(pa.binary()) for c in columns]
-            mask = [bool(wanted(*(x.as_py() or b"" for x in row))) for row in zip(*parts, strict=True)]
+            others = [batch.column(c) for c in more]
+            mask = [bool(wanted(*(x.as_py() or b"" for x in row[: len(columns)]), *(x.as_py() for x in row[len(columns) :]))) for row in zip(*parts, *others, strict=True)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep_rows, kept, map_rows
@@ -28,7 +29,7 @@ COMMON = 60
 CHAR_LIMIT, CHAR_LEAST = 0.33, 200
 WORD_LIMIT, WORD_LEAST = 0.385, 100
 FLUSH = 200_000  # distinct words that a task counts before it passes them on
-LANGUAGES = 512  # references are for so many languages at most; rarer ones share one
+LANGUAGES = 512  # so many languages' references lie in memory; those of the others are joined to their documents
 SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 
 
@@ -40,6 +41,8 @@ def _classes() -> np.ndarray:
 
 
 CLASS_OF = _classes()
+#: Character shares, common words, and their shares and the rest's.
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
 
 
 def char_counts(text: bytes) -> np.ndarray:
@@ -77,42 +80,56 @@ def _languages(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
 
 
-def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """lang -> (character shares, common words, their shares and the rest's); bounded by languages, not rows."""
+def _reference(chars: list[tuple[int, int]], words: list[tuple[int, bytes, int]], total: int) -> Reference:
+    """Character shares, common words, their shares and the rest's, from counts by class, the most frequent words and all words' number."""
+    n = np.zeros(len(CLASSES))
+    for k, count in chars:
+        n[k] = count
+    words = sorted(words)
+    p = np.array([x[2] for x in words] + [total - sum(x[2] for x in words)], float)
+    return n / max(n.sum(), 1), {bytes(w): k for k, (_, w, _) in enumerate(words)}, p / max(p.sum(), 1)
+
+
+def references(docs: DataFrame, common: int = COMMON) -> tuple[dict[str, Reference], DataFrame | None]:
+    """lang -> reference for the LANGUAGES largest languages, and a table of the others' (None if there are none):
+    lang, chars, words and total, as _reference() takes them. Every language has its own reference."""
 
     def count(rows):
         words: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
+        held = 0
+
+        def flush():
+            yield from ((lang, 0, w, n) for lang, own in words.items() for w, n in own.items())
+            yield from ((lang, 1, b"%d" % k, int(n)) for lang, own in chars.items() for k, n in enumerate(own))
+            words.clear()
+            chars.clear()
+
         for _, text, lang in rows:
             own = words.setdefault(lang, Counter())
+            held -= len(own)
             own.update(text.lower().split())
+            held += len(own)
             n = char_counts(text)
+            held += 0 if lang in chars else len(CLASSES)
             chars[lang] = chars[lang] + n if lang in chars else n
-            if sum(map(len, words.values())) > FLUSH:
-                yield from ((lang, 0, w, n) for lang, own in words.items() for w, n in own.items())
-                words.clear()
-        yield from ((lang, 0, w, n) for lang, own in words.items() for w, n in own.items())
-        for lang in chars:
-            yield from ((lang, 1, b"%d" % k, int(n)) for k, n in enumerate(chars[lang]))
+            if held > FLUSH:
+                yield from flush()
+                held = 0
+        yield from flush()
 
     counts = map_rows(_languages(docs), count, "lang string, kind int, item binary, n long")
     counts = kept(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "word-counts")
-    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(2 * LANGUAGES)
+    total = F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("total")
+    sizes = counts.groupBy("lang").agg(total, F.sum("n").alias("size"))
     top = counts.filter("kind = 0").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))).filter(F.col("k") <= common)
-    chars = counts.filter("kind = 1")
-    total = {(r.lang, r.kind): r.total for r in totals.collect()}
-    out = {}
-    found: dict[str, list] = {}
-    for r in top.join(F.broadcast(totals.select("lang").distinct()), "lang").collect():
-        found.setdefault(r.lang, []).append((r.k, bytes(r.item), r.n))
-    shares: dict[str, np.ndarray] = {}
-    for r in chars.join(F.broadcast(totals.select("lang").distinct()), "lang").collect():
-        shares.setdefault(r.lang, np.zeros(len(CLASSES)))[int(r.item)] = r.n
-    for lang, n in shares.items():
-        words = sorted(found.get(lang, []))
-        p = np.array([x[2] for x in words] + [total.get((lang, 0), 0) - sum(x[2] for x in words)], float)
-        out[lang] = (n / max(n.sum(), 1), {w: k for k, (_, w, _) in enumerate(words)}, p / max(p.sum(), 1))
-    return out
+    words = top.groupBy("lang").agg(F.collect_list(F.struct("k", "item", "n")).alias("words"))
+    chars = counts.filter("kind = 1").groupBy("lang").agg(F.collect_list(F.struct(F.col("item").cast("string").cast("int").alias("k"), "n")).alias("chars"))
+    table = kept(sizes.join(chars, "lang", "left").join(words, "lang", "left"), "references")
+    first = table.orderBy(F.desc("size"), "lang").limit(LANGUAGES + 1).collect()
+    refs = {r.lang: _reference(r.chars or [], r.words or [], r.total) for r in first[:LANGUAGES]}
+    rest = table.filter(~F.col("lang").isin(list(refs))).drop("size") if len(first) > LANGUAGES else None
+    return refs, rest
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -150,18 +167,54 @@ def verdict(text: bytes, lang: str | bytes, refs: dict, char_limit: float = CHAR
 BLANK = (np.zeros(len(CLASSES)), {}, np.ones(1))
 
 
-def judged(docs: DataFrame, refs: dict | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+def _parts(docs: DataFrame, lang: Column, found: tuple[dict, DataFrame | None]) -> list[tuple[DataFrame, bool]]:
+    """docs in up to two parts: those whose reference lies in memory, and those with a column REF that holds theirs."""
+    refs, rest = found
+    if rest is None:
+        return [(docs, False)]
+    there = lang.isin(list(refs))
+    rest = rest.select(F.col("lang").alias(REF + "lang"), F.struct("chars", "words", "total").alias(REF))
+    return [(docs.filter(there), False), (docs.filter(~there).join(rest, lang == F.col(REF + "lang")).drop(REF + "lang"), True)]
+
+
+REF = "_rules_reference_"
+
+
+def _joined(memo: dict, lang: str | bytes, ref: dict) -> dict:
+    """A joined reference as verdict() takes it; few are held at a time."""
+    lang = lang.decode() if isinstance(lang, bytes) else lang
+    if lang not in memo:
+        if len(memo) >= LANGUAGES:
+            memo.clear()
+        chars, words = ([tuple(x.values()) for x in ref[k] or []] for k in ("chars", "words"))
+        memo[lang] = _reference(chars, words, ref["total"])
+    return memo
+
+
+def judged(docs: DataFrame, refs: tuple | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """Per document the base counts, base_failed, kept and both distances (null below the least length)."""
-    refs = references(docs) if refs is None else refs
+    found = references(docs) if refs is None else refs
+    held = found[0]
 
     def run(rows):
-        for doc_id, text, lang in rows:
-            yield doc_id, *verdict(text, lang, refs, char_limit, word_limit)
+        memo: dict[str, Reference] = {}
+        for doc_id, text, lang, *ref in rows:
+            yield doc_id, *verdict(text, lang, _joined(memo, lang, ref[0]) if ref else held, char_limit, word_limit)
 
-    return map_rows(_languages(docs), run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+    return reduce(DataFrame.union, (map_rows(part, run, schema) for part, _ in _parts(_languages(docs), F.col("lang"), found)))
 
 
-def filtered(docs: DataFrame, refs: dict | None = None) -> DataFrame:
+def filtered(docs: DataFrame, refs: tuple | None = None) -> DataFrame:
     """The rows of docs that judged() keeps, in one pass."""
-    refs = references(docs) if refs is None else refs
-    return keep_rows(docs, lambda text, lang: verdict(text, lang, refs)[-3], ["text", "lang"])
+    found = references(docs) if refs is None else refs
+    held = found[0]
+    memo: dict[str, Reference] = {}
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    out = []
+    for part, joined in _parts(docs, lang, found):
+        if joined:
+            out.append(keep_rows(part, lambda text, lang, ref: verdict(text, lang, _joined(memo, lang, ref))[-3], ["text", "lang"], [REF]).drop(REF))
+        else:
+            out.append(keep_rows(part, lambda text, lang: verdict(text, lang, held)[-3], ["text", "lang"]))
+    return reduce(DataFrame.union, out)
