@@ -2,11 +2,11 @@
 
 decode() reads any lossless WebP still image: prefix codes (simple and normal, with groups of them by block),
 literals, back-references, the colour cache, and the inverse of all four transforms (predictor, cross-colour,
-subtract-green, palette with bundled pixels). Where an image is plain literals and every code of a channel has
-one length, as store() writes them, pixels have a fixed width in the stream and are unpacked all at once.
+subtract-green, palette with bundled pixels).
 
-store() lays bytes out as rows of 64 RGB pixels. Each channel's code holds the bytes that occur, filled up to
-a power of two, so all have one length. What is too tall for an image goes on in further ones.
+store() lays bytes out as rows of 64 RGB pixels and compresses them: prefix codes by frequency, back-references, a
+colour cache, and a palette or predictor and cross-colour transforms, each where an estimate says that it makes the
+file smaller. What is too tall for an image goes on in further ones.
 
 Edge cases: a null or empty text is 192 blanks; equal texts give equal bytes; damaged images raise ValueError;
 repeated rows are stored each for itself; an empty table gives no rows.
@@ -15,6 +15,7 @@ repeated rows are stored each for itself; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 
@@ -34,6 +35,18 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 BLACK = 0xFF000000
 
 
+def _reversed(width: int) -> np.ndarray:
+    """Numbers of so many bits, with their bits in the other order."""
+    k = np.arange(1 << width)
+    out = np.zeros_like(k)
+    for j in range(width):
+        out |= (k >> j & 1) << (width - 1 - j)
+    return out
+
+
+REVERSED = [_reversed(k) for k in range(16)]
+
+
 class Bits:
     """A bit stream, least significant bit first."""
 
@@ -54,52 +67,29 @@ class Bits:
 
 
 class Code:
-    """A prefix code: canonical, from lengths by symbol."""
+    """A prefix code: canonical, from lengths by symbol; table has symbol << 4 | length by the next `most` bits."""
 
     def __init__(self, lengths: dict[int, int]):
-        self.lengths = lengths = {s: n for s, n in sorted(lengths.items()) if n}
-        self.only = next(iter(lengths)) if len(lengths) == 1 else None
-        if not lengths:
-            self.only = 0
-        self.most = max(lengths.values(), default=0)
-        if self.only is None and sum(1 << 15 - n for n in lengths.values()) != 1 << 15:
+        self.lengths = lengths = {s: n for s, n in lengths.items() if n}
+        if len(lengths) < 2:
+            self.most = 0
+            self.table = [next(iter(lengths), 0) << 4]
+            return
+        self.most = max(lengths.values())
+        order = sorted(sorted(lengths), key=lengths.__getitem__)
+        size = np.array([lengths[s] for s in order])
+        times = 1 << self.most - size
+        if times.sum() != 1 << self.most:
             raise ValueError("a prefix code is not complete")
-        self._table: list[tuple[int, int]] | None = None
-
-    @property
-    def even(self) -> bool:
-        """Whether all symbols have one length."""
-        return self.only is not None or len(set(self.lengths.values())) == 1
-
-    @property
-    def width(self) -> int:
-        return 0 if self.only is not None else self.most
-
-    @property
-    def table(self) -> list[tuple[int, int]]:
-        """(symbol, length) by the next `most` bits."""
-        if self._table is None:
-            out = [(0, 0)] * (1 << self.most)
-            code = 0
-            for size in range(1, self.most + 1):
-                code <<= 1
-                for symbol, n in self.lengths.items():
-                    if n == size:
-                        first = int(f"{code:0{size}b}"[::-1], 2)
-                        for k in range(first, 1 << self.most, 1 << size):
-                            out[k] = (symbol, size)
-                        code += 1
-            self._table = out
-        return self._table
+        # Entries of the first bit first, each as often as bits follow its code; then the order of the stream.
+        self.table = np.repeat(np.array(order) << 4 | size, times)[REVERSED[self.most]].tolist()
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        symbol, n = self.table[bits.peek() & ((1 << self.most) - 1)]
-        bits.at += n
+        entry = self.table[bits.peek() & ((1 << self.most) - 1)]
+        bits.at += entry & 15
         if bits.at > bits.end:
             raise ValueError("the stream ends too early")
-        return symbol
+        return entry >> 4
 
 
 def _read_code(bits: Bits, size: int) -> Code:
@@ -116,30 +106,40 @@ def _read_code(bits: Bits, size: int) -> Code:
     lengths_code = Code(inner)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     found, at, before = {}, 0, 8
+    table, mask, data, place = lengths_code.table, (1 << lengths_code.most) - 1, bits.data, bits.at
     while at < size and left:
         left -= 1
-        n = lengths_code.read(bits)
+        held = int.from_bytes(data[place >> 3 : (place >> 3) + 3], "little") >> (place & 7)
+        n = table[held & mask]
+        place += n & 15
+        held >>= n & 15
+        n >>= 4
         if n < 16:
-            found[at] = n
-            before = n or before
+            if n:
+                found[at] = before = n
             at += 1
             continue
-        value, times = (before, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3) if n == 17 else 11 + bits.read(7))
+        if n == 16:
+            times = 3 + (held & 3)
+            place += 2
+        elif n == 17:
+            times = 3 + (held & 7)
+            place += 3
+        else:
+            times = 11 + (held & 127)
+            place += 7
         if at + times > size:
             raise ValueError("lengths lie beyond their alphabet")
-        found.update((at + k, value) for k in range(times))
+        if n == 16:
+            for k in range(at, at + times):
+                found[k] = before
         at += times
+    bits.at = place
+    if place > bits.end:
+        raise ValueError("the stream ends too early")
     return Code(found)
 
 
-def _value(prefix: int, bits: Bits) -> int:
-    """A length or distance from its prefix."""
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
-
-
 def _image(bits: Bits, wide: int, tall: int, top: bool = False) -> np.ndarray:
     """ARGB pixels of an entropy-coded image, one row after the other."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -156,21 +156,66 @@ def _image(bits: Bits, wide: int, tall: int, top: bool = False) -> np.ndarray:
     sizes = (LITERALS + LENGTH_CODES + cached, LITERALS, LITERALS, LITERALS, DISTANCE_CODES)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
     n = wide * tall
-    if groups == 1 and not cached and all(c.even for c in codes[0][:4]) and max(codes[0][0].lengths, default=0) < LITERALS:
-        return _even(bits, n, codes[0])
     out = [0] * n
     cache = [0] * cached
     filled = at = 0
+    own = [[x for c in g for x in (c.table, (1 << c.most) - 1)] for g in codes]
+    green, mg, red, mr, blue, mb, alpha, ma, distance, md = own[0]
+    data, end, next_byte = bits.data, bits.end, bits.at + 7 >> 3
+    have = 8 * next_byte - bits.at
+    held = bits.read(have) if have else 0
     while at < n:
-        green, red, blue, alpha, distance = codes[0] if which is None else codes[which[at // wide >> block, at % wide >> block]]
-        s = green.read(bits)
+        if have < 64:  # no token is longer
+            held |= int.from_bytes(data[next_byte : next_byte + 8], "little") << have
+            next_byte += 8
+            have += 64
+            if 8 * next_byte - have > end:
+                raise ValueError("the stream ends too early")
+        if which is not None:
+            green, mg, red, mr, blue, mb, alpha, ma, distance, md = own[which[at // wide >> block, at % wide >> block]]
+        e = green[held & mg]
+        size = e & 15
+        held >>= size
+        s = e >> 4
         if s < LITERALS:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            out[at] = a << 24 | r << 16 | s << 8 | b
+            e = red[held & mr]
+            k = e & 15
+            held >>= k
+            size += k
+            argb = (e >> 4) << 16 | s << 8
+            e = blue[held & mb]
+            k = e & 15
+            held >>= k
+            size += k
+            argb |= e >> 4
+            e = alpha[held & ma]
+            k = e & 15
+            held >>= k
+            have -= size + k
+            out[at] = argb | (e >> 4) << 24
             at += 1
         elif s < LITERALS + LENGTH_CODES:
-            length = _value(s - LITERALS, bits)
-            code = _value(distance.read(bits), bits)
+            s -= LITERALS
+            if s < 4:
+                length = s + 1
+            else:
+                k = s - 2 >> 1
+                length = (2 + (s & 1) << k) + (held & (1 << k) - 1) + 1
+                held >>= k
+                size += k
+            e = distance[held & md]
+            k = e & 15
+            held >>= k
+            size += k
+            s = e >> 4
+            if s < 4:
+                code = s + 1
+            else:
+                k = s - 2 >> 1
+                code = (2 + (s & 1) << k) + (held & (1 << k) - 1) + 1
+                held >>= k
+                size += k
+            have -= size
             if code > len(NEAR):
                 back = code - len(NEAR)
             else:
@@ -178,40 +223,22 @@ def _image(bits: Bits, wide: int, tall: int, top: bool = False) -> np.ndarray:
                 back = max(1, x + y * wide)
             if back > at or at + length > n:
                 raise ValueError("a back-reference leaves the image")
-            for k in range(at, at + length):
-                out[k] = out[k - back]
+            if back >= length:
+                out[at : at + length] = out[at - back : at - back + length]
+            else:
+                out[at : at + length] = (out[at - back : at] * (length // back + 1))[:length]
             at += length
         else:
+            have -= size
             while filled < at:
                 cache[(CACHE_FACTOR * out[filled] & 0xFFFFFFFF) >> 32 - cache_bits] = out[filled]
                 filled += 1
             out[at] = cache[s - LITERALS - LENGTH_CODES]
             at += 1
-    return np.array(out, np.int64)
-
-
-def _even(bits: Bits, n: int, codes: list[Code]) -> np.ndarray:
-    """n literals of a fixed width."""
-    green, red, blue, alpha = codes[:4]
-    width = sum(c.width for c in codes[:4])
-    start, end = bits.at, bits.at + n * width
-    if end > bits.end:
+    bits.at = 8 * next_byte - have
+    if bits.at > end:
         raise ValueError("the stream ends too early")
-    bits.at = end
-    raw = np.frombuffer(bits.data, np.uint8, ((end + 7) >> 3) - (start >> 3), start >> 3)
-    flat = np.unpackbits(raw, bitorder="little")[start & 7 :][: n * width].reshape(n, width)
-    wide = np.zeros((n, 32 if width <= 32 else 64), np.uint8)
-    wide[:, :width] = flat
-    value = np.packbits(wide, axis=1, bitorder="little").view("<u4" if width <= 32 else "<u8").reshape(n).astype(np.int64)
-    out, at = np.zeros(n, np.int64), 0
-    for code, shift in ((green, 8), (red, 16), (blue, 0), (alpha, 24)):
-        if code.only is not None:
-            out |= code.only << shift
-        else:
-            symbols = np.array([s for s, _ in code.table], np.int64)
-            out |= symbols[value >> at & (1 << code.most) - 1] << shift
-            at += code.most
-    return out
+    return np.array(out, np.int64)
 
 
 def _split(pixels: np.ndarray) -> np.ndarray:
@@ -357,89 +384,295 @@ class Writer:
         self.n += n
 
 
-def _code_bits(symbols: tuple[int, ...], size: int, known: dict = {}) -> tuple[int, int]:  # noqa: B006
-    """(bits, how many) that state a code whose symbols all have one length; a memo of those seen."""
-    if (found := known.get((symbols, size))) is not None:
-        return found
-    w = Writer()
-    if len(symbols) <= 2:
-        w.put(1, 1)
-        w.put(len(symbols) - 1, 1)
-        w.put(1, 1)
-        for s in symbols:
-            w.put(s, 8)
+def _lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Lengths of a Huffman code by symbol, at most so long; 1 for an only symbol."""
+    out = np.zeros(len(counts), np.int64)
+    symbols = np.flatnonzero(counts)
+    n, own = len(symbols), counts[symbols]
+    if n < 2:
+        out[symbols] = 1
+        return out
+    while True:
+        order = np.argsort(own, kind="stable")
+        weight = own[order].tolist() + [0] * (n - 1)
+        top = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner >= k or weight[leaf] <= weight[inner]):
+                    pick = leaf
+                    leaf += 1
+                else:
+                    pick = inner
+                    inner += 1
+                top[pick] = k
+                total += weight[pick]
+            weight[k] = total
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[top[k]] + 1
+        if max(depth[:n]) <= most:
+            out[symbols[order]] = depth[:n]
+            return out
+        own = own + 1 >> 1
+
+
+def _code_values(lengths: np.ndarray) -> np.ndarray:
+    """Each symbol's code as the stream has it, first bit lowest."""
+    out = np.zeros(len(lengths), np.int64)
+    symbols = np.flatnonzero(lengths)
+    if len(symbols) > 1:
+        order = symbols[np.argsort(lengths[symbols], kind="stable")]
+        step = 1 << 15 - lengths[order]
+        out[order] = REVERSED[15][np.cumsum(step) - step]
+    return out
+
+
+def _put_code(w: Writer, lengths: np.ndarray) -> None:
+    """States a code: one or two symbols of a byte as they are, others by their lengths, runs cut short."""
+    symbols = np.flatnonzero(lengths).tolist() or [0]
+    if len(symbols) <= 2 and symbols[-1] < 256:
+        for x, n in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)):
+            w.put(x, n)
+        return
+    at = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    tokens = []
+    for value, begin, end in zip(lengths[at[:-1]].tolist(), at, at[1:]):
+        run = end - begin
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+            while run >= 3:
+                k = min(run, 6)
+                tokens.append((16, k - 3, 2))
+                run -= k
+        else:
+            while run >= 3:
+                k = min(run, 138)
+                tokens.append((18, k - 11, 7) if k >= 11 else (17, k - 3, 3))
+                run -= k
+        tokens += [(value, 0, 0)] * run
+    inner = _lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
+    values, sizes = _code_values(inner).tolist(), inner.tolist()
+    if sum(x > 0 for x in sizes) == 1:
+        size_of = [0] * 19
     else:
-        length = (len(symbols) - 1).bit_length()
-        four = [0, length, 17, 18]  # their codes, in this order, are 00, 01, 10, 11
-        w.put(0, 1)
-        w.put(15, 4)
-        for s in LENGTH_ORDER:
-            w.put(2 if s in four else 0, 3)
-        w.put(0, 1)
-        at, inside = 0, set(symbols)
-        while at < size:
-            if at in inside:
-                w.put(0b10, 2)
-                at += 1
-                continue
-            run = 1
-            while at + run < size and at + run not in inside and run < 138:
-                run += 1
-            if run >= 11:
-                w.put(0b11, 2)
-                w.put(run - 11, 7)
-            elif run >= 3:
-                w.put(0b01, 2)
-                w.put(run - 3, 3)
-            else:
-                run = 1
-                w.put(0b00, 2)
-            at += run
-    if len(known) > 5000:
-        known.clear()
-    known[symbols, size] = w.value, w.n
-    return w.value, w.n
-
-
-def _alphabet(channel: np.ndarray) -> np.ndarray:
-    """The bytes that occur, with the first others up to a power of two; 1 to 256."""
-    there = np.bincount(channel, minlength=256) > 0
-    n = int(there.sum())
-    there[np.flatnonzero(~there)[: (1 << (n - 1).bit_length()) - n]] = True
-    return np.flatnonzero(there)
-
-
-def _reversed(n: int) -> np.ndarray:
-    width = max(0, (n - 1).bit_length())
-    k, out = np.arange(n), np.zeros(n, np.uint32)
-    for j in range(width):
-        out |= ((k >> j & 1) << (width - 1 - j)).astype(np.uint32)
+        size_of = sizes
+    stated = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if sizes[s]))
+    w.put(0, 1)
+    w.put(stated - 4, 4)
+    for s in LENGTH_ORDER[:stated]:
+        w.put(sizes[s], 3)
+    w.put(0, 1)
+    for s, extra, n in tokens:
+        w.put(values[s] | extra << size_of[s], size_of[s] + n)
+
+
+def _bits_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits of numbers of so many bits each, lowest first."""
+    end = np.cumsum(sizes)
+    within = np.arange(end[-1] if len(end) else 0) - np.repeat(end - sizes, sizes)
+    return (np.repeat(values, sizes) >> within & 1).astype(np.uint8)
+
+
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, extra bits, how many) of lengths or distances."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1))[1] - 1  # the place of the highest bit
+    n = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), np.where(v < 4, 0, v & (1 << n) - 1), n
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """Where each key was last, -1 if nowhere."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
     return out
 
 
-REVERSED = {1 << k: _reversed(1 << k) for k in range(9)}
+LEAST_COPY, LONGEST_COPY = 3, 4096
+
+
+def _copies(pixels: np.ndarray) -> np.ndarray:
+    """Rows of (where, length, distance): greedy copies from where the same three pixels were last."""
+    n, out, end = len(pixels), [], 0
+    if n > LEAST_COPY:
+        p = pixels.astype(np.uint64)
+        last = _before(p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ p[2:] * np.uint64(0x165667B19E3779F9))
+        own = pixels.tolist()
+        found = np.flatnonzero(last >= 0)
+        for i, j in zip(found.tolist(), last[found].tolist(), strict=True):
+            if i < end:
+                continue
+            k, most = 0, min(n - i, LONGEST_COPY)
+            while k < most and own[i + k] == own[j + k]:
+                k += 1
+            if k >= LEAST_COPY:
+                out.append((i, k, i - j))
+                end = i + k
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _cost(counts: np.ndarray) -> float:
+    """About how many bits symbols with these counts take, with their code."""
+    c = counts[counts > 0].astype(float)
+    n = max(1.0, c.sum())
+    return float(n * math.log2(n) - c @ np.log2(c)) + 6 * len(c)
+
+
+def _near_codes(wide: int, known: dict = {}) -> np.ndarray:  # noqa: B006
+    """Distance code by distance, for near pixels of an image so wide; 0 for others."""
+    if wide not in known:
+        out = np.zeros(8 * wide + 9, np.int64)
+        for k in range(len(NEAR) - 1, -1, -1):
+            x, y = NEAR[k]
+            out[max(1, x + y * wide)] = k + 1
+        known[wide] = out
+    return known[wide]
+
+
+CACHE_BITS = 7
+
+
+def _put_image(parts: list[np.ndarray], w: Writer, pixels: np.ndarray, wide: int, top: bool = False) -> Writer:
+    """Adds w's bits and those of an entropy-coded image to parts; a new writer for what follows."""
+    copies = _copies(pixels)
+    covered = np.zeros(len(pixels) + 1, np.int64)
+    covered[copies[:, 0]] += 1
+    covered[copies[:, 0] + copies[:, 1]] -= 1
+    single = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    size, extra, n_extra = _prefix(copies[:, 1])
+    near = _near_codes(wide)
+    code = near[np.minimum(copies[:, 2], len(near) - 1)]
+    code = np.where((code > 0) & (copies[:, 2] < len(near)), code, copies[:, 2] + len(NEAR))
+    far, far_extra, n_far = _prefix(code)
+    own = pixels[single]
+    channels = [own >> s & 255 for s in (8, 16, 0, 24)]
+    slot = (CACHE_FACTOR * pixels & 0xFFFFFFFF) >> 32 - CACHE_BITS
+    last = _before(slot)
+    hit = ((last >= 0) & (pixels[last] == pixels))[single]
+
+    def counted(hit: np.ndarray, cached: int) -> list[np.ndarray]:
+        first = np.concatenate([np.where(hit, LITERALS + LENGTH_CODES + slot[single], channels[0]), LITERALS + size])
+        return [np.bincount(first, minlength=LITERALS + LENGTH_CODES + cached), *(np.bincount(c[~hit], minlength=LITERALS) for c in channels[1:])]
+
+    none = np.zeros_like(hit)
+    counts = min((counted(none, 0), counted(hit, 1 << CACHE_BITS)), key=lambda x: sum(map(_cost, x))) if hit.any() else counted(none, 0)
+    cached = len(counts[0]) > LITERALS + LENGTH_CODES
+    hit = hit if cached else none
+    w.put(cached, 1)
+    if cached:
+        w.put(CACHE_BITS, 4)
+    if top:
+        w.put(0, 1)  # one group of codes
+    lengths = [_lengths(c) for c in (*counts, np.bincount(far, minlength=DISTANCE_CODES))]
+    for x in lengths:
+        _put_code(w, x)
+    lengths = [np.zeros_like(x) if np.count_nonzero(x) < 2 else x for x in lengths]
+    codes = [_code_values(x) for x in lengths]
+    values, sizes = (np.zeros((len(single) + len(copies), 4), np.int64) for _ in (0, 1))
+    n = len(single)
+    first = np.where(hit, LITERALS + LENGTH_CODES + slot[single], channels[0])
+    for out, of in ((values, codes), (sizes, lengths)):
+        out[:n, 0] = of[0][first]
+        for k in (1, 2, 3):
+            out[:n, k] = np.where(hit, 0, of[k][channels[k]])
+        out[n:, 0], out[n:, 2] = of[0][LITERALS + size], of[4][far]
+    values[n:, 1], values[n:, 3] = extra, far_extra
+    sizes[n:, 1], sizes[n:, 3] = n_extra, n_far
+    order = np.argsort(np.concatenate([single, copies[:, 0]]), kind="stable")
+    parts.append(_written(w))
+    parts.append(_bits_of(values[order].reshape(-1), sizes[order].reshape(-1)))
+    return Writer()
+
+
+def _written(w: Writer) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
+
+
+def _cost_of(parts: np.ndarray) -> float:
+    return sum(_cost(np.bincount(parts[..., k].reshape(-1) & 255, minlength=256)) for k in range(parts.shape[-1]))
+
+
+BLOCK = 4  # transforms go by blocks of 16 x 16 pixels
+MODES = (1, 2, 11, 12)
+
+
+def _predict(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what is left of the pixels, mode of each block): each block takes the mode that leaves least."""
+    tall, wide, _ = rgb.shape
+    left, up, corner = (np.zeros_like(rgb) for _ in range(3))
+    left[:, 1:], up[1:], corner[1:, 1:] = rgb[:, :-1], rgb[:-1], rgb[:-1, :-1]
+    to_left, to_top = np.abs(up - corner).sum(-1), np.abs(left - corner).sum(-1)
+    guesses = [left, up, np.where((to_left < to_top)[..., None], left, up), np.clip(left + up - corner, 0, 255)]
+    rows, cols = np.arange(0, tall, 1 << BLOCK), np.arange(0, wide, 1 << BLOCK)
+    rests = []
+    for g in guesses:
+        g[0], g[1:, 0] = left[0], up[1:, 0]  # what every mode does at the border
+        rests.append(rgb - g)
+    left_over = [np.add.reduceat(np.add.reduceat(np.abs((r + 128 & 255) - 128).sum(-1), rows, 0), cols, 1) for r in rests]
+    best = np.argmin(left_over, 0)
+    at = best[np.arange(tall)[:, None] >> BLOCK, np.arange(wide)[None, :] >> BLOCK]
+    return np.take_along_axis(np.stack(rests), at[None, :, :, None], 0)[0] & 255, np.array(MODES)[best]
+
+
+def _cross(rgb: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """(what is left, (red to blue, green to blue, green to red)), factors by least squares over the image."""
+    red, green, blue = np.moveaxis((rgb + 128 & 255) - 128, -1, 0)
+
+    def factor(of: np.ndarray, by: np.ndarray) -> int:
+        return int(np.clip(np.rint(32 * (of * by).sum() / max(1, (by * by).sum())), -128, 127))
+
+    to_red, to_blue = factor(red, green), factor(blue, green)
+    rest = blue - (to_blue * green >> 5)
+    across = factor(rest, red)
+    return np.stack([red - (to_red * green >> 5), green, rest - (across * red >> 5)], -1) & 255, (across, to_blue, to_red)
 
 
 def encode_rgb(pixels: np.ndarray) -> bytes:
     """A file of tall x wide x 3 pixels."""
     tall, wide, _ = pixels.shape
-    flat = pixels.reshape(-1, 3)
-    w = Writer()
-    for value, n in ((wide - 1, 14), (tall - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):  # sizes, no alpha, version; no transform, cache or groups
+    rgb = pixels.astype(np.int64)
+    joined = (rgb[..., 0] << 16 | rgb[..., 1] << 8 | rgb[..., 2]).reshape(-1)
+    w, parts = Writer(), []
+    for value, n in ((wide - 1, 14), (tall - 1, 14), (0, 1), (0, 3)):  # sizes, no alpha, version
         w.put(value, n)
-    value, at = np.zeros(len(flat), np.uint32), 0
-    for channel, size in ((1, LITERALS + LENGTH_CODES), (0, LITERALS), (2, LITERALS)):  # green comes first
-        own = _alphabet(flat[:, channel])
-        w.put(*_code_bits(tuple(own.tolist()), size))
-        codes = np.zeros(256, np.uint32)
-        codes[own] = REVERSED[len(own)]
-        value |= codes[flat[:, channel]] << np.uint32(at)
-        at += (len(own) - 1).bit_length()
-    w.put(*_code_bits((255,), LITERALS))
-    w.put(*_code_bits((0,), DISTANCE_CODES))
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
-    bits = np.unpackbits(value.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :at]
-    body = b"\x2f" + np.packbits(np.concatenate([head, bits.reshape(-1)]), bitorder="little").tobytes()
+    colours, index, counts = np.unique(joined, return_inverse=True, return_counts=True)
+    plain, across, alpha = _cost_of(rgb), wide, BLACK
+    if len(colours) <= 256 and _cost(counts) + 20 * len(colours) < plain:
+        for value, n in ((1, 1), (3, 2), (len(colours) - 1, 8)):
+            w.put(value, n)
+        table = _split(colours | BLACK)
+        w = _put_image(parts, w, _argb(np.diff(table, axis=0, prepend=0)), len(colours))
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        across = -(-wide >> packed)
+        held = np.zeros((tall, across << packed), np.int64)
+        held[:, :wide] = index.reshape(tall, wide)
+        shifts = np.arange(1 << packed) * (8 >> packed)
+        joined = (held.reshape(tall, across, -1) << shifts).sum(-1).reshape(-1) << 8
+        alpha = 0
+    else:
+        rest, modes = _predict(rgb)
+        cost = _cost_of(rest)
+        if cost < 0.95 * plain:
+            rgb, plain, alpha = rest, cost, 0
+            for value, n in ((1, 1), (0, 2), (BLOCK - 2, 3)):
+                w.put(value, n)
+            w = _put_image(parts, w, modes.reshape(-1) << 8 | BLACK, modes.shape[1])
+        rest, (red_blue, green_blue, green_red) = _cross(rgb)
+        if _cost_of(rest) < 0.95 * plain:
+            rgb = rest
+            for value, n in ((1, 1), (1, 2), (BLOCK - 2, 3)):
+                w.put(value, n)
+            rows, cols = -(-tall >> BLOCK), -(-wide >> BLOCK)
+            w = _put_image(parts, w, np.full(rows * cols, BLACK | (red_blue & 255) << 16 | (green_blue & 255) << 8 | green_red & 255), cols)
+        joined = (rgb[..., 0] << 16 | rgb[..., 1] << 8 | rgb[..., 2]).reshape(-1)
+    w.put(0, 1)  # no more transforms
+    _put_image(parts, w, joined | alpha, across, top=True)
+    body = b"\x2f" + np.packbits(np.concatenate(parts), bitorder="little").tobytes()
     pad = len(body) & 1
     return b"RIFF" + struct.pack("<I", 12 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + b"\0" * pad
 
