@@ -7,8 +7,8 @@ from rollcall.operators.graph import ancestry, subtree
 
 @pytest.fixture(scope="module")
 def chain(spark):
-    """0 above 1 above 2 ... above 15, with a way back from 15 to 14 and a second parent."""
-    return spark.createDataFrame([*((k, k + 1) for k in range(15)), (15, 14), (3, 9)], "parent long, child long").cache()
+    """0 above 1 above 2 ... above 25, with a way back from 25 to 24 and a second parent."""
+    return spark.createDataFrame([*((k, k + 1) for k in range(25)), (25, 24), (3, 9)], "parent long, child long").cache()
 
 
 def nodes(spark, *ids):
@@ -16,7 +16,7 @@ def nodes(spark, *ids):
 
 
 def test_subtree_reaches_all_depths(spark, chain):
-    assert sorted(r.node for r in subtree(nodes(spark, 1, 1), chain).collect()) == list(range(1, 16))
+    assert sorted(r.node for r in subtree(nodes(spark, 1, 1), chain).collect()) == list(range(1, 26))
     assert subtree(nodes(spark), chain).count() == 0
 
 
