@@ -1,12 +1,16 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a text.
 
 Every line gets features of its own and of the lines beside it; the chain labels lines good or bad. It learns
-from texts' labels, each line with its text's label, on a bounded sample: the SAMPLE labelled rows of the
-training part that come first by a hash of the id, and of each at most SAMPLE_LINES lines. A text's score is
-the mean of its lines' forward-backward marginals, weighted by line length. Only the text is an input.
+from texts' labels, each line with its text's label, on a bounded sample of whole texts: labelled rows of the
+training part in the order of a hash of the id, at most SAMPLE of them, until SAMPLE_LINES lines are spent (a
+text that no longer fits is passed over). The chain of a text is learned in windows of WINDOW lines, which
+together hold all of its lines. A text's score is the mean of its lines' forward-backward marginals over the
+whole text, weighted by line length. Only the text is an input.
 
 Edge cases: null and empty texts are one empty line and get its score; without any labels every score is 0.5;
-null labels are left out; if an id has several labels, each counts; repeated rows are scored each for itself.
+null labels are left out; if an id has several labels or texts, each counts, and equal rows once; equal hashes are ordered by id and label;
+repeated rows are scored each for itself; a null id is no held-out one; other columns are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_rows, texts
+from .common import keep_rows, kept, map_rows, texts
 
-SAMPLE, SAMPLE_LINES = 4000, 400
+SAMPLE, SAMPLE_LINES, WINDOW = 4000, 300_000, 256  # labelled rows, lines of all their texts, lines of a window
 STEPS, RATE, DECAY = 150, 0.1, 1e-3
 TOP_WORDS = 300
 SYMBOLS, STOPS = b"#*$%&|<>", b".,;:!?)\"'"
@@ -107,60 +111,89 @@ def marginals(lean: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return up / np.maximum(up + down, 1e-300)
 
 
+@dataclass(frozen=True)
+class Chains:
+    """Lines of all texts end to end, and where they lie in windows: x (lines x features), label of each line,
+    row and column of each line in a windows x WINDOW grid, size of each window."""
+
+    x: np.ndarray
+    label: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+    sizes: np.ndarray
+
+
+def chains(examples: list[tuple[np.ndarray, int]], window: int = WINDOW) -> Chains:
+    """Windows of the texts' lines, the longest first."""
+    parts = [(x[k : k + window], y) for x, y in examples for k in range(0, len(x), window)]
+    parts.sort(key=lambda p: -len(p[0]))
+    sizes = np.array([len(x) for x, _ in parts])
+    row = np.repeat(np.arange(len(parts)), sizes)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return Chains(np.concatenate([x for x, _ in parts]), np.repeat([y for _, y in parts], sizes), row, column, sizes)
+
+
+def gradient(c: Chains, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the labels, and its gradient by weights and moves."""
+    lean = np.clip(c.x @ weights.astype(c.x.dtype), -30, 30).astype(float)
+    wide = int(c.sizes[0])
+    odds = np.ones((len(c.sizes), wide))
+    odds[c.row, c.column] = np.exp(lean)
+    live = (np.arange(wide)[:, None] < c.sizes[None, :]).sum(1)  # windows that have a line there; the longest come first
+    m = np.exp(moves)
+    ahead = np.zeros((len(c.sizes), wide, 2))
+    norm = np.ones((len(c.sizes), wide))
+    ahead[:, 0, 0], ahead[:, 0, 1] = 1, odds[:, 0]
+    for t in range(wide):
+        k = live[t]
+        if t:
+            ahead[:k, t] = ahead[:k, t - 1] @ m
+            ahead[:k, t, 1] *= odds[:k, t]
+        norm[:k, t] = ahead[:k, t].sum(1)
+        ahead[:k, t] /= norm[:k, t, None]
+    back = np.full_like(ahead, 0.5)
+    moved = np.zeros((2, 2))
+    for t in range(wide - 2, -1, -1):
+        k = live[t + 1]
+        after = back[:k, t + 1].copy()
+        after[:, 1] *= odds[:k, t + 1]
+        both = ahead[:k, t, :, None] * m * after[:, None, :]
+        moved += np.einsum("kij,k->ij", both, 1 / both.sum((1, 2)))
+        b = after @ m.T
+        back[:k, t] = b / b.sum(1, keepdims=True)
+    p = (ahead * back)[c.row, c.column]
+    good = p[:, 1] / p.sum(1)
+    inner = c.column > 0
+    seen = np.zeros((2, 2))
+    for y in (0, 1):
+        seen[y, y] = np.count_nonzero(inner & (c.label == y))
+    by_weight = (c.label - good).astype(c.x.dtype) @ c.x
+    likelihood = float(lean @ c.label + (seen * moves).sum() - np.log(norm).sum())
+    return likelihood, np.concatenate([by_weight.astype(float), (seen - moved).ravel()])
+
+
 def fit(examples: list[tuple[np.ndarray, int]], common: frozenset[bytes], steps: int = STEPS) -> Model:
-    """Maximum likelihood with a small quadratic penalty, all texts of a step at once."""
+    """Maximum likelihood with a small quadratic penalty, all windows of a step at once."""
     width = OWN + 2 * len(BESIDE)
     if not examples:
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), common)
-    examples = sorted(examples, key=lambda e: -len(e[0]))
-    every = np.concatenate([x for x, _ in examples])
-    mean, scale = every.mean(0), every.std(0) + 1e-3
+    c = chains(examples)
+    mean, scale = c.x.mean(0, dtype=float), c.x.std(0, dtype=float) + 1e-3
     mean[0], scale[0] = 0, 1
-    sizes = np.array([len(x) for x, _ in examples])
-    label = np.array([y for _, y in examples])
-    x = np.zeros((len(examples), sizes[0], width), np.float32)
-    for k, (own, _) in enumerate(examples):
-        x[k, : len(own)] = (own - mean) / scale
-    inside = np.arange(sizes[0]) < sizes[:, None]
-    live = inside.sum(0)  # texts that have a line there; the longest come first
-    weights, moves = np.zeros(width), np.zeros((2, 2))
-    first, second = np.zeros(width + 4), np.zeros(width + 4)
-    seen = np.zeros((2, 2))
-    for y in (0, 1):
-        seen[y, y] = (sizes[label == y] - 1).sum()
-    target = (x * (inside * label[:, None])[:, :, None]).sum((0, 1))
+    np.subtract(c.x, mean.astype(c.x.dtype), out=c.x)
+    np.divide(c.x, scale.astype(c.x.dtype), out=c.x)
+    at = np.zeros(width + 4)
+    first, second = np.zeros_like(at), np.zeros_like(at)
     for step in range(1, steps + 1):
-        lean = np.clip(x @ weights.astype(np.float32), -30, 30)
-        pot = np.stack([np.zeros_like(lean), lean], -1).astype(float)
-        m = np.exp(moves)
-        ahead = np.zeros_like(pot)
-        ahead[:, 0] = np.exp(pot[:, 0])
-        ahead[:, 0] /= ahead[:, 0].sum(-1, keepdims=True)
-        for t in range(1, sizes[0]):
-            k = live[t]
-            a = ahead[:k, t - 1] @ m * np.exp(pot[:k, t])
-            ahead[:k, t] = a / a.sum(-1, keepdims=True)
-        back = np.full_like(pot, 0.5)
-        moved = np.zeros((2, 2))
-        for t in range(sizes[0] - 2, -1, -1):
-            k = live[t + 1]
-            after = np.exp(pot[:k, t + 1]) * back[:k, t + 1]
-            both = ahead[:k, t][:, :, None] * m * after[:, None, :]
-            moved += (both / both.sum((1, 2), keepdims=True)).sum(0)
-            b = after @ m.T
-            back[:k, t] = b / b.sum(-1, keepdims=True)
-        p = ahead * back
-        good = p[..., 1] / p.sum(-1).clip(1e-300)
-        gradient = np.concatenate([target - (x * (inside * good)[:, :, None]).sum((0, 1)), (seen - moved).ravel()]) / len(every)
-        gradient -= DECAY * np.concatenate([weights, moves.ravel()])
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.99 * second + 0.01 * gradient**2
-        move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        weights, moves = weights + move[:width], moves + move[width:].reshape(2, 2)
-    return Model(mean, scale, weights, moves, common)
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+        _, g = gradient(c, at[:width], at[width:].reshape(2, 2))
+        g = g / len(c.x) - DECAY * at
+        first = 0.9 * first + 0.1 * g
+        second = 0.99 * second + 0.01 * g**2
+        at = at + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return Model(mean, scale, at[:width], at[width:].reshape(2, 2), common)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Model:
     """A model from labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
     chosen = (
         labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
@@ -168,7 +201,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(sample)
     )
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # The sample's whole texts are written once; what follows reads them alone.
+    rows = kept(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", F.xxhash64("doc_id").alias("turn"), F.xxhash64("text").alias("which")).dropDuplicates(["doc_id", "quality", "which"]), "labelled-texts")
+    n_lines = (F.length("text") - F.length(F.expr("replace(cast(text as string), '\n', '')").cast("binary")) + 1).alias("n")
+    taken, left = [], lines
+    for r in rows.select("turn", "doc_id", "quality", "which", n_lines).orderBy("turn", "doc_id", "quality", "which").limit(sample).collect():
+        if r.n <= left:
+            taken.append((r.doc_id, r.quality, r.which))
+            left -= r.n
+    wanted = rows.sparkSession.createDataFrame(taken, "doc_id long, quality int, which long")
+    rows = rows.join(F.broadcast(wanted), ["doc_id", "quality", "which"], "left_semi").select("doc_id", "text", "quality")
 
     def words(rows):
         found: dict[bytes, int] = {}
@@ -183,12 +225,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def features(rows):
         for _, text, quality in rows:
             x, _ = line_features(text, common)
-            yield x[:SAMPLE_LINES].astype("<f4").tobytes(), quality
+            yield x.astype("<f4").tobytes(), quality
 
     width = OWN + 2 * len(BESIDE)
-    found = map_rows(rows, features, "x binary, quality int").collect()
+    found = map_rows(rows, features, "x binary, quality int").collect()  # SAMPLE_LINES lines at most
     found.sort(key=lambda r: (r.quality, bytes(r.x)))
-    return fit([(np.frombuffer(r.x, "<f4").reshape(-1, width).astype(float), r.quality) for r in found], common)
+    return fit([(np.frombuffer(r.x, "<f4").reshape(-1, width), r.quality) for r in found], common)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +241,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield doc_id, model.score(text)
 
     out = map_rows(texts(docs), run, "doc_id long, score double")
-    return out.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
 
 
 def filtered(docs: DataFrame, model: Model, least: float = GOOD_FROM) -> DataFrame:
