@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import crf, neardup, packing, rules, secret_scan
-from rollcall.llm.common import kept, read
+from rollcall.llm.common import kept, read, unused
 from rollcall.llm.queries import vocabulary
 
 #: A document stays if its quality is at least this.
@@ -16,40 +16,47 @@ LEAST_QUALITY = crf.GOOD_FROM
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    (key,) = unused(docs, "kept_id")
+    return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").cast("long") == F.col(key), "left_semi")
 
 
 def _one_each(docs: DataFrame) -> DataFrame:
     """One row for each id: that of the longest text, then the first by text and by the other columns."""
-    own = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     first = F.min(F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("_length"), F.col("text").alias("_text"), F.struct(F.lit(0), *own).alias("_own")))
     return docs.groupBy("doc_id").agg(first.alias("_first")).select(*[F.col("doc_id") if c == "doc_id" else (F.col("_first._text") if c == "text" else F.col(f"_first._own.`{c}`")).alias(c) for c in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line model, learned from labels, calls good."""
+    """Documents that the line model, learned from labels, calls good. A null text counts as an empty one; equal rows
+    are judged alike; without labels all stay; columns of any other name pass through; an empty table gives none."""
     model = crf.train(docs, read(spark, sf_dir, "labels"))
     return crf.filtered(docs, model, LEAST_QUALITY)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie near the references of their language."""
+    """Documents that pass the base rules and lie near the references of their language. A null or empty text fails
+    the base rules; a null language is one of its own; equal rows are judged alike; an empty table gives none."""
     return rules.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies; every row without an id."""
+    """One document, the one with the smallest id, of each group of near copies; every row without an id. Rows that
+    share an id are one document: that of the longest text stays, on ties the first by text and other columns. Null
+    and empty texts are nobody's copies and stay; an empty table gives none."""
     decided = neardup.linked(docs)
     return _one_each(_only(docs.filter("doc_id is not null"), decided.filter("kept"))).union(docs.filter("doc_id is null"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked. Null and empty texts, and texts without secrets, stay as they are; rows without
+    an id and repeated rows are masked each for itself; an empty table gives none."""
     return secret_scan.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of up to 4096 tokens."""
+    """Pieces of sequences of up to 4096 tokens. A null or empty text is the end id alone; rows without an id and
+    repeated rows are packed each for itself; an empty table gives none."""
     return packing.packed(docs, vocabulary())
 
 
