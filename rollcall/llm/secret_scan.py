@@ -19,7 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, unused
 
 _parser = re._parser  # the standard library's own regex parser
 
@@ -217,8 +217,10 @@ def reported(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def redacted(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by mask; rows without spans stay as they are."""
-    hits = kept(found(docs, rules).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "spans": "_spans"}), "secret-spans")
+    """docs with every span of text replaced by mask; rows without spans, and null texts, stay as they are. Columns of
+    any other name pass through."""
+    key, digest, found_spans = unused(docs, "secret_id", "secret_hash", "secret_spans")
+    hits = kept(found(docs, rules).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("spans").alias(found_spans)), "secret-spans")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -227,6 +229,6 @@ def redacted(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
         after = F.greatest(state.at, s.finish)
         return F.struct(after.alias("at"), F.when(s.start >= state.at, cut).otherwise(state.out).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s.out, F.substring(text, s.at + 1, F.length(text))))
-    joined = docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate(found_spans, start, step, lambda s: F.concat(s.out, F.substring(text, s.at + 1, F.length(text))))
+    joined = docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(digest)), "left")
+    return joined.withColumn("text", F.when(F.col(found_spans).isNotNull(), clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
