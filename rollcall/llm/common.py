@@ -71,7 +71,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary()), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
 
 
 BATCH_ROWS = 256  # rows of whole texts that a task exchanges with Python at a time
@@ -94,6 +94,19 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with function(iterator of row tuples) -> iterator of lists of columns, each a list or an array."""
+    _prepared(df.sparkSession)
+    arrow = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        for columns in function(rows_of(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def keep_rows(docs: DataFrame, wanted, columns: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows of docs, all columns as they are, for which wanted(*values) holds; values are UTF-8, null as empty, and
     those of the columns in `more` as they are."""

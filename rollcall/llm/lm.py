@@ -4,17 +4,18 @@ Units are the MODEL_WORDS most frequent words, and for all others one of SUFFIXE
 The model guesses a unit's vector from the two before it, each through a matrix of its own, and scores every
 unit by the product with its vector plus a bias. It learns by noise-contrastive estimation: each task goes
 through all training texts of its partition in minibatches, against noise drawn by unit frequency, from one
-common start; the models are averaged by tokens. Scoring is normalised: for each pair of units that stand
-before another one, a batched matrix product over all units gives the normaliser, kept in a table. A word
-outside the model has its class's probability times its own share there, (count + 1) / (class tokens + class
-words + 1).
+common start; the models are added up in a tree and averaged by tokens. Scoring is normalised: scores add up
+over the two places, so one matrix product of their exponentials, summed over all units, gives the normaliser
+of every pair of units that can stand before another one, kept in a table of UNITS x UNITS. A word outside the
+model has its class's probability times its own share there, (count + 1) / (class tokens + class words + 1).
 
 Counts cover every training text. The HEAD most frequent words are sent to the tasks; counts of all others
-are joined in, one row for each document and word. Rows are numbered in a table that is written once, so
-repeated ids stay apart.
+are joined in, one row for each place where one stands. Each text is cut into units once, in a table that
+training and scoring read; its rows are numbered, so repeated ids stay apart.
 
 Edge cases: null and empty texts are the end token alone; with no training text every count is 0; a null id
-counts as training; an empty table gives no rows.
+counts as training; repeated rows count and are scored each for itself; words that are equally frequent are
+ordered by their bytes; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_rows
+from .common import kept, map_columns, map_rows
 
 END = b""  # no word is empty
 MODEL_WORDS, SUFFIXES = 1500, 256
@@ -58,11 +59,12 @@ def counts(docs: DataFrame) -> DataFrame:
             own.update(text.lower().split())
             own[END] += 1
             if len(own) > FLUSH:
-                yield from own.items()
+                yield list(own), list(own.values())
                 own = Counter()
-        yield from own.items()
+        if own:
+            yield list(own), list(own.values())
 
-    return map_rows(_texts(docs).filter(~F.col("held_out")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_columns(_texts(docs).filter(~F.col("held_out")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def suffix_class(word: bytes) -> int:
@@ -112,7 +114,10 @@ def vocabulary(counted: DataFrame) -> tuple[Vocabulary, np.ndarray]:
         if (held := held + r["count"]) > HEAD:
             break
         least = r.step
-    top = sorted(short.filter(F.col("step") >= least).select("word", "n").collect(), key=lambda r: (-r.n, bytes(r.word)))
+    top = short.filter(F.col("step") >= least).select("word", "n").collect()
+    if len(top) < MODEL_WORDS:  # the next step alone holds more than HEAD words: the first of them by count and bytes
+        top += short.filter(F.col("step") < least).select("word", "n").orderBy(F.desc("n"), "word").limit(MODEL_WORDS - len(top)).collect()
+    top.sort(key=lambda r: (-r.n, bytes(r.word)))
     ends = counted.filter("length(word) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = [END] + [bytes(r.word) for r in top]
     n = np.array([ends] + [r.n for r in top], np.int64)
@@ -187,44 +192,88 @@ class Trainer:
             self.step(units[at], near[at], far[at])
 
 
-def _joined(texts: Iterator[bytes], vocabulary: Vocabulary) -> Iterator[np.ndarray]:
+UNIT_SCHEMA = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, head double, rest double, units binary, rare array<binary>"
+
+
+def unit_table(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """A row for each row of docs: its units as 16-bit numbers, sums over the words that tasks know, and all others."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(rows):
+        known, key, held, size = sent.value.build(), TaskContext.get().partitionId() << 33, [], 0
+        for doc_id, text, out in rows:
+            own = text.lower().split()
+            units, index = known.units(own)
+            there = index >= 0
+            at = index[there]
+            outside = units[units > MODEL_WORDS] - MODEL_WORDS - 1
+            rare = [own[k] for k in np.flatnonzero(~there).tolist()]
+            rest = float(known.extra[at].sum() - known.log_class[outside].sum())
+            held.append((key, doc_id, out, len(units), int(known.known[at].sum()), float(known.log_n[at].sum()), rest, units.astype("<u2").tobytes(), rare))
+            key, size = key + 1, size + len(units)
+            if size >= BATCH_TOKENS:
+                yield list(zip(*held, strict=True))
+                held, size = [], 0
+        if held:
+            yield list(zip(*held, strict=True))
+
+    return kept(map_columns(_texts(docs), run, UNIT_SCHEMA), "units")
+
+
+def _laid(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], np.ndarray]]:
+    """Rows in groups of BATCH_TOKENS units or so, and their units (the last column) end to end."""
     held, n = [], 0
-    for text in texts:
-        unit, _ = vocabulary.units(text.lower().split())
-        held.append(unit)
-        n += len(unit)
+    for *row, units in rows:
+        held.append((*row, units))
+        n += len(units) // 2
         if n >= BATCH_TOKENS:
-            yield np.concatenate(held)
+            yield held, np.frombuffer(b"".join(r[-1] for r in held), "<u2").astype(np.int64)
             held, n = [], 0
     if held:
-        yield np.concatenate(held)
+        yield held, np.frombuffer(b"".join(r[-1] for r in held), "<u2").astype(np.int64)
 
 
 BLOCK = 4096
+MODEL_SCHEMA = "block long, n long, sums array<double>"
+
+
+def _added(models: DataFrame, at_once: int = 32) -> DataFrame:
+    """The sums of each block, over few rows a block: a tree whose tasks add up at_once tasks' rows."""
+
+    def run(rows):
+        found: dict[int, list] = {}
+        for block, n, sums in rows:
+            own = found.setdefault(block, [0, 0.0])
+            own[0] += n
+            own[1] = own[1] + np.array(sums)
+        yield from ((block, n, sums) for block, (n, sums) in found.items())
+
+    while True:
+        tasks = max(1, -(-models.rdd.getNumPartitions() // at_once))
+        models = kept(map_rows(models.coalesce(tasks), run, MODEL_SCHEMA), "models")
+        if tasks == 1:
+            return models
 
 
-def train(docs: DataFrame, words: Vocabulary, share: np.ndarray) -> Params:
+def train(units: DataFrame, share: np.ndarray) -> Params:
     """The mean of the tasks' models, by tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
     first = start(share)
 
     def run(rows):
-        known = sent.value.build()
         trainer = Trainer(share, first, SEED + TaskContext.get().partitionId())
         n = 0
-        for units in _joined((text for _, text, _ in rows), known):
-            trainer.learn(units)
-            n += len(units)
+        for _, own in _laid(rows):
+            trainer.learn(own)
+            n += len(own)
         if n:
-            flat = np.concatenate([p.ravel() for p in trainer.params])
+            flat = np.concatenate([p.ravel() for p in trainer.params]).astype(float) * n
             for k in range(0, len(flat), BLOCK):
                 yield k, n, flat[k : k + BLOCK]
 
-    models = kept(map_rows(_texts(docs).filter(~F.col("held_out")), run, "block long, n long, values array<float>"), "models")
-    means = models.select("block", "n", F.posexplode("values")).groupBy((F.col("block") + F.col("pos")).alias("at")).agg((F.sum(F.col("n") * F.col("col").cast("double")) / F.sum("n")).alias("value"))
+    models = _added(kept(map_rows(units.filter(~F.col("held_out")).select("units"), run, MODEL_SCHEMA), "models"))
     flat = np.concatenate([p.ravel() for p in first]).astype(np.float64)
-    for at, value in means.collect():
-        flat[at] = value
+    for block, n, sums in models.collect():  # one row a block
+        flat[block : block + len(sums)] = np.array(sums) / n
     out, at = [], 0
     for p in first:
         out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
@@ -236,38 +285,21 @@ class Model:
     """Normalised log10 probabilities of units."""
 
     def __init__(self, params: Params):
-        self.params = params
-
-    def build(self) -> Model:
-        if not hasattr(self, "normaliser"):
-            vectors, near_m, far_m, self.bias = self.params
-            self.vectors, self.near, self.far = vectors, vectors @ near_m, vectors @ far_m
-            self.normaliser = np.full(UNITS * UNITS, np.nan, np.float32)
-        return self
-
-    def __getstate__(self):
-        return self.params
-
-    def __setstate__(self, params):
-        self.params = params
+        self.vectors, near, far, self.bias = params
+        self.near, self.far = self.vectors @ near, self.vectors @ far
+        # Scores add up over the places, so the sum over all units of their exponentials is a matrix product.
+        one, two = (self.near @ self.vectors.T + self.bias).astype(float), (self.far @ self.vectors.T).astype(float)
+        tops = one.max(1), two.max(1)
+        sums = np.exp(one - tops[0][:, None]) @ np.exp(two - tops[1][:, None]).T
+        self.normaliser = (np.log(sums) + tops[0][:, None] + tops[1]).astype(np.float32)
 
     def log10(self, units: np.ndarray) -> np.ndarray:
         """Of each of units: whole texts end to end, each closed by 0."""
         near = np.concatenate([[0], units[:-1]])
         far = np.where(near == 0, 0, np.concatenate([[0], near[:-1]]))
-        pair = near * UNITS + far
-        distinct = np.unique(pair)
-        new = distinct[np.isnan(self.normaliser[distinct])]
-        for k in range(0, len(new), 1024):
-            own = new[k : k + 1024]
-            scores = (self.near[own // UNITS] + self.far[own % UNITS]) @ self.vectors.T + self.bias
-            top = scores.max(1)
-            scores -= top[:, None]
-            np.exp(scores, out=scores)
-            self.normaliser[own] = top + np.log(scores.sum(1))
         guess = self.near[near] + self.far[far]
         score = np.einsum("ij,ij->i", guess, self.vectors[units]) + self.bias[units]
-        return ((score - self.normaliser[pair]) / np.log(10)).astype(np.float64)
+        return ((score - self.normaliser[near, far]) / np.log(10)).astype(np.float64)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -275,43 +307,21 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counted = kept(counts(docs), "word-counts")
     words, share = vocabulary(counted)
-    model = spark.sparkContext.broadcast(Model(train(docs, words, share)))
-    sent = spark.sparkContext.broadcast(words)
+    units = unit_table(docs, words)
+    model = spark.sparkContext.broadcast(Model(train(units, share)))
 
     def run(rows):
-        known, lm = sent.value.build(), model.value.build()
-        base, row = TaskContext.get().partitionId() << 33, 0
-        held, size = [], 0
-
-        def flush():
-            units = np.concatenate([u for *_, u in held])
-            ends = np.cumsum([len(u) for *_, u in held])
-            logs = np.add.reduceat(lm.log10(units), np.concatenate([[0], ends[:-1]]))
-            for (key, doc_id, out, n, n_known, head, rest, _), log in zip(held, logs.tolist(), strict=True):
-                yield key, doc_id, out, n, n_known, head, rest + log, None, 0
-
-        for doc_id, text, out in rows:
-            key = base + row
-            row += 1
-            own = text.lower().split()
-            units, index = known.units(own)
-            there = index >= 0
-            head, extra = known.log_n[index[there]].sum(), known.extra[index[there]].sum()
-            outside = units[units > MODEL_WORDS] - MODEL_WORDS - 1
-            for word, n in Counter([own[k] for k in np.flatnonzero(~there).tolist()]).items():
-                yield key, None, None, 0, 0, 0.0, 0.0, word, n
-            held.append((key, doc_id, out, len(units), int(known.known[index[there]].sum()), float(head), float(extra - known.log_class[outside].sum()), units))
-            size += len(units)
-            if size >= BATCH_TOKENS:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    both = kept(map_rows(_texts(docs), run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, head double, lm double, word binary, n long"), "scores")
-    rare = both.filter("word is not null").select("key", "word", F.col("n").alias("times"))
-    rare = rare.join(counted, "word").groupBy("key").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("rare_log"))
-    out = both.filter("word is null").join(rare, "key", "left").fillna(0, ["rare_known", "rare_log"])
+        lm = model.value
+        for held, own in _laid(rows):
+            *same, sizes, rests, _ = zip(*held, strict=True)
+            ends = np.cumsum(sizes)
+            logs = np.add.reduceat(lm.log10(own), np.concatenate([[0], ends[:-1]]))
+            yield [*same, sizes, np.array(rests) + logs]
+
+    columns = ("key", "doc_id", "held_out", "n_known", "head", "n_tokens", "rest", "units")
+    scores = map_columns(units.select(*columns), run, "key long, doc_id long, held_out boolean, n_known long, head double, n_tokens long, lm double")
+    rare = units.select("key", F.explode("rare").alias("word")).join(counted, "word").groupBy("key").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("rare_log"))
+    out = scores.join(rare, "key", "left").fillna(0, ["rare_known", "rare_log"])
     each = float(np.log10(words.total + words.distinct + 1.0))
     return out.select(
         "doc_id",
