@@ -94,19 +94,24 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def map_columns(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with function(iterator of row tuples) -> iterator of lists of columns, each a list or an array."""
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with function(iterator of record batches) -> iterator of lists of columns."""
     _prepared(df.sparkSession)
     arrow = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
-        for columns in function(rows_of(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        for columns in function(batches):
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with function(iterator of row tuples) -> iterator of lists of columns, each a list or an array."""
+    return map_batches(df, lambda batches: function(rows_of(batches)), schema)
+
+
 def keep_rows(docs: DataFrame, wanted, columns: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows of docs, all columns as they are, for which wanted(*values) holds; values are UTF-8, null as empty, and
     those of the columns in `more` as they are."""

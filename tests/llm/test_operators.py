@@ -352,12 +352,28 @@ def test_feistel_is_a_permutation():
         assert sorted(materialise.feistel(np.arange(total), total, 5).tolist()) == list(range(total))
 
 
-def test_shards_hold_every_sequence(docs):
+def test_shards_hold_every_sequence(docs, plain):
+    t = Tokenizer.from_file(VOCABULARY)
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for i, x in plain.items()}
     slots, total = materialise.materialised(docs, VOCABULARY, stride=256, shard=64)
-    got = materialise.read_back(slots, 256).collect()
-    assert sorted(r.slot for r in got) == list(range(total))
-    cut = {(r.doc_id, r.start): zlib.crc32(np.frombuffer(r.ids, "<u2")[: r.length].astype("<u4").tobytes()) for r in materialise.sequences(docs, VOCABULARY, 256).collect()}
-    assert {(r.doc_id, r.start): r.ids_crc32 for r in got} == cut
+    got = sorted(materialise.read_back(slots, 256).collect())
+    assert [r.slot for r in got] == list(range(total)) and all((r.shard, r.record) == (r.slot // 64, r.slot % 64) for r in got)
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+    # Sequences that lie in one document have its ids; each document begins where the one before it ends.
+    inside = [r for r in got if r.start + r.length <= len(ids[r.doc_id])]
+    assert len(inside) > 100
+    for r in inside:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    for path in {r.path for r in slots.collect()}:
+        shard = int(path.rpartition("/")[2].partition("-")[0])
+        own = [r for r in got if r.shard == shard]
+        read = list(materialise.read_shard(path, 256))
+        assert [zlib.crc32(s[: r.length].astype("<u4").tobytes()) for s, r in zip(read, own, strict=True)] == [r.ids_crc32 for r in own]
+        assert (next(materialise.read_shard(path, 256, len(own) - 1)) == read[-1]).all()
+    # Put back into the order of the cut, the ids of each task are its documents end to end.
+    rows = sorted(materialise.sequences(docs.coalesce(1), VOCABULARY, 256).collect())
+    laid = np.concatenate([np.frombuffer(r.ids, "<u2")[: r.length] for r in rows])
+    assert (laid == np.concatenate([ids[r.doc_id] for r in docs.coalesce(1).collect()])).all()
 
 
 @pytest.mark.parametrize("name", ["bpe", "packing", "rules", "neardup", "secrets", "webp", "lm", "order"])
