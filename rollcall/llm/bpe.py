@@ -152,6 +152,8 @@ class Bpe:
         """A normal chunk without ASCII white space, cut as the vocabulary asks."""
         if data.isalpha():  # of bytes: ASCII letters
             return [data]
+        if data[-1] in b".,;:!?$%&*#|" and data[:-1].isalpha():
+            return [data[:-1], data[-1:]]
         text = data.decode("utf-8", "replace")
         if text.isalpha():
             return [data]
@@ -199,24 +201,22 @@ class Bpe:
     def merged(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of many pieces by their merges, pieces of a width all at once; long ones by piece()."""
         out: list[bytes] = [b""] * len(pieces)
-        groups: dict[int, list[int]] = {w: [] for w in WIDTHS}
-        for k, p in enumerate(pieces):
-            n = len(p)
-            w = next((w for w in WIDTHS if n <= w), 0)
-            if n == 1 or not w:
-                ids = self.piece(p)
-                out[k] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                groups[w].append(k)
-        for w, own in groups.items():
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = np.searchsorted(WIDTHS, sizes)
+        width[sizes == 1] = len(WIDTHS)
+        for k in np.flatnonzero(width == len(WIDTHS)).tolist():
+            ids = self.piece(pieces[k])
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        for j, w in enumerate(WIDTHS):
+            own = np.flatnonzero(width == j)
             for k in range(0, len(own), 50_000):
-                self._merged(pieces, own[k : k + 50_000], w, out)
+                self._merged(pieces, own[k : k + 50_000].tolist(), sizes[own[k : k + 50_000]], w, out)
         return out
 
-    def _merged(self, pieces: list[bytes], short: list[int], wide: int, out: list[bytes]) -> None:
+    def _merged(self, pieces: list[bytes], short: list[int], size: np.ndarray, wide: int, out: list[bytes]) -> None:
         own, value = self.table
-        size = np.array([len(pieces[k]) for k in short])
-        raw = np.frombuffer(b"".join([pieces[k].ljust(wide + 1, b"\0") for k in short]), np.uint8).reshape(len(short), wide + 1)
+        raw = np.zeros((len(short), wide + 1), np.uint8)
+        raw[np.arange(wide + 1) < size[:, None]] = np.frombuffer(b"".join([pieces[k] for k in short]), np.uint8)
         ids = self.base[raw]
         every = np.arange(len(short))
         ids[every, size - 1] = self.base_end[raw[every, size - 1]]
@@ -300,18 +300,18 @@ class Bpe:
         if len(self.memo) >= MEMO_CHUNKS:
             self.memo.clear()
         memo = self.memo
-        new = [*set().union(*split).difference(memo)]
+        found = [[*map(memo.get, s)] for s in split]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        new = [*{s[k] for s, own in zip(split, gaps, strict=True) for k in own}]
         cut = [self.pieces(c) for c in new]
         distinct = [*{p for own in cut for p in own}]
         ids = dict(zip(distinct, self.merged(distinct), strict=True))
-        for c, own in zip(new, cut, strict=True):
-            memo[c] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
-        get = memo.__getitem__
-        out = [b"".join(map(get, s)) if p else self.encode(t) for t, p, s in zip(texts, plain, split, strict=True)]
-        for c in new:
-            if len(c) > MEMO_BYTES:
-                memo.pop(c, None)
-        return out
+        fresh = {c: ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own]) for c, own in zip(new, cut, strict=True)}
+        for s, f, own in zip(split, found, gaps, strict=True):
+            for k in own:
+                f[k] = fresh[s[k]]
+        memo.update(fresh if all(len(c) <= MEMO_BYTES for c in new) else {c: x for c, x in fresh.items() if len(c) <= MEMO_BYTES})
+        return [b"".join(f) if p else self.encode(t) for t, p, f in zip(texts, plain, found, strict=True)]
 
     def decode(self, ids: bytes, at_once: int = 1 << 18) -> Iterator[bytes]:
         """The decoded text, UTF-8, in parts: token strings joined by spaces."""
@@ -332,13 +332,24 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+def encoded(rows: Iterator[tuple], bpe: Bpe, at_once: int = 4_000_000) -> Iterator[tuple]:
+    """(doc_id, ids) from (doc_id, text), texts of about at_once bytes at a time."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size > at_once:
+            yield from zip((d for d, _ in held), bpe.encode_many([t for _, t in held]), strict=True)
+            held, size = [], 0
+    yield from zip((d for d, _ in held), bpe.encode_many([t for _, t in held]), strict=True)
+
+
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: number of ids, digests of the ids and of the text decoded from them."""
 
     def run(rows):
         bpe = loaded(vocabulary)
-        for doc_id, text in rows:
-            ids = bpe.encode(text)
+        for doc_id, ids in encoded(rows, bpe):
             decoded = hashlib.sha256()
             for part in bpe.decode(ids):
                 decoded.update(part)
@@ -351,9 +362,8 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids array<long>) of every whole text."""
 
     def run(rows):
-        bpe = loaded(vocabulary)
-        for doc_id, text in rows:
-            yield doc_id, np.frombuffer(bpe.encode(text), "<u4").astype("i8")
+        for doc_id, ids in encoded(rows, loaded(vocabulary)):
+            yield doc_id, np.frombuffer(ids, "<u4").astype("i8")
 
     return map_rows(texts(docs), run, "doc_id long, ids array<long>")
 

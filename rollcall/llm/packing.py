@@ -22,7 +22,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import loaded
+from .bpe import encoded, loaded
 from .common import map_rows, texts
 
 TIERS = (512, 1024, 2048, 4096)
@@ -116,7 +116,6 @@ def packed(docs: DataFrame, vocabulary: str, tiers=TIERS, pool_ids: int = POOL_I
 
     def run(rows):
         base = TaskContext.get().partitionId() << 32
-        tokens = loaded(vocabulary)
         made, groups, filled = 0, 0, {}
         end = np.array([END_ID], "<u4").tobytes()
 
@@ -133,18 +132,8 @@ def packed(docs: DataFrame, vocabulary: str, tiers=TIERS, pool_ids: int = POOL_I
                     at += length
                 made += 1
 
-        def encoded():
-            held, size = [], 0
-            for doc_id, text in rows:
-                held.append((doc_id, text))
-                size += len(text)
-                if size > 4_000_000:
-                    yield from zip((d for d, _ in held), tokens.encode_many([t for _, t in held]), strict=True)
-                    held, size = [], 0
-            yield from zip((d for d, _ in held), tokens.encode_many([t for _, t in held]), strict=True)
-
         pool, size = [], 0
-        for doc_id, ids in encoded():
+        for doc_id, ids in encoded(rows, loaded(vocabulary)):
             pool.append(([doc_id, ids + end], 0, len(ids) // 4 + 1))
             size += pool[-1][2]
             if size >= pool_ids:
