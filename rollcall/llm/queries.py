@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, crf, lm, materialise, neardup, packing, rules, secret_scan, warc, webp
 from .common import read
@@ -24,7 +25,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.read_back(warc.written(read(spark, sf_dir, "pages")))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")  # whatever the URL's scheme
+    return rows.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to", "record_id")
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

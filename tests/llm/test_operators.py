@@ -164,26 +164,6 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("(?:abc|defg)[0-9]+") == [[frozenset({"abc"}), frozenset({"def", "efg"})]]
 
 
-def test_warc(spark):
-    rows = [(1, "http://a b/é", "<p>é</p>"), (2, "https://x", None), (3, None, ""), (4, "dns:x", "<p>é</p>"), (5, "http://y", "z" * 200_000)]
-    got = by_id(warc.read_back(warc.written(spark.createDataFrame(rows, "page_id long, url string, html string"), version=2)), "page_id")
-    first = {}
-    for i, _, html in rows:
-        body = (html or "").encode()
-        g, own = got[i], first.setdefault(body, i)
-        assert (g.payload_bytes, g.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
-        assert g.refers_to == (None if own == i else own) and (g.record_type == "revisit") == (own != i)
-
-
-def test_arc_versions():
-    r = warc.ArcRecord("http://x", "1.2.3.4", "20010203040506", "text/html", b"a\nb")
-    for v in (1, 2):
-        assert list(warc.parse_arc(warc.arc_bytes(r, v) * 2, v)) == [r, r]
-    assert warc.iso(r.date) == "2001-02-03T04:05:06Z"
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(b"http://x 1.2.3.4 2001 text/html 99\nabc", 1))
-
-
 def test_webp_round_trip(docs, plain):
     for i, g in by_id(webp.stored(docs)).items():
         payload = webp.padded(plain[i].encode())
