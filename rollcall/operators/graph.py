@@ -1,54 +1,148 @@
-"""Closure of effective-dated hierarchies."""
+"""Closure of effective-dated hierarchies, of any depth and with cycles."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The relations that contain: only along these do suppressions pass down.
+CONTAINING = ("part_of", "reports_to", "operated_by")
+
 
 def effective(edges: DataFrame, as_of: date | str | None) -> DataFrame:
     """Edges in force on a day, both ends included, an open end without one; all edges if no day is given."""
     if as_of is None:
         return edges
     day = F.lit(as_of).cast("date")
-    return edges.filter((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day)))
+    return edges.filter((F.col("effective_from").isNull() | (F.col("effective_from") <= day)) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day)))
+
+
+def containing(edges: DataFrame, kind: str = "kind") -> DataFrame:
+    return edges.filter(F.col(kind).isin(*CONTAINING))
+
+
+def _shared(spark: SparkSession) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base.rstrip('/')}/rollcall/graph-{uuid.uuid4().hex}"
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='rollcall-')}")
-    return df.checkpoint()
+def _written(df: DataFrame, folder: str, step: int) -> DataFrame:
+    """df as a table: plans stay short, lost executors lose nothing."""
+    path = f"{folder}/{step}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | str | None = None) -> DataFrame:
-    """(node, ancestor, depth), every node its own at depth 0, from (parent, child): one equality join a level.
+    """(node, ancestor, depth) with the nodes themselves at depth 0, from (parent, child), up to depth `most`: one row
+    for each depth at which an ancestor is reached.
 
-    The frontier of each level is joined, never the closure so far; the last level is depth `most`. With as_of,
-    only edges in force on that day (effective_from, effective_to) count.
+    Reach doubles: ways of up to k steps, joined behind those of exactly k, give all up to 2k. Each round writes what
+    is new; the loop ends where no way of k steps is left. With as_of, only edges in force on that day
+    (effective_from, effective_to) count.
     """
-    level = nodes.select("node", F.col("node").alias("ancestor"))
-    up = effective(edges, as_of).select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    out = level.withColumn("depth", F.lit(0))
-    for depth in range(1, most + 1):
-        level = level.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
-        out = out.union(level.withColumn("depth", F.lit(depth)))
-    return out
+    spark, folder = nodes.sparkSession, _shared(nodes.sparkSession)
+    wanted = nodes.select("node").distinct()
+    up = effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    if most < 1:
+        return wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    last = _written(up, folder, 1)
+    reach, paths = 1, [f"{folder}/1"]
+    while reach < most:
+        known = spark.read.schema(last.schema).parquet(*paths)
+        ends = last.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        after = known.filter(F.col("depth") <= most - reach).select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        last = _written(ends.join(after, "via").select("node", "ancestor", "depth").distinct(), folder, 2 * reach)
+        if last.isEmpty():
+            break
+        reach *= 2
+        paths.append(f"{folder}/{reach}")
+    ways = spark.read.schema(last.schema).parquet(*paths).join(wanted, "node", "left_semi")
+    return ways.union(wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+
+
+def nearest(closure: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) with each ancestor once, at its least depth; nodes themselves left out."""
+    return closure.filter("depth > 0 and node != ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def reached(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(origin, node, depth): all that can be reached from each start (origin, node) along (node, next), each once, at
+    its least depth; cycles end where they meet what is known."""
+    spark, folder = starts.sparkSession, _shared(starts.sparkSession)
+    steps = _written(steps.select("node", "next").distinct(), folder, -1)
+    level = _written(starts.select("origin", "node", F.lit(0).alias("depth")).distinct(), folder, 0)
+    paths = [f"{folder}/0"]
+    while not level.isEmpty():
+        known = spark.read.schema(level.schema).parquet(*paths).select("origin", "node")
+        after = level.join(steps, "node").select("origin", F.col("next").alias("node"), F.lit(len(paths)).alias("depth")).distinct()
+        level = _written(after.join(known, ["origin", "node"], "left_anti"), folder, len(paths))
+        paths.append(f"{folder}/{len(paths)}")
+    return spark.read.schema(level.schema).parquet(*paths)
+
+
+def hierarchy(nodes: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
+    """(node, ancestor, depth): every ancestor of each node, nearest depth, several parents, cycles and any depth; a
+    node is not its own ancestor."""
+    up = effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("next"))
+    found = reached(nodes.select(F.col("node").alias("origin"), "node"), up)
+    return found.filter("depth > 0").select(F.col("origin").alias("node"), F.col("node").alias("ancestor"), "depth")
+
+
+def descendants(nodes: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
+    """(node, descendant), the node itself included."""
+    down = effective(edges, as_of).select(F.col("parent").alias("node"), F.col("child").alias("next"))
+    found = reached(nodes.select(F.col("node").alias("origin"), "node"), down)
+    return found.select(F.col("origin").alias("node"), F.col("node").alias("descendant"))
 
 
 def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
-    """(node): roots (node) and all below them, however deep; cycles end where they meet what is known.
+    """(node): roots (node) and all below them, however deep; cycles end where they meet what is known. With as_of,
+    only edges in force on that day count.
+
+    In round k, nodes join whose ancestor 2^k steps up is known; edges double for the next round. A round without new
+    nodes ends it: then none lies as far below the roots as that, nor further.
+    """
+    spark, folder = roots.sparkSession, _shared(roots.sparkSession)
+    jump = _written(effective(edges, as_of).select("child", "parent").distinct(), folder, 0)
+    known = _written(roots.select("node").distinct(), folder, 1)
+    paths, step = [f"{folder}/1"], 1
+    while True:
+        below = jump.join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        new = _written(below.join(known, "node", "left_anti"), folder, step + 1)
+        if new.isEmpty():
+            return known
+        paths.append(f"{folder}/{step + 1}")
+        known = spark.read.schema(new.schema).parquet(*paths)
+        twice = jump.withColumnRenamed("parent", "via").join(jump.withColumnRenamed("child", "via"), "via").select("child", "parent").distinct()
+        jump = _written(twice, folder, step + 2)
+        step += 2
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node): nodes from which edges lead back to themselves at a time when all edges on the way are in force.
 
-    Each level is checkpointed, so plans stay short. With as_of, only edges in force on that day count.
+    Paths carry the interval that their edges share and their nodes; a path goes on only while the interval is not
+    empty and it meets no node twice. Meant for guarding new edges: give the nodes that these touch.
     """
-    level = _checkpointed(roots.select("node").distinct())
-    out = level
-    down = effective(edges, as_of).select(F.col("parent").alias("node"), "child")
+    folder = _shared(edges.sparkSession)
+    dated = edges.select("parent", "child", F.coalesce("effective_from", F.lit("0001-01-01").cast("date")).alias("since"), F.coalesce("effective_to", F.lit("9999-12-31").cast("date")).alias("until"))
+    dated = _written(dated, folder, -1)
+    level = _written(dated.select(F.col("child").alias("origin"), F.col("parent").alias("node"), "since", "until", F.array("child").alias("path")), folder, 0)
+    found, step = [], 0
     while not level.isEmpty():
-        below = level.join(down, "node").select(F.col("child").alias("node")).distinct()
-        level = _checkpointed(below.join(out, "node", "left_anti"))
-        out = out.union(level)
-    return out
+        found.append(level.filter("node = origin").select(F.col("origin").alias("node")))
+        step += 1
+        up = dated.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.col("since").alias("a"), F.col("until").alias("b"))
+        after = level.filter("node != origin and not array_contains(path, node)").join(up, "node")
+        after = after.select("origin", F.col("next").alias("node"), F.greatest("since", "a").alias("since"), F.least("until", "b").alias("until"), F.array_append("path", F.col("node")).alias("path"))
+        level = _written(after.filter("since <= until"), folder, step)
+    out = found[0] if found else edges.select(F.col("child").alias("node")).limit(0)
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
