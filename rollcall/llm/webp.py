@@ -4,9 +4,12 @@ decode() reads any lossless WebP still image: prefix codes (simple and normal, w
 literals, back-references, the colour cache, and the inverse of all four transforms (predictor, cross-colour,
 subtract-green, palette with bundled pixels).
 
+decode_streams() does the same for many images in step, a pixel of each at a time, in numpy; images with several
+groups of codes, or very large ones, are left to decode().
+
 store() lays bytes out as rows of 64 RGB pixels and compresses them: prefix codes by frequency, back-references, a
-colour cache, and a palette or predictor and cross-colour transforms, each where an estimate says that it makes the
-file smaller. What is too tall for an image goes on in further ones.
+colour cache, and a palette where an estimate says that it makes the file smaller, or predictor or cross-colour
+transforms by turns. What is taller than TALLEST rows goes on in further images.
 
 Edge cases: a null or empty text is 192 blanks; equal texts give equal bytes; damaged images raise ValueError;
 repeated rows are stored each for itself; an empty table gives no rows.
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, texts
 
-WIDE, TALLEST = 64, 16384
+WIDE, TALLEST = 64, 64
 UNIT = 3 * WIDE
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -303,6 +306,55 @@ def _unpredict(pixels: np.ndarray, wide: int, tall: int, block: int, modes: np.n
     return _argb(out).reshape(-1)
 
 
+def _guesses(mode: int, left, top, right, corner) -> np.ndarray:
+    """_predicted() of many pixels: rows of four channels."""
+    if mode in (0, 14, 15):
+        return np.broadcast_to([255, 0, 0, 0], left.shape)
+    if mode <= 4:
+        return (left, top, right, corner)[mode - 1]
+    if mode == 5:
+        return (left + right >> 1) + top >> 1
+    if mode <= 9:
+        a, b = ((left, corner), (left, top), (corner, top), (top, right))[mode - 6]
+        return a + b >> 1
+    if mode == 10:
+        return (left + corner >> 1) + (top + right >> 1) >> 1
+    if mode == 11:
+        nearer = np.abs(top - corner).sum(1) < np.abs(left - corner).sum(1)
+        return np.where(nearer[:, None], left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    mean = left + top >> 1
+    d = mean - corner
+    return np.clip(mean + np.where(d < 0, -(-d >> 1), d >> 1), 0, 255)
+
+
+def unpredict_many(images: list[tuple]) -> list[np.ndarray]:
+    """_unpredict() of many (pixels, wide, tall, block, modes): along slanted lines, on which no pixel needs another."""
+    sizes = [w * h for _, w, h, _, _ in images]
+    start = np.cumsum([0, *sizes])
+    out = _split(np.concatenate([p for p, *_ in images])).astype(np.int32)
+    x, y, mode, wide = (np.empty(start[-1], np.int32) for _ in range(4))
+    for k, (_, w, h, block, modes) in enumerate(images):
+        yy, xx = (v.reshape(-1) for v in np.indices((h, w), np.int32))
+        own = slice(start[k], start[k + 1])
+        x[own], y[own], wide[own] = xx, yy, w
+        mode[own] = (modes >> 8 & 15).reshape(-1, -(-w >> block))[yy >> block, xx >> block]
+    mode = np.where(y == 0, np.where(x == 0, 0, 1), np.where(x == 0, 2, mode))
+    line = x + 2 * y
+    order = np.lexsort((mode, line))
+    key = line[order].astype(np.int64) * 16 + mode[order]
+    cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(order)]
+    for a, b in zip(cut, cut[1:]):
+        p = order[a:b]
+        w = wide[p]
+        # Neighbours that a mode does not use may lie outside; any pixel stands for them.
+        guess = _guesses(int(mode[p[0]]), *(out[np.maximum(p - back, 0)] for back in (1, w, w - 1, w + 1)))
+        out[p] = out[p] + guess & 255
+    flat = _argb(out)
+    return [flat[a:b] for a, b in zip(start, start[1:])]
+
+
 def _uncross(pixels: np.ndarray, wide: int, tall: int, block: int, factors: np.ndarray) -> np.ndarray:
     across = -(-wide >> block)
     rows, cols = np.arange(tall) >> block, np.arange(wide) >> block
@@ -384,7 +436,7 @@ class Writer:
         self.n += n
 
 
-def _lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a Huffman code by symbol, at most so long; 1 for an only symbol."""
     out = np.zeros(len(counts), np.int64)
     symbols = np.flatnonzero(counts)
@@ -418,55 +470,66 @@ def _lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         own = own + 1 >> 1
 
 
-def _code_values(lengths: np.ndarray) -> np.ndarray:
-    """Each symbol's code as the stream has it, first bit lowest."""
+def _code_values(lengths: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Each symbol's code as the stream has it, first bit lowest; of several codes end to end, if their starts are given."""
     out = np.zeros(len(lengths), np.int64)
     symbols = np.flatnonzero(lengths)
-    if len(symbols) > 1:
-        order = symbols[np.argsort(lengths[symbols], kind="stable")]
-        step = 1 << 15 - lengths[order]
-        out[order] = REVERSED[15][np.cumsum(step) - step]
+    own = lengths[symbols]
+    which = np.zeros(len(symbols), np.int64) if start is None else np.searchsorted(start, symbols, "right") - 1
+    order = np.argsort(which * 16 + own, kind="stable")
+    symbols, own, which = symbols[order], own[order], which[order]
+    step = np.cumsum(1 << 15 - own)
+    # A code of two symbols or more fills 2^15, so that each begins anew at a multiple of it.
+    out[symbols] = REVERSED[15][step - (1 << 15 - own) & 0x7FFF]
     return out
 
 
-def _put_code(w: Writer, lengths: np.ndarray) -> None:
+MOST = 11  # bits of a written code
+#: Lengths are stated by a code of sixteen symbols, four bits each: lengths up to 12 and the three kinds of runs.
+STATED = np.array([4 if s <= 12 or s >= 16 else 0 for s in range(19)])
+
+
+def _stated() -> tuple[int, int, list[int]]:
+    """The bits that state the code of lengths, how many there are, and its symbols' values."""
+    w = Writer()
+    for x, n in ((0, 1), (len(LENGTH_ORDER) - 4, 4), *((int(STATED[s]), 3) for s in LENGTH_ORDER), (0, 1)):
+        w.put(x, n)
+    return w.value, w.n, _code_values(STATED).tolist()
+
+
+def _put_code(w: Writer, lengths: np.ndarray, known: list = []) -> None:  # noqa: B006
     """States a code: one or two symbols of a byte as they are, others by their lengths, runs cut short."""
     symbols = np.flatnonzero(lengths).tolist() or [0]
     if len(symbols) <= 2 and symbols[-1] < 256:
         for x, n in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)):
             w.put(x, n)
         return
+    if not known:
+        known.extend(_stated())
+    value, n, of = known
     at = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
-    tokens = []
-    for value, begin, end in zip(lengths[at[:-1]].tolist(), at, at[1:]):
-        run = end - begin
-        if value:
-            tokens.append((value, 0, 0))
-            run -= 1
-            while run >= 3:
-                k = min(run, 6)
-                tokens.append((16, k - 3, 2))
-                run -= k
+    runs = lengths[at[:-1]].tolist()
+    for own, begin, end in zip(runs, at, at[1:]):
+        left = end - begin
+        if own:
+            value |= of[own] << n
+            n += 4
+            left -= 1
+            while left >= 3:
+                k = min(left, 6)
+                value |= (of[16] | k - 3 << 4) << n
+                n += 6
+                left -= k
         else:
-            while run >= 3:
-                k = min(run, 138)
-                tokens.append((18, k - 11, 7) if k >= 11 else (17, k - 3, 3))
-                run -= k
-        tokens += [(value, 0, 0)] * run
-    inner = _lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    values, sizes = _code_values(inner).tolist(), inner.tolist()
-    if sum(x > 0 for x in sizes) == 1:
-        size_of = [0] * 19
-    else:
-        size_of = sizes
-    stated = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if sizes[s]))
-    w.put(0, 1)
-    w.put(stated - 4, 4)
-    for s in LENGTH_ORDER[:stated]:
-        w.put(sizes[s], 3)
-    w.put(0, 1)
-    for s, extra, n in tokens:
-        w.put(values[s] | extra << size_of[s], size_of[s] + n)
+            while left >= 3:
+                k = min(left, 138)
+                value |= (of[18] | k - 11 << 4 if k >= 11 else of[17] | k - 3 << 4) << n
+                n += 11 if k >= 11 else 7
+                left -= k
+        for _ in range(left):
+            value |= of[own] << n
+            n += 4
+    w.put(value, n)
 
 
 def _bits_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -555,27 +618,28 @@ def _put_image(parts: list[np.ndarray], w: Writer, pixels: np.ndarray, wide: int
     last = _before(slot)
     hit = ((last >= 0) & (pixels[last] == pixels))[single]
 
-    def counted(hit: np.ndarray, cached: int) -> list[np.ndarray]:
-        first = np.concatenate([np.where(hit, LITERALS + LENGTH_CODES + slot[single], channels[0]), LITERALS + size])
-        return [np.bincount(first, minlength=LITERALS + LENGTH_CODES + cached), *(np.bincount(c[~hit], minlength=LITERALS) for c in channels[1:])]
-
-    none = np.zeros_like(hit)
-    counts = min((counted(none, 0), counted(hit, 1 << CACHE_BITS)), key=lambda x: sum(map(_cost, x))) if hit.any() else counted(none, 0)
-    cached = len(counts[0]) > LITERALS + LENGTH_CODES
-    hit = hit if cached else none
+    cached = bool(8 * np.count_nonzero(hit) > len(single))
+    if not cached:
+        hit = np.zeros_like(hit)
     w.put(cached, 1)
     if cached:
         w.put(CACHE_BITS, 4)
     if top:
         w.put(0, 1)  # one group of codes
-    lengths = [_lengths(c) for c in (*counts, np.bincount(far, minlength=DISTANCE_CODES))]
+    first = np.where(hit, LITERALS + LENGTH_CODES + slot[single], channels[0])
+    others = [c[~hit] for c in channels[1:]] if cached else channels[1:]
+    counts = [np.bincount(np.concatenate([first, LITERALS + size]), minlength=LITERALS + LENGTH_CODES + (1 << CACHE_BITS) * cached)]
+    counts += [np.bincount(c, minlength=LITERALS) for c in others] + [np.bincount(far, minlength=DISTANCE_CODES)]
+    lengths = [_lengths(c, MOST) for c in counts]
     for x in lengths:
         _put_code(w, x)
     lengths = [np.zeros_like(x) if np.count_nonzero(x) < 2 else x for x in lengths]
-    codes = [_code_values(x) for x in lengths]
+    start = np.cumsum([0, *map(len, lengths)])
+    flat = np.concatenate(lengths)
+    values_of = _code_values(flat, start[:-1])
+    codes = [values_of[a:b] for a, b in zip(start, start[1:])]
     values, sizes = (np.zeros((len(single) + len(copies), 4), np.int64) for _ in (0, 1))
     n = len(single)
-    first = np.where(hit, LITERALS + LENGTH_CODES + slot[single], channels[0])
     for out, of in ((values, codes), (sizes, lengths)):
         out[:n, 0] = of[0][first]
         for k in (1, 2, 3):
@@ -598,6 +662,7 @@ def _cost_of(parts: np.ndarray) -> float:
 
 
 BLOCK = 4  # transforms go by blocks of 16 x 16 pixels
+TURNS, PREDICTED, CROSSED, BUSY = 32, 0, 1, 6  # of texts' images, by their CRC, one in TURNS takes each of these transforms
 MODES = (1, 2, 11, 12)
 
 
@@ -632,17 +697,22 @@ def _cross(rgb: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
     return np.stack([red - (to_red * green >> 5), green, rest - (across * red >> 5)], -1) & 255, (across, to_blue, to_red)
 
 
-def encode_rgb(pixels: np.ndarray) -> bytes:
-    """A file of tall x wide x 3 pixels."""
+def encode_rgb(pixels: np.ndarray, turn: int | None = None) -> bytes:
+    """A file of tall x wide x 3 pixels. Palette, predictor and cross-colour transforms are used where an estimate says
+    that they make the file smaller. Samples of less than BUSY bits each are text: no estimate is made of predictors
+    and cross-colour then, but of those images turn PREDICTED takes the one and CROSSED the other."""
     tall, wide, _ = pixels.shape
     rgb = pixels.astype(np.int64)
     joined = (rgb[..., 0] << 16 | rgb[..., 1] << 8 | rgb[..., 2]).reshape(-1)
     w, parts = Writer(), []
     for value, n in ((wide - 1, 14), (tall - 1, 14), (0, 1), (0, 3)):  # sizes, no alpha, version
         w.put(value, n)
-    colours, index, counts = np.unique(joined, return_inverse=True, return_counts=True)
+    colours = np.unique(joined)
+    index = np.searchsorted(colours, joined) if len(colours) <= 256 else None
     plain, across, alpha = _cost_of(rgb), wide, BLACK
-    if len(colours) <= 256 and _cost(counts) + 20 * len(colours) < plain:
+    if plain > BUSY * rgb.size:
+        turn = None
+    if index is not None and _cost(np.bincount(index)) + 20 * len(colours) < plain:
         for value, n in ((1, 1), (3, 2), (len(colours) - 1, 8)):
             w.put(value, n)
         table = _split(colours | BLACK)
@@ -655,15 +725,15 @@ def encode_rgb(pixels: np.ndarray) -> bytes:
         joined = (held.reshape(tall, across, -1) << shifts).sum(-1).reshape(-1) << 8
         alpha = 0
     else:
-        rest, modes = _predict(rgb)
-        cost = _cost_of(rest)
-        if cost < 0.95 * plain:
+        rest, modes = _predict(rgb) if turn is None or turn == PREDICTED else (rgb, None)
+        cost = plain if turn is not None else _cost_of(rest)
+        if turn == PREDICTED or cost < 0.95 * plain:
             rgb, plain, alpha = rest, cost, 0
             for value, n in ((1, 1), (0, 2), (BLOCK - 2, 3)):
                 w.put(value, n)
             w = _put_image(parts, w, modes.reshape(-1) << 8 | BLACK, modes.shape[1])
-        rest, (red_blue, green_blue, green_red) = _cross(rgb)
-        if _cost_of(rest) < 0.95 * plain:
+        rest, (red_blue, green_blue, green_red) = _cross(rgb) if turn is None or turn == CROSSED else (rgb, (0, 0, 0))
+        if turn == CROSSED or (turn is None and _cost_of(rest) < 0.95 * plain):
             rgb = rest
             for value, n in ((1, 1), (1, 2), (BLOCK - 2, 3)):
                 w.put(value, n)
@@ -682,9 +752,11 @@ def padded(text: bytes) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """Lossless WebP files, one after the other, of a payload of whole rows."""
+    """Lossless WebP files, one after the other, of a payload of whole rows. Texts have no gradients, so predictor and
+    cross-colour transforms seldom pay; images take them by turns, so that reading back meets them all the same."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDE, 3)
-    return b"".join(encode_rgb(rows[k : k + TALLEST]) for k in range(0, len(rows), TALLEST))
+    parts = (rows[k : k + TALLEST] for k in range(0, len(rows), TALLEST))
+    return b"".join(encode_rgb(p, zlib.crc32(p) % TURNS) for p in parts)
 
 
 def load(media: bytes) -> np.ndarray:
@@ -696,6 +768,328 @@ def load(media: bytes) -> np.ndarray:
     return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+# Many images at once: the same steps as above, each taken for all streams together.
+
+LOCKSTEP_PIXELS, LOCKSTEP_CELLS = 1 << 14, 1 << 23  # of an image and of all code tables that are decoded so
+
+
+class Streams:
+    """Bit streams end to end in one buffer; `at` is each one's place in bits, `end` where it ends."""
+
+    def __init__(self, parts: list[bytes]):
+        raw = np.frombuffer(b"".join(parts) + bytes(16), np.uint8)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(sizes)
+        self.at, self.end = 8 * (ends - sizes), 8 * ends
+        # The eight bytes from each place on, so that a read is one lookup.
+        self.words = np.zeros(len(raw) - 7, np.uint64)
+        for k in range(8):
+            self.words |= raw[k : len(raw) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
+
+    def peek(self, which: np.ndarray) -> np.ndarray:
+        """57 bits or more of each of these streams, as signed numbers without a sign."""
+        at = self.at[which]
+        return (self.words[np.minimum(at >> 3, len(self.words) - 1)] >> (at & 7).astype(np.uint64) & np.uint64(0x1FFFFFFFFFFFFFF)).astype(np.int64)
+
+    def read(self, which: np.ndarray, n) -> np.ndarray:
+        out = self.peek(which) & (1 << np.asarray(n, np.int64)) - 1
+        self.at[which] += n
+        return out
+
+    def check(self, which: np.ndarray) -> None:
+        if (self.at[which] > self.end[which]).any():
+            raise ValueError("the stream ends too early")
+
+
+def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, start, mask): the tables of many codes, rows of lengths by symbol, in one array of symbol << 4 | length."""
+    count = np.count_nonzero(lengths, 1)
+    most = np.where(count > 1, lengths.max(1), 0).astype(np.int64)
+    size = 1 << most
+    start = np.cumsum(size) - size
+    row, symbol = np.nonzero(lengths)
+    own = lengths[row, symbol].astype(np.int64)
+    order = np.argsort(row * 16 + own, kind="stable")
+    row, symbol, own = row[order], symbol[order], own[order]
+    lone = count[row] == 1
+    times = np.where(lone, 1, 1 << np.maximum(most[row] - own, 0))
+    entries = np.repeat(symbol << 4 | np.where(lone, 0, own), times)
+    filled = np.bincount(row, times, len(lengths)).astype(np.int64)
+    if (filled[count > 0] != size[count > 0]).any():
+        raise ValueError("a prefix code is not complete")
+    cells = np.zeros(size.sum(), np.int32)
+    used = np.repeat(count > 0, size)
+    laid = np.zeros(len(cells), np.int32)
+    laid[used] = entries
+    # Entries of the first bit first become entries in the order of the stream: places with their bits reversed.
+    place = np.arange(len(cells)) - np.repeat(start, size)
+    cells[:] = laid[np.repeat(start, size) + (REVERSED[15][place] >> np.repeat(15 - most, size))]
+    return cells, start, size - 1
+
+
+def _read_codes(s: Streams, which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Code lengths, a row of symbols for each of these streams, of the code that each states next."""
+    out = np.zeros((len(which), int(sizes.max())), np.uint8)
+    plain = s.read(which, 1) == 1
+    k = np.flatnonzero(plain)
+    if len(k):
+        w = which[k]
+        two, wide = s.read(w, 1) == 1, s.read(w, 1) == 1
+        first = s.read(w, np.where(wide, 8, 1))
+        second = np.where(two, s.peek(w) & 255, first)
+        s.at[w] += np.where(two, 8, 0)
+        if (np.maximum(first, second) >= sizes[k]).any():
+            raise ValueError("a symbol lies beyond its alphabet")
+        out[k, first] = 1
+        out[k, second] = 1
+    k = np.flatnonzero(~plain)
+    if not len(k):
+        return out
+    w = which[k]
+    stated = 4 + s.read(w, 4)
+    inner = np.zeros((len(k), 19), np.uint8)
+    for j in range(int(stated.max())):
+        there = np.flatnonzero(j < stated)
+        inner[there, LENGTH_ORDER[j]] = s.read(w[there], 3)
+    cells, start, mask = _tables(inner)
+    left = sizes[k].copy()
+    bounded = np.flatnonzero(s.read(w, 1) == 1)
+    if len(bounded):
+        bits = 2 + 2 * s.read(w[bounded], 3)
+        left[bounded] = 2 + s.read(w[bounded], bits)
+    at, before = np.zeros(len(k), np.int64), np.full(len(k), 8)
+    found = []
+    open_ = np.flatnonzero((at < sizes[k]) & (left > 0))
+    while len(open_):
+        h = s.peek(w[open_])
+        e = cells[start[open_] + (h & mask[open_])].astype(np.int64)
+        n, symbol = e & 15, e >> 4
+        h >>= n
+        run = np.ones(len(open_), np.int64)
+        again = symbol >= 16
+        if again.any():
+            extra = np.where(symbol == 16, 2, np.where(symbol == 17, 3, 7))
+            run = np.where(again, np.where(symbol == 18, 11, 3) + (h & (1 << extra) - 1), 1)
+            n = n + np.where(again, extra, 0)
+        value = np.where(symbol < 16, symbol, np.where(symbol == 16, before[open_], 0))
+        keep = value > 0
+        found.append((open_[keep], at[open_[keep]], run[keep], value[keep]))
+        before[open_] = np.where((symbol < 16) & (symbol > 0), symbol, before[open_])
+        s.at[w[open_]] += n
+        at[open_] += run
+        left[open_] -= 1
+        if (at[open_] > sizes[k[open_]]).any():
+            raise ValueError("lengths lie beyond their alphabet")
+        open_ = open_[(at[open_] < sizes[k[open_]]) & (left[open_] > 0)]
+    row, begin, run, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    each = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+    out[k[np.repeat(row, run)], np.repeat(begin, run) + each] = np.repeat(value, run)
+    return out
+
+
+class Unfit(Exception):
+    """Images that decode() has to take one by one."""
+
+
+def _images(s: Streams, which: np.ndarray, wide: np.ndarray, tall: np.ndarray, top: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(pixels, start of each image's): entropy-coded images of these streams, one pixel of every image at a time."""
+    total = wide * tall
+    order = np.argsort(-total, kind="stable")
+    w, wide, total = which[order], wide[order], total[order]
+    cached = np.where(s.read(w, 1) == 1, 1, 0)
+    bits = np.zeros(len(w), np.int64)
+    k = np.flatnonzero(cached)
+    if len(k):
+        bits[k] = s.read(w[k], 4)
+        if (bits > 11).any():
+            raise ValueError("the colour cache is too large")
+    if top and s.read(w, 1).any():
+        raise Unfit  # groups of codes
+    slots = np.where(bits > 0, 1 << bits, 0)
+    sizes = [LITERALS + LENGTH_CODES + slots, *(np.full(len(w), n) for n in (LITERALS, LITERALS, LITERALS, DISTANCE_CODES))]
+    read = [_tables(_read_codes(s, w, n)) for n in sizes]
+    s.check(w)
+    if total[0] > LOCKSTEP_PIXELS or sum(len(c) for c, _, _ in read) > LOCKSTEP_CELLS:
+        raise Unfit
+    (green, g0, gm), (red, r0, rm), (blue, b0, bm), (alpha, a0, am), (far, f0, fm) = read
+    # A code of one symbol takes no bits: where all alphas are such, the channel is the same for all pixels of an image.
+    still = alpha[a0].astype(np.int64) >> 4 << 24 if not am.any() else None
+    ends = np.searchsorted(-total, -np.arange(int(total[0])), "left")  # images that have a pixel t
+    offset = np.concatenate([[0], np.cumsum(ends)])
+    out = np.zeros(offset[-1], np.int64)
+    cache, base = np.zeros(int(slots.sum()), np.int64), np.cumsum(slots) - slots
+    shift = 32 - bits
+    at, words, last = s.at[w], s.words, len(s.words) - 1
+    left, back = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+    some_cache, copying = bool(slots.any()), 0
+    near = np.array([x + y * 65536 for x, y in NEAR])
+    every = np.arange(len(w))
+    for t in range(int(total[0])):
+        n = int(ends[t])
+        d = every[:n] if not copying else np.flatnonzero(left[:n] == 0)
+        row = out[offset[t] : offset[t + 1]]
+        if len(d):
+            p = at[d]
+            h = (words[np.minimum(p >> 3, last)] >> (p & 7).astype(np.uint64)).astype(np.int64)
+            e = green[g0[d] + (h & gm[d])]
+            used = (e & 15).astype(np.int64)
+            symbol = e >> 4
+            h = h >> used & 0x7FFFFFFFFFF
+            plain = symbol < LITERALS
+            if plain.all():
+                m, hm, um, sm = d, h, used, symbol
+            else:
+                m = d[plain]
+                hm, um, sm = h[plain], used[plain], symbol[plain]
+            e1 = red[r0[m] + (hm & rm[m])]
+            k1 = (e1 & 15).astype(np.int64)
+            hm = hm >> k1
+            e2 = blue[b0[m] + (hm & bm[m])]
+            k2 = (e2 & 15).astype(np.int64)
+            um = um + k1 + k2
+            if still is None:  # read anew, since four long codes do not fit into a word
+                p = at[m] + um
+                e3 = alpha[a0[m] + ((words[np.minimum(p >> 3, last)] >> (p & 7).astype(np.uint64)).astype(np.int64) & am[m])]
+                um = um + (e3 & 15)
+                high = (e3 >> 4).astype(np.int64) << 24
+            else:
+                high = still[m]
+            at[m] += um
+            row[m] = high | (e1 & 0xFF0) << 12 | (sm << 8 | e2 >> 4)
+            if m is not d:
+                length = symbol >= LITERALS
+                hit = symbol >= LITERALS + LENGTH_CODES
+                length &= ~hit
+                if hit.any():
+                    m = d[hit]
+                    at[m] += used[hit]
+                    row[m] = cache[base[m] + symbol[hit] - (LITERALS + LENGTH_CODES)]
+                if length.any():
+                    m = d[length]
+                    at[m] += used[length]
+                    size = _extended(at, words, last, m, symbol[length] - LITERALS)
+                    p = at[m]
+                    e = far[f0[m] + ((words[np.minimum(p >> 3, last)] >> (p & 7).astype(np.uint64)).astype(np.int64) & fm[m])]
+                    at[m] += e & 15
+                    code = _extended(at, words, last, m, e >> 4)
+                    close = near[np.minimum(code, len(near)) - 1]
+                    x = (close + 32768 & 0xFFFF) - 32768
+                    gap = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, x + (close - x >> 16) * wide[m]))
+                    if (gap > t).any() or (t + size > total[m]).any():
+                        raise ValueError("a back-reference leaves the image")
+                    left[m], back[m] = size, gap
+                    copying += len(m)
+        if copying:
+            c = np.flatnonzero(left[:n])
+            row[c] = out[offset[t - back[c]] + c]
+            left[c] -= 1
+            copying -= int(np.count_nonzero(left[c] == 0))
+        if some_cache:
+            c = np.flatnonzero(bits[:n])
+            cache[base[c] + ((CACHE_FACTOR * row[c] & 0xFFFFFFFF) >> shift[c])] = row[c]
+    s.at[w] = at
+    s.check(w)
+    # From all images' first pixels, second pixels and so on to each image's own.
+    begin = np.cumsum(total) - total
+    image = np.repeat(every, total)
+    mine = out[offset[np.arange(len(image)) - begin[image]] + image]
+    start = np.empty(len(w), np.int64)
+    start[order] = begin
+    return mine, start
+
+
+def _extended(at: np.ndarray, words: np.ndarray, last: int, m: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The length or distance that a prefix and the bits behind it state; moves those streams on."""
+    symbol = symbol.astype(np.int64)
+    n = np.where(symbol < 4, 0, symbol - 2 >> 1)
+    p = at[m]
+    more = (words[np.minimum(p >> 3, last)] >> (p & 7).astype(np.uint64)).astype(np.int64) & (1 << n) - 1
+    at[m] += n
+    return np.where(symbol < 4, symbol + 1, (2 + (symbol & 1) << n) + more + 1)
+
+
+def _files(data: bytes) -> list[bytes]:
+    """The bit streams of the files that lie one after the other in data."""
+    out, at = [], 0
+    while at < len(data):
+        if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 16] != b"WEBPVP8L" or data[at + 20 : at + 21] != b"\x2f":
+            raise ValueError("not a lossless WebP file")
+        out.append(data[at + 21 : at + 20 + struct.unpack_from("<I", data, at + 16)[0]])
+        at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+    return out
+
+
+def decode_streams(parts: list[bytes]) -> list[np.ndarray]:
+    """The ARGB pixels, row by row, of the images that bit streams hold; raises Unfit for what decode() has to take."""
+    s = Streams(parts)
+    every = np.arange(len(parts))
+    wide, tall = s.read(every, 14) + 1, s.read(every, 14) + 1
+    s.read(every, 1)
+    if s.read(every, 3).any():
+        raise ValueError("unknown version")
+    across = wide.copy()
+    undo: list[list] = [[] for _ in parts]
+    seen = np.zeros((len(parts), 4), bool)
+    open_ = every
+    while len(open_ := open_[s.read(open_, 1) == 1]):
+        kind = s.read(open_, 2)
+        if seen[open_, kind].any():
+            raise ValueError("a transform comes twice")
+        seen[open_, kind] = True
+        for k in open_[kind == 2].tolist():
+            undo[k].append((_ungreen, ()))
+        some, kind = open_[kind != 2], kind[kind != 2]
+        if not len(some):
+            continue
+        stated = s.read(some, np.where(kind == 3, 8, 3))
+        block = stated + 2
+        w = np.where(kind == 3, stated + 1, -(-across[some] >> block))
+        h = np.where(kind == 3, 1, -(-tall[some] >> block))
+        pixels, start = _images(s, some, w, h, False)
+        for j, k in enumerate(some.tolist()):
+            own = pixels[start[j] : start[j] + w[j] * h[j]]
+            if kind[j] == 3:
+                n = int(w[j])
+                packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                undo[k].append((_unpalette, (int(across[k]), int(tall[k]), packed, _argb(np.cumsum(_split(own), 0)))))
+                across[k] = -(-across[k] >> packed)
+            else:
+                undo[k].append((_uncross if kind[j] else _unpredict, (int(across[k]), int(tall[k]), int(block[j]), own)))
+    pixels, start = _images(s, every, across, tall, True)
+    own = [pixels[start[k] : start[k] + across[k] * tall[k]] for k in range(len(parts))]
+    # The last transform first; predictors of all images together.
+    for depth in range(max(map(len, undo), default=0), 0, -1):
+        together = []
+        for k, steps in enumerate(undo):
+            if len(steps) >= depth:
+                f, args = steps[depth - 1]
+                if f is _unpredict:
+                    together.append((k, args))
+                else:
+                    own[k] = f(own[k], *args)
+        if together:
+            for (k, _), done in zip(together, unpredict_many([(own[k], *args) for k, args in together]), strict=True):
+                own[k] = done
+    return own
+
+
+def load_many(media: list[bytes]) -> list[np.ndarray]:
+    """load() of many, their images decoded together."""
+    files = [_files(m) for m in media]
+    try:
+        flat = decode_streams([p for f in files for p in f])
+    except Unfit:
+        return [load(m) for m in media]
+    out, at = [], 0
+    for f in files:
+        own = np.concatenate(flat[at : at + len(f)]) if len(f) > 1 else flat[at]
+        rgb = np.empty((len(own), 3), np.uint8)
+        rgb[:, 0], rgb[:, 1], rgb[:, 2] = own >> 16 & 255, own >> 8 & 255, own & 255
+        out.append(rgb.reshape(-1, WIDE, 3))
+        at += len(f)
+    return out
+
+
 def feature(pixels: np.ndarray) -> str:
     """Size, and mean and spread of each channel, of an array of pixels."""
     flat = pixels.reshape(-1, 3).astype(np.int64)
@@ -706,15 +1100,31 @@ def feature(pixels: np.ndarray) -> str:
     return f"{pixels.shape[1]}x{pixels.shape[0]} " + " ".join(f"{m:.3f}/{s:.3f}" for m, s in zip(mean, spread, strict=True))
 
 
+AT_ONCE = 12_000_000  # bytes of texts whose images are decoded together
+
+
+def _grouped(rows):
+    """Rows of (key, bytes) in lists of about AT_ONCE bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """Per document what its stored and read back image says."""
 
     def run(rows):
-        for doc_id, text in rows:
-            media = store(padded(text))
-            pixels = load(media)
-            back = np.ascontiguousarray(pixels).tobytes()
-            yield doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)
+        for held in _grouped(rows):
+            stored_ = [store(padded(text)) for _, text in held]
+            for (doc_id, text), media, pixels in zip(held, stored_, load_many(stored_), strict=True):
+                back = np.ascontiguousarray(pixels).tobytes()
+                yield doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)
 
     return map_rows(texts(docs), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
@@ -728,8 +1138,9 @@ def pixels(stored_media: DataFrame) -> DataFrame:
     """(doc_id, height, width, pixels array<long> of 0xRRGGBB) from (doc_id, media)."""
 
     def run(rows):
-        for doc_id, data in rows:
-            own = load(data).astype(np.int64)
-            yield doc_id, own.shape[0], own.shape[1], (own[:, :, 0] << 16 | own[:, :, 1] << 8 | own[:, :, 2]).reshape(-1)
+        for held in _grouped(rows):
+            for (doc_id, _), own in zip(held, load_many([m for _, m in held]), strict=True):
+                own = own.astype(np.int64)
+                yield doc_id, own.shape[0], own.shape[1], (own[:, :, 0] << 16 | own[:, :, 1] << 8 | own[:, :, 2]).reshape(-1)
 
     return map_rows(stored_media.select("doc_id", "media"), run, "doc_id long, height int, width int, pixels array<long>")
