@@ -243,6 +243,17 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return moved.union(found.join(before.select("node"), "node", "left_anti").select("node", "comp"))
 
 
+SALTS = 16  # tasks over which the members of one bucket are dealt
+
+
+def _beside(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows joined by bucket with a table of one row a bucket; members of a large bucket are dealt over SALTS tasks. Only
+    buckets with several members have a row, so that repeating it for each salt costs little."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, ["bucket", "salt"]).drop("salt")
+
+
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
@@ -256,7 +267,7 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     reps = kept(full.join(classes, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]), "representatives")
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    rows = kept(rows.join(firsts, "bucket"), "buckets")
+    rows = kept(_beside(rows, firsts), "buckets")
 
     def confirm(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
         """Components with the links among pairs; each document's most likely partner comes first, the rest only
@@ -284,7 +295,7 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     def meeting(rows: DataFrame, comps: DataFrame) -> DataFrame:
         now = _labelled(rows.select("doc_id", "bucket", "first", "size"), comps)
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
-        return now.join(mixed, "bucket")
+        return _beside(now, mixed)
 
     left = kept(meeting(rows, comps), "meeting")
     few = left.filter(F.col("size") <= SMALL)
@@ -301,5 +312,8 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         comps = confirm(_sharing_rare(docs, members, percent), comps)
 
     whole = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(whole, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("comp", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    # Rows without a set or an id are linked with nothing and take no part in the join.
+    has = "n_shingles > 0 and doc_id is not null"
+    out = signed.filter(has).select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    out = out.union(signed.filter(f"not ({has})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
