@@ -4,7 +4,8 @@ Each document (its ids and an end id) is cut into full windows of the longest ti
 smallest tier that holds it. Each tier packs its pieces, longest first, into the fullest window with room.
 Gaps of long windows are then filled from shorter tiers, the last ids of a gap by cutting a shorter piece.
 What still leaves a gap waits for the next pool; at a task's end it is cut into windows of powers of two, so
-nothing is padded. Step groups hold windows of one tier, and as many ids each.
+nothing is padded. Step groups hold windows of one tier, and step_ids ids each; what windows a task has left at its
+end fill groups together, the longest first, so that only its last group may hold less.
 
 A task packs the documents of its own partition in pools of POOL_IDS ids: no shuffle, bounded memory, and
 the same result when a lost task runs again. sequence_id is the partition's number times 2^32 plus a count.
@@ -116,21 +117,38 @@ def packed(docs: DataFrame, vocabulary: str, tiers=TIERS, pool_ids: int = POOL_I
 
     def run(rows):
         base = TaskContext.get().partitionId() << 32
-        made, groups, filled = 0, 0, {}
+        made, groups = 0, 0
         end = np.array([END_ID], "<u4").tobytes()
+        waiting: dict[int, list[list[Piece]]] = {}
 
-        def rows_of(windows):
+        def group_of(windows):
             nonlocal made, groups
             for size, window in windows:
-                if size not in filled or filled[size][1] + size > step_ids:
-                    filled[size] = [groups, 0]
-                    groups += 1
-                filled[size][1] += size
                 at = 0
                 for (doc_id, ids), start, length in window:
-                    yield doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, base + made, at, size, base + filled[size][0]
+                    yield doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, base + made, at, size, base + groups
                     at += length
                 made += 1
+            groups += 1
+
+        def rows_of(windows):
+            for size, window in windows:
+                own = waiting.setdefault(size, [])
+                own.append(window)
+                if len(own) * size >= step_ids:
+                    yield from group_of((size, w) for w in waiting.pop(size))
+
+        def last_groups():
+            held, ids = [], 0
+            for size in sorted(waiting, reverse=True):
+                for window in waiting[size]:
+                    held.append((size, window))
+                    ids += size
+                    if ids >= step_ids:
+                        yield from group_of(held)
+                        held, ids = [], 0
+            if held:
+                yield from group_of(held)
 
         pool, size = [], 0
         for doc_id, ids in encoded(rows, loaded(vocabulary)):
@@ -147,5 +165,6 @@ def packed(docs: DataFrame, vocabulary: str, tiers=TIERS, pool_ids: int = POOL_I
                     yield from rows_of(windows)
         windows, _ = pack(pool, tiers)
         yield from rows_of(windows)
+        yield from last_groups()
 
     return map_rows(texts(docs), run, SCHEMA)
