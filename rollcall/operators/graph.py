@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import folder, written
+
 #: The relations that contain: only along these do suppressions pass down.
 CONTAINING = ("part_of", "reports_to", "operated_by")
 
@@ -25,17 +26,11 @@ def containing(edges: DataFrame, kind: str = "kind") -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/rollcall/graph-{uuid.uuid4().hex}"
+    return folder(spark, "graph")
 
 
-def _written(df: DataFrame, folder: str, step: int) -> DataFrame:
-    """df as a table: plans stay short, lost executors lose nothing."""
-    path = f"{folder}/{step}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _written(df: DataFrame, path: str, step: int) -> DataFrame:
+    return written(df, f"{path}/{step}")
 
 
 def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | str | None = None) -> DataFrame:
@@ -46,22 +41,22 @@ def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | s
     is new; the loop ends where no way of k steps is left. With as_of, only edges in force on that day
     (effective_from, effective_to) count.
     """
-    spark, folder = nodes.sparkSession, _shared(nodes.sparkSession)
+    spark, home = nodes.sparkSession, _shared(nodes.sparkSession)
     wanted = nodes.select("node").distinct()
     up = effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
     if most < 1:
         return wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    last = _written(up, folder, 1)
-    reach, paths = 1, [f"{folder}/1"]
+    last = _written(up, home, 1)
+    reach, paths = 1, [f"{home}/1"]
     while reach < most:
         known = spark.read.schema(last.schema).parquet(*paths)
         ends = last.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
         after = known.filter(F.col("depth") <= most - reach).select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
-        last = _written(ends.join(after, "via").select("node", "ancestor", "depth").distinct(), folder, 2 * reach)
+        last = _written(ends.join(after, "via").select("node", "ancestor", "depth").distinct(), home, 2 * reach)
         if last.isEmpty():
             break
         reach *= 2
-        paths.append(f"{folder}/{reach}")
+        paths.append(f"{home}/{reach}")
     ways = spark.read.schema(last.schema).parquet(*paths).join(wanted, "node", "left_semi")
     return ways.union(wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
 
@@ -74,15 +69,15 @@ def nearest(closure: DataFrame) -> DataFrame:
 def reached(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """(origin, node, depth): all that can be reached from each start (origin, node) along (node, next), each once, at
     its least depth; cycles end where they meet what is known."""
-    spark, folder = starts.sparkSession, _shared(starts.sparkSession)
-    steps = _written(steps.select("node", "next").distinct(), folder, -1)
-    level = _written(starts.select("origin", "node", F.lit(0).alias("depth")).distinct(), folder, 0)
-    paths = [f"{folder}/0"]
+    spark, home = starts.sparkSession, _shared(starts.sparkSession)
+    steps = _written(steps.select("node", "next").distinct(), home, -1)
+    level = _written(starts.select("origin", "node", F.lit(0).alias("depth")).distinct(), home, 0)
+    paths = [f"{home}/0"]
     while not level.isEmpty():
         known = spark.read.schema(level.schema).parquet(*paths).select("origin", "node")
         after = level.join(steps, "node").select("origin", F.col("next").alias("node"), F.lit(len(paths)).alias("depth")).distinct()
-        level = _written(after.join(known, ["origin", "node"], "left_anti"), folder, len(paths))
-        paths.append(f"{folder}/{len(paths)}")
+        level = _written(after.join(known, ["origin", "node"], "left_anti"), home, len(paths))
+        paths.append(f"{home}/{len(paths)}")
     return spark.read.schema(level.schema).parquet(*paths)
 
 
@@ -108,19 +103,19 @@ def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None)
     In round k, nodes join whose ancestor 2^k steps up is known; edges double for the next round. A round without new
     nodes ends it: then none lies as far below the roots as that, nor further.
     """
-    spark, folder = roots.sparkSession, _shared(roots.sparkSession)
-    jump = _written(effective(edges, as_of).select("child", "parent").distinct(), folder, 0)
-    known = _written(roots.select("node").distinct(), folder, 1)
-    paths, step = [f"{folder}/1"], 1
+    spark, home = roots.sparkSession, _shared(roots.sparkSession)
+    jump = _written(effective(edges, as_of).select("child", "parent").distinct(), home, 0)
+    known = _written(roots.select("node").distinct(), home, 1)
+    paths, step = [f"{home}/1"], 1
     while True:
         below = jump.join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        new = _written(below.join(known, "node", "left_anti"), folder, step + 1)
+        new = _written(below.join(known, "node", "left_anti"), home, step + 1)
         if new.isEmpty():
             return known
-        paths.append(f"{folder}/{step + 1}")
+        paths.append(f"{home}/{step + 1}")
         known = spark.read.schema(new.schema).parquet(*paths)
         twice = jump.withColumnRenamed("parent", "via").join(jump.withColumnRenamed("child", "via"), "via").select("child", "parent").distinct()
-        jump = _written(twice, folder, step + 2)
+        jump = _written(twice, home, step + 2)
         step += 2
 
 
@@ -130,10 +125,10 @@ def cycles(edges: DataFrame) -> DataFrame:
     Paths carry the interval that their edges share and their nodes; a path goes on only while the interval is not
     empty and it meets no node twice. Meant for guarding new edges: give the nodes that these touch.
     """
-    folder = _shared(edges.sparkSession)
+    home = _shared(edges.sparkSession)
     dated = edges.select("parent", "child", F.coalesce("effective_from", F.lit("0001-01-01").cast("date")).alias("since"), F.coalesce("effective_to", F.lit("9999-12-31").cast("date")).alias("until"))
-    dated = _written(dated, folder, -1)
-    level = _written(dated.select(F.col("child").alias("origin"), F.col("parent").alias("node"), "since", "until", F.array("child").alias("path")), folder, 0)
+    dated = _written(dated, home, -1)
+    level = _written(dated.select(F.col("child").alias("origin"), F.col("parent").alias("node"), "since", "until", F.array("child").alias("path")), home, 0)
     found, step = [], 0
     while not level.isEmpty():
         found.append(level.filter("node = origin").select(F.col("origin").alias("node")))
@@ -141,7 +136,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         up = dated.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.col("since").alias("a"), F.col("until").alias("b"))
         after = level.filter("node != origin and not array_contains(path, node)").join(up, "node")
         after = after.select("origin", F.col("next").alias("node"), F.greatest("since", "a").alias("since"), F.least("until", "b").alias("until"), F.array_append("path", F.col("node")).alias("path"))
-        level = _written(after.filter("since <= until"), folder, step)
+        level = _written(after.filter("since <= until"), home, step)
     out = found[0] if found else edges.select(F.col("child").alias("node")).limit(0)
     for f in found[1:]:
         out = out.union(f)

@@ -1 +1,117 @@
-"""To come."""
+"""Pages of the derived directory and what is extracted from them; text and links of the given pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..directory import PEOPLE_SQL, people
+from ..functions import emails as E
+from ..operators import extraction as X
+from .base import query, table
+
+#: How pages list people, by organisation: a table, cards, a definition list, JSON-LD, microdata, mail links.
+WAYS = "table card definition structured structured mailto".split()
+SURE = {"table": 0.9, "card": 0.8, "definition": 0.7, "structured": 0.95, "mailto": 0.45}
+SHOWN = "concat('P', CAST(person AS STRING), ' ', last)"
+LISTED = f"SELECT person, org, {SHOWN} AS name, title, concat('(555) 010-', lpad(CAST(person % 10000 AS STRING), 4, '0')) AS phone, concat('p', CAST(person AS STRING), '@', domain) AS email FROM ({PEOPLE_SQL})"
+
+
+def _listed(spark, d) -> DataFrame:
+    own = people(spark, d)
+    return own.selectExpr("person", "org", f"{SHOWN} AS name", "title", "concat('(555) 010-', lpad(CAST(person % 10000 AS STRING), 4, '0')) AS phone", "concat('p', CAST(person AS STRING), '@', domain) AS email")
+
+
+def directory_pages(spark, d) -> DataFrame:
+    """(page_id, html): a page for each organisation, in one of six ways, with addresses hidden in a few forms."""
+    p = _listed(spark, d)
+    hexa = F.lower(F.concat(F.lit("21"), F.array_join(F.transform(F.split("email", ""), lambda x: F.lpad(F.hex(F.ascii(x).bitwiseXOR(F.lit(0x21))), 2, "0")), "")))
+    entity = F.replace("email", F.lit("@"), F.lit("&#64;"))
+    link = F.format_string('<a href="mailto:%s">write</a>', F.replace("email", F.lit("@"), F.lit("%40")))
+    way = F.col("org") % 6
+    row = (
+        F.when(way == 0, F.format_string('<tr><td>%s<td>%s<td>%s<td><span data-cfemail="%s">hidden</span></tr>', "name", "title", "phone", hexa))
+        .when(way == 1, F.format_string('<div class="card"><h3>%s</h3><p>%s</p><p>%s</p>%s</div>', "name", "title", "phone", link))
+        .when(way == 2, F.format_string("<dt>%s</dt><dd>%s<br>%s<br>%s</dd>", "name", "title", "phone", entity))
+        .when(way == 3, F.to_json(F.struct(F.lit("Person").alias("@type"), "name", F.col("title").alias("jobTitle"), F.col("phone").alias("telephone"), F.concat(F.lit("mailto:"), "email").alias("email"))))
+        .when(way == 4, F.format_string('<div itemscope itemtype="https://schema.org/Person"><b itemprop="name">%s</b> <i itemprop="jobTitle">%s</i> <meta itemprop="telephone" content="%s">%s</div>', "name", "title", "phone", entity))
+        .otherwise(F.format_string('<p><a href="MAILTO:%s">%s</a></p>', "email", "name"))
+    )
+    rows = p.groupBy("org").agg(F.transform(F.array_sort(F.collect_list(F.struct("person", row.alias("row")))), lambda x: x.row).alias("rows"))
+    body, k = F.array_join("rows", "\n"), F.col("org") % 6
+    whole = (
+        F.when(k == 0, F.concat(F.lit("<table><tr><th>Name<th>Job Title<th>Phone<th>E-mail</tr>"), body, F.lit("</table>")))
+        .when(k == 2, F.concat(F.lit("<dl>"), body, F.lit("</dl>")))
+        .when(k == 3, F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Organization", "employee": ['), F.array_join("rows", ","), F.lit("]}]}</script>")))
+        .otherwise(F.concat(F.lit("<section>"), body, F.lit("</section>")))
+    )
+    after = F.when(k == 0, F.lit('<a rel="next" href="?p=2">2</a>')).when(k == 1, F.lit('<a href="?p=3">Next »</a>')).when(k == 2, F.lit('<span>4</span> <a href="?p=5">5</a>')).otherwise("")
+    return rows.select(F.col("org").alias("page_id"), F.concat(F.lit("<html><head><style>p{}</style></head><body><h1>Staff directory</h1><script>var x = '<p>';</script>"), whole, after, F.lit("</body></html>")).alias("html"))
+
+
+_WAY = "list_extract(['table', 'card', 'definition', 'structured', 'structured', 'mailto'], CAST(org % 6 AS INT) + 1)"
+_SURE = "list_extract([0.9, 0.8, 0.7, 0.95, 0.95, 0.45], CAST(org % 6 AS INT) + 1)"
+#: Cards need three of their kind; the last organisation may have fewer people.
+EXTRACTED = f"""SELECT org AS page_id, name, CASE WHEN org % 6 = 5 THEN NULL ELSE title END AS title, CASE WHEN org % 6 = 5 THEN NULL ELSE phone END AS phone, [email] AS emails, {_WAY} AS strategy, CAST({_SURE} AS DOUBLE) AS confidence FROM ({LISTED})"""
+
+
+@query(EXTRACTED)
+def h1_h6_extracted_people(spark, d):
+    return X.people(directory_pages(spark, d)).select("page_id", "name", "title", "phone", "emails", "strategy", "confidence")
+
+
+@query(f"""SELECT page_id, name, substr(sha256(concat_ws(chr(31), name, coalesce(title, ''), '', emails[1])), 1, 24) AS record_key, FALSE AS shared FROM ({EXTRACTED})""")
+def h11_records(spark, d):
+    return X.records(X.people(directory_pages(spark, d))).select("page_id", "name", "record_key", "shared")
+
+
+@query(f"""SELECT DISTINCT org AS page_id, CASE org % 6 WHEN 0 THEN 'rel' WHEN 1 THEN 'text' ELSE 'number' END AS how, CASE org % 6 WHEN 0 THEN '?p=2' WHEN 1 THEN '?p=3' ELSE '?p=5' END AS link FROM ({PEOPLE_SQL}) WHERE org % 6 < 3""")
+def h8_next_pages(spark, d):
+    return X.next_pages(directory_pages(spark, d))
+
+
+@query(f"""SELECT org AS page_id, CAST(CASE org % 6 WHEN 0 THEN 0.8 WHEN 3 THEN 0.75 WHEN 4 THEN 0.75 WHEN 1 THEN CASE WHEN n >= 5 THEN 0.7 ELSE 0.6 END WHEN 5 THEN CASE WHEN n >= 5 THEN 0.7 ELSE 0.6 END ELSE 0.6 END AS DOUBLE) AS score FROM (SELECT org, count(*) AS n FROM ({PEOPLE_SQL}) GROUP BY 1)""")
+def h7_detection_scores(spark, d):
+    return directory_pages(spark, d).select("page_id", X.detection_score(F.lit(0.5), F.col("html")).alias("score"))
+
+
+@query(r"""SELECT page_id, list_sort(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'),
+'&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', chr(1)), '&gt;', chr(2)), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&mdash;', '—'), '&amp;', '&'), '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g'), chr(1), '<')), ' '), lambda w: w <> '')) AS words FROM pages""".replace("chr(1), '<')), ' ')", "chr(9), ' ')), ' ')").replace("'&lt;', chr(1)), '&gt;', chr(2))", "'&lt;', '‹'), '&gt;', '›')"))
+def h1_page_words(spark, d):
+    """The words of each page's text, sorted."""
+    own = X.texts(table(spark, d, "pages"))
+    text = F.translate("text", "<>", "‹›")
+    words = F.filter(F.split(F.trim(F.regexp_replace(text, r"[\s\x{00A0}]+", " ")), " "), lambda w: w != "")
+    return own.select("page_id", F.array_sort(words).alias("words"))
+
+
+@query("""SELECT o_custkey, o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_custkey % 4 < 3""")
+def h9_json_collections(spark, d):
+    """JSON bodies with their records under one of the known names, nested, or bare; one body holds none."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))).alias("own"))
+    k = F.col("o_custkey") % 4
+    body = F.when(k == 0, F.to_json(F.struct(F.col("own").alias("staff")))).when(k == 1, F.to_json(F.struct(F.struct(F.col("own").alias("items")).alias("data")))).when(k == 2, F.to_json("own")).otherwise(F.to_json(F.struct(F.col("own").alias("unknown"))))
+    return o.select("o_custkey", F.inline(X.json_records(body, "id bigint, status string")))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'cursor' WHEN 1 THEN 'url' WHEN 2 THEN CASE WHEN c_custkey % 100 + 20 < 60 THEN 'offset' END WHEN 3 THEN CASE WHEN c_custkey % 10 < 8 THEN 'page' END END AS how,
+CASE c_custkey % 5 WHEN 0 THEN 'c' || c_custkey WHEN 1 THEN '/p?x=' || c_custkey WHEN 2 THEN CASE WHEN c_custkey % 100 + 20 < 60 THEN CAST(c_custkey % 100 + 20 AS VARCHAR) END WHEN 3 THEN CASE WHEN c_custkey % 10 < 8 THEN CAST(c_custkey % 10 + 1 AS VARCHAR) END END AS value FROM customer""")
+def h10_json_pages(spark, d):
+    k = F.col("c_custkey")
+    body = (
+        F.when(k % 5 == 0, F.to_json(F.struct(F.concat(F.lit("c"), k).alias("next_cursor"))))
+        .when(k % 5 == 1, F.to_json(F.struct(F.lit("").alias("next_cursor"), F.concat(F.lit("/p?x="), k).alias("next"))))
+        .when(k % 5 == 2, F.to_json(F.struct((k % 100).alias("offset"), F.lit(20).alias("limit"), F.lit(60).alias("total"))))
+        .when(k % 5 == 3, F.to_json(F.struct((k % 10).alias("page"), F.lit(8).alias("pages"))))
+        .otherwise(F.lit("{}"))
+    )
+    found = X.json_next(body)
+    return table(spark, d, "customer").select("c_custkey", found["how"].alias("how"), found["value"].alias("value"))
+
+
+@query(f"""SELECT org AS page_id, count(*) AS hidden FROM ({PEOPLE_SQL}) WHERE org % 6 = 0 GROUP BY 1""")
+def h15_hidden_attributes(spark, d):
+    """Addresses in attributes, without parsing a page."""
+    found = F.transform(F.regexp_extract_all("html", F.lit('data-cfemail="([0-9a-fA-F]+)"'), F.lit(1)), E.cloudflare)
+    own = directory_pages(spark, d).select("page_id", F.size(F.filter(found, lambda a: a.isNotNull())).cast("long").alias("hidden"))
+    return own.filter("hidden > 0")

@@ -1,32 +1,52 @@
-"""Delimited and line-delimited sources with stated schemas."""
+"""Delimited files, with stated schemas or all as text; organisations imported by a column mapping."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import collapse_whitespace
 
-def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", strict: bool = False) -> DataFrame:
-    """RFC 4180 records (quoted newlines, doubled quotes); blank records go; strict: malformed ones raise."""
-    mode = "FAILFAST" if strict else "PERMISSIVE"
-    df = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode=mode)
-    blank = reduce(lambda a, b: a & b, (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "" for c in df.columns))
-    return df.filter(~blank)
-
+BOM = "﻿"
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One object a line, plain or gzip; lines that don't parse come back in _corrupt if the schema names it."""
-    return spark.read.json(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
 
+def _without_blank_rows(df: DataFrame) -> DataFrame:
+    blank = reduce(lambda a, b: a & b, (F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) == "" for c in df.columns))
+    return df.filter(~blank)
 
-def csv_lines(df: DataFrame) -> DataFrame:
-    """(value): RFC 4180 lines, quoted if a field holds a quote, comma, CR, LF or a blank at an end; null is empty."""
-
-    def field(name: str):
-        c = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        return F.when(c.rlike('["\\,\\r\\n]|^ | $'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
 
-    return df.select(F.concat_ws(",", *map(field, df.columns)).alias("value"))
+def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", strict: bool = False) -> DataFrame:
+    """RFC 4180 records (quoted newlines, doubled quotes); blank records go; strict: malformed ones raise."""
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    df = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode=mode)
+    return _without_blank_rows(df)
+
+
+def read_strings(spark: SparkSession, path: str, sep: str = ",", strict: bool = False, verified: bool = True) -> DataFrame:
+    """All columns as text, named by the header without a byte order mark; blank records go. A source that no human
+    has verified is not read at all."""
+    if not verified:
+        raise ValueError(f"{path} has not been verified")
+    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE")
+    return _without_blank_rows(df.toDF(*[c.removeprefix(BOM) for c in df.columns]))
+
+
+def objects(df: DataFrame) -> DataFrame:
+    """Names and cells with white space collapsed; missing cells are empty."""
+    return df.select(*[F.coalesce(collapse_whitespace(F.col(f"`{c}`")), F.lit("")).alias(" ".join(c.split())) for c in df.columns])
+
+
+def imported(rows: DataFrame, mapping: dict[str, str], required: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(organisations, rejects): columns by mapping (target -> source), rows without a required value rejected with the
+    reason, of rows with one id, or without one of one type and name, the first by order kept and the others rejected."""
+    own = rows.select(F.col(order).alias("row"), *[F.nullif(F.trim(F.col(s)), F.lit("")).alias(t) for t, s in mapping.items()])
+    reason = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required])
+    key = F.coalesce(F.concat(F.lit("id:"), F.lower("id")), F.concat_ws("|", F.lit("name"), F.lower("type"), F.lower("name")))
+    good = own.withColumn("reason", reason)
+    nth = F.row_number().over(Window.partitionBy("dedupe_key").orderBy("row"))
+    seen = good.filter("reason is null").withColumn("dedupe_key", key).withColumn("nth", nth)
+    rejects = good.filter("reason is not null").select("row", "reason").union(seen.filter("nth > 1").select("row", F.lit("duplicate")))
+    return seen.filter("nth = 1").drop("reason", "dedupe_key", "nth"), rejects

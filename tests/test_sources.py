@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from rollcall.sources.delimited import csv_lines, read_delimited
+from rollcall.sinks import csv_lines
+from rollcall.sources.delimited import read_delimited
 from rollcall.streaming.incremental import arrivals, ingest
 
 
