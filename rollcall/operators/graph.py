@@ -66,34 +66,38 @@ def nearest(closure: DataFrame) -> DataFrame:
     return closure.filter("depth > 0 and node != ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 
-def reached(starts: DataFrame, steps: DataFrame) -> DataFrame:
-    """(origin, node, depth): all that can be reached from each start (origin, node) along (node, next), each once, at
-    its least depth; cycles end where they meet what is known."""
-    spark, home = starts.sparkSession, _shared(starts.sparkSession)
-    steps = _written(steps.select("node", "next").distinct(), home, -1)
-    level = _written(starts.select("origin", "node", F.lit(0).alias("depth")).distinct(), home, 0)
-    paths = [f"{home}/0"]
-    while not level.isEmpty():
-        known = spark.read.schema(level.schema).parquet(*paths).select("origin", "node")
-        after = level.join(steps, "node").select("origin", F.col("next").alias("node"), F.lit(len(paths)).alias("depth")).distinct()
-        level = _written(after.join(known, ["origin", "node"], "left_anti"), home, len(paths))
-        paths.append(f"{home}/{len(paths)}")
-    return spark.read.schema(level.schema).parquet(*paths)
+def closure(steps: DataFrame) -> DataFrame:
+    """(node, to, depth): all that can be reached along (node, next), each once, at its least depth, whatever the depth
+    and through cycles. Reach doubles as in ancestry(): a way of d steps, k < d <= 2k, is one of k steps and one of at
+    most k; only pairs not yet known go on."""
+    spark, home = steps.sparkSession, _shared(steps.sparkSession)
+    last = _written(steps.select("node", F.col("next").alias("to"), F.lit(1).alias("depth")).distinct(), home, 1)
+    paths, reach = [f"{home}/1"], 1
+    while True:
+        known = spark.read.schema(last.schema).parquet(*paths)
+        ends = last.filter(F.col("depth") == reach).select("node", F.col("to").alias("via"))
+        after = ends.join(known.withColumnRenamed("node", "via"), "via").groupBy("node", "to").agg((F.min("depth") + reach).alias("depth"))
+        last = _written(after.join(known.select("node", "to"), ["node", "to"], "left_anti"), home, 2 * reach)
+        if last.isEmpty():
+            return known
+        reach *= 2
+        paths.append(f"{home}/{reach}")
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
     """(node, ancestor, depth): every ancestor of each node, nearest depth, several parents, cycles and any depth; a
     node is not its own ancestor."""
-    up = effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("next"))
-    found = reached(nodes.select(F.col("node").alias("origin"), "node"), up)
-    return found.filter("depth > 0").select(F.col("origin").alias("node"), F.col("node").alias("ancestor"), "depth")
+    up = closure(effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("next")))
+    own = up.filter("node != to").join(nodes.select("node").distinct(), "node", "left_semi")
+    return own.select("node", F.col("to").alias("ancestor"), "depth")
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
     """(node, descendant), the node itself included."""
-    down = effective(edges, as_of).select(F.col("parent").alias("node"), F.col("child").alias("next"))
-    found = reached(nodes.select(F.col("node").alias("origin"), "node"), down)
-    return found.select(F.col("origin").alias("node"), F.col("node").alias("descendant"))
+    down = closure(effective(edges, as_of).select(F.col("parent").alias("node"), F.col("child").alias("next")))
+    own = nodes.select("node").distinct()
+    below = down.filter("node != to").join(own, "node", "left_semi").select("node", F.col("to").alias("descendant"))
+    return below.union(own.select("node", F.col("node").alias("descendant")))
 
 
 def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def e7_ingested_people(spark, d):
     from ..operators.boundary import bounded
 
     own = bounded(people(spark, d).withColumn("note", F.lit("SSN 123-45-6789")), ["title", "note"]).withColumn("name", N.parse(spark, F.col("raw_name")))
-    t = E.tokens(F.col("name.first"), F.col("name.middle"), F.col("name.last"))
+    t = N.tokens(F.col("name"))
     kind = F.when(F.col("address").isNull(), "none").otherwise(E.kind(F.col("address"), F.col("person") % 2 == 0, F.lit(False), E.names_person(E.local_part(F.col("address")), t)))
     return own.select("person", N.identity_key(F.col("org"), F.col("name")).alias("identity_key"), N.title(F.col("title"))["role"].alias("role"), kind.alias("kind"), "note")
 
@@ -318,7 +318,7 @@ def n31_n32_preflight(spark, d):
     """A bundle is taken whole or not at all; declared exclusions don't count."""
     o = table(spark, d, "orders").filter("o_orderkey % 11 != 0")
     own = o.groupBy("o_custkey").agg(F.count("*").alias("rows"), F.bool_or(F.col("o_totalprice") < 2000).alias("refused"))
-    return table(spark, d, "orders").select("o_custkey").distinct().join(own, "o_custkey", "left").fillna(0, ["rows"])
+    return table(spark, d, "orders").select("o_custkey").distinct().join(own, "o_custkey", "left").fillna(0, ["rows"]).fillna(False, ["refused"])
 
 
 @query("""SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS utc, NULL AS bad FROM events""")

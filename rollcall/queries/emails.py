@@ -61,7 +61,7 @@ def x36_x38_classes(spark, d):
 FROM ({PEOPLE_SQL}) WHERE address IS NOT NULL AND form = 0""")
 def x37_x39_patterns(spark, d):
     own = people(spark, d).filter("address is not null and form = 0").withColumn("name", N.parse(spark, F.col("raw_name")))
-    t = E.tokens(F.col("name.first"), F.col("name.middle"), F.col("name.last"))
+    t = N.tokens(F.col("name"))
     local = E.local_part(F.col("address"))
     return own.select("person", F.size(E.matching_patterns(local, t)).alias("matching"), E.names_person(local, t).alias("named"))
 
@@ -73,7 +73,7 @@ WHERE fits GROUP BY 1, 2 HAVING count(*) >= 3 AND CAST(count(*) AS DOUBLE) / max
 
 def _pairs(spark, d):
     own = people(spark, d).withColumn("name", N.parse(spark, F.col("raw_name")))
-    return own.withColumn("tokens", E.tokens(F.col("name.first"), F.col("name.middle"), F.col("name.last")))
+    return own.withColumn("tokens", N.tokens(F.col("name")))
 
 
 @query(LEARNED)

@@ -57,7 +57,7 @@ def test_hierarchies(spark):
     up = {}
     for r in hierarchy(nodes, edges).collect():
         up.setdefault(r.node, {})[r.ancestor] = r.depth
-    assert 0 not in up and up[20][5] == 1 and up[20][0] == 6 and set(up[40]) == set(range(40))
+    assert 0 not in up and up[20][5] == 1 and up[20][0] == 6 and set(up[40]) == set(range(40)) and up[40][5] == 21
     down = {}
     for r in descendants(nodes, edges).collect():
         down.setdefault(r.node, set()).add(r.descendant)
