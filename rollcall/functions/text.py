@@ -36,6 +36,11 @@ UNIT_ALIASES = {
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse_whitespace(c: Column) -> Column:
     """Zero-width characters dropped, other blanks and line ends made spaces, runs of them one, ends trimmed."""
     c = F.regexp_replace(c, r"[\x{200B}-\x{200D}\x{FEFF}]", "")
@@ -63,10 +68,14 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 def without_marks(c: Column) -> Column:
     """Compatibility letters made plain and marks U+0300 to U+036F dropped, for Latin text: NFKD without marks."""
     one, to, more = _folds()
-    c = F.translate(c, one, to)
     names = F.create_map(*[F.lit(v) for kv in more.items() for v in kv])
-    longer = F.array_distinct(F.regexp_extract_all(c, F.lit(f"[{''.join(more)}]"), F.lit(0)))  # few texts hold any
-    return F.regexp_replace(F.aggregate(longer, c, lambda text, x: F.replace(text, x, F.element_at(names, x))), r"[\x{0300}-\x{036F}]", "")
+
+    def longer(c: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"[{''.join(more)}]"), F.lit(0)))  # few texts hold any
+        return F.aggregate(found, c, lambda text, x: F.replace(text, x, F.element_at(names, x)))
+
+    plain = let(F.translate(c, one, to), lambda c: F.when(F.translate(c, "".join(more), "") == c, c).otherwise(longer(c)))
+    return F.regexp_replace(plain, r"[\x{0300}-\x{036F}]", "")
 
 
 def key_of(c: Column) -> Column:
@@ -95,8 +104,7 @@ def is_shouting(c: Column) -> Column:
 
 def calm(c: Column) -> Column:
     """Title case for what shouts; all else only with white space collapsed."""
-    own = collapse_whitespace(c)
-    return F.when(is_shouting(own), title_case(own)).otherwise(own)
+    return let(collapse_whitespace(c), lambda own: F.when(is_shouting(own), title_case(own)).otherwise(own))
 
 
 def joined_acronyms(c: Column) -> Column:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import folder, written
+from ..shared import counted, folder, written
 
 #: The relations that contain: only along these do suppressions pass down.
 CONTAINING = ("part_of", "reports_to", "operated_by")
@@ -52,8 +52,8 @@ def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | s
         known = spark.read.schema(last.schema).parquet(*paths)
         ends = last.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
         after = known.filter(F.col("depth") <= most - reach).select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
-        last = _written(ends.join(after, "via").select("node", "ancestor", "depth").distinct(), home, 2 * reach)
-        if last.isEmpty():
+        last, n = counted(ends.join(after, "via").select("node", "ancestor", "depth").distinct(), f"{home}/{2 * reach}")
+        if not n:
             break
         reach *= 2
         paths.append(f"{home}/{reach}")
@@ -77,8 +77,8 @@ def closure(steps: DataFrame) -> DataFrame:
         known = spark.read.schema(last.schema).parquet(*paths)
         ends = last.filter(F.col("depth") == reach).select("node", F.col("to").alias("via"))
         after = ends.join(known.withColumnRenamed("node", "via"), "via").groupBy("node", "to").agg((F.min("depth") + reach).alias("depth"))
-        last = _written(after.join(known.select("node", "to"), ["node", "to"], "left_anti"), home, 2 * reach)
-        if last.isEmpty():
+        last, n = counted(after.join(known.select("node", "to"), ["node", "to"], "left_anti"), f"{home}/{2 * reach}")
+        if not n:
             return known
         reach *= 2
         paths.append(f"{home}/{reach}")
@@ -113,8 +113,8 @@ def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None)
     paths, step = [f"{home}/1"], 1
     while True:
         below = jump.join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        new = _written(below.join(known, "node", "left_anti"), home, step + 1)
-        if new.isEmpty():
+        new, n = counted(below.join(known, "node", "left_anti"), f"{home}/{step + 1}")
+        if not n:
             return known
         paths.append(f"{home}/{step + 1}")
         known = spark.read.schema(new.schema).parquet(*paths)

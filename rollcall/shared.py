@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -19,3 +20,10 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at a path: plans stay short, lost executors lose nothing."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """df as a table at a path, and its number of rows, which the writing job counts."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
