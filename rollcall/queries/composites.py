@@ -341,3 +341,53 @@ def x20_education_names(spark, d):
     district = F.concat(F.lit("SPRINGFIELD "), "s_suppkey", F.lit(" I.S.D."))
     school = F.concat(F.lit("Lincoln El "), "s_suppkey")
     return table(spark, d, "supplier").select("s_suppkey", T.organization_key(district, ["ISD", "CISD", "Independent School District"]).alias("district"), T.key_of(F.regexp_replace(school, r"(?i)\b(?:el|elem)\b\.?", "Elementary")).alias("school"))
+
+
+SECTORS = [
+    {"sectors": ["school"], "levels": [], "rules": [(r"\bprincipal\b", "school_leader", "director", 0.9), (r"\b(teacher|coach)\b", "teacher", "staff", 0.9)]},
+    {"sectors": [], "levels": ["federal"], "rules": [(r"\bagent\b", "federal_agent", "staff", 0.9)]},
+    {"sectors": [], "levels": [], "rules": [(r"\bdirector\b", "department_head", "director", 0.7)]},
+]
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN CASE c_custkey % 4 WHEN 0 THEN 'teacher' ELSE 'other' END ELSE CASE c_custkey % 3 WHEN 0 THEN 'federal_agent' ELSE 'department_head' END END AS role FROM customer""")
+def x16_x17_scoped_rules(spark, d):
+    """Rules of the packs whose sector and level a row has, its own before the general ones."""
+    from ..functions.vocabulary import by_scope
+
+    k = F.col("c_custkey")
+    raw = F.when(k % 4 == 0, "Math Teacher").when(k % 2 == 0, "Agent").when(k % 3 == 0, "Special Agent").otherwise("Director")
+    sector, level = F.when(k % 2 == 0, "school").otherwise("city"), F.when(k % 2 == 0, "local").otherwise("federal")
+    role = by_scope(sector, level, SECTORS, [("school", "local"), ("city", "federal")], lambda rules: N.title(raw, rules=rules)["role"])
+    return table(spark, d, "customer").select("c_custkey", role.alias("role"))
+
+
+@query("""SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS exact, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS tokens FROM part""")
+def x21_exact_keys(spark, d):
+    """Names in one case with plain letters and single blanks, and their words."""
+    full = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF21 + k) for k in range(26)))  # full-width capitals
+    exact = F.lower(T.without_marks(T.collapse_whitespace(full)))
+    return table(spark, d, "part").select("p_partkey", exact.alias("exact"), F.array_sort(F.array_distinct(F.split(exact, " "))).alias("tokens"))
+
+
+@query("""SELECT event_id, sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type, coalesce(CAST(user_id AS VARCHAR), ''))) AS hash FROM events""")
+def x63_audit_hashes(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.coalesce(F.col("user_id").cast("string"), F.lit(""))), 256).alias("hash"))
+
+
+@query("""SELECT s_suppkey, s_nationkey, 'new' AS state FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, s_nationkey, 'known' FROM supplier WHERE s_suppkey % 2 = 0""")
+def n6_n30_locations(spark, d):
+    """Locations are appended; those already there for their owner are left out, nulls equal."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.lit(None).cast("string").alias("street"))
+    known = s.filter("s_suppkey % 2 = 0")
+    k, a = known.alias("k"), s.alias("a")
+    same = (F.col("k.s_suppkey") == F.col("a.s_suppkey")) & F.col("k.s_nationkey").eqNullSafe(F.col("a.s_nationkey")) & F.col("k.street").eqNullSafe(F.col("a.street"))
+    new = a.join(k, same, "left_anti")
+    return new.select("s_suppkey", "s_nationkey", F.lit("new").alias("state")).union(known.select("s_suppkey", "s_nationkey", F.lit("known").alias("state")))
+
+
+@query("""SELECT sha256(html) AS content, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1""")
+def n40_document_cache(spark, d):
+    """Pages with one content are read once, also those that list nobody."""
+    return table(spark, d, "pages").groupBy(F.sha2("html", 256).alias("content")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))

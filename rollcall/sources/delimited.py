@@ -27,9 +27,14 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
 
 def read_strings(spark: SparkSession, path: str, sep: str = ",", strict: bool = False, verified: bool = True) -> DataFrame:
     """All columns as text, named by the header without a byte order mark; blank records go. A source that no human
-    has verified is not read at all."""
+    has verified is not read at all; strict: files with a quote that does not end raise ValueError before they are."""
     if not verified:
         raise ValueError(f"{path} has not been verified")
+    if strict:
+        quotes = F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+        odd = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(quotes.alias("n")).filter("n % 2 = 1").limit(1).collect()
+        if odd:
+            raise ValueError(f"{odd[0].file} has a quote that does not end")
     df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE")
     return _without_blank_rows(df.toDF(*[c.removeprefix(BOM) for c in df.columns]))
 
