@@ -26,7 +26,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.read_back(warc.written(read(spark, sf_dir, "pages")))
     kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")  # whatever the URL's scheme
-    return rows.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to", "record_id")
+    return rows.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_warc, op3_rules, op4_packing, op5_near_dedup, op6_training_order, op7_secrets, op8_webp, op9_line_crf, op10_lm, pipeline)
 }
-ORACLES: dict[str, str] = {}
+#: SHA-1 in base 32 from its hexadecimal digits h: five bits a letter.
+_HEX = "strpos('0123456789abcdef', substr(h, {0}, 1)) - 1"
+_BASE32 = f"""array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+CAST(1 + (((({_HEX.format("5 * i // 4 + 1")}) * 16 + {_HEX.format("5 * i // 4 + 2")}) >> (3 - 5 * i % 4)) & 31) AS BIGINT), 1)), '')"""
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLES: dict[str, str] = {
+    "op2_warc": f"""SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)""",
+    "op5_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^ 	-]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT e.b, r.other FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, min(other) = d.doc_id AS kept FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+}
