@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import folder
 from ..shipping import ship
 
 
@@ -19,11 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='rollcall-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rollcall/{name}-{uuid.uuid4().hex}"
+    return folder(spark, name)
 
 
 def kept(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
