@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 
 def chosen(df: DataFrame, search: tuple[str, list[str]] | None = None, after: tuple[str, object] | None = None, among: dict[str, list] | None = None, until: tuple[str, object] | None = None) -> DataFrame:
     """Rows that meet all filters given: a literal text in the joined columns, whatever the case; a key above a cursor;
@@ -67,23 +69,6 @@ def robots_allow(path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["ok"], F.lit(True))
 
 
-def numbered(df: DataFrame, key: str, name: str, tasks: int = 0) -> DataFrame:
-    """df with its rows' places, from 0, in the order of a unique key, without one task that holds all: rows are dealt
-    by ranges, ranges counted, and each numbered behind the ones before it."""
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.approxQuantile(key, [k / tasks for k in range(1, tasks)], 0.01) if tasks > 1 else []
-    part = F.lit(0)
-    for k, b in enumerate(sorted(set(bounds))):
-        part = F.when(F.col(key) > b, k + 1).otherwise(part)
-    own = df.withColumn("range_part", part)
-    counts = own.groupBy("range_part").count().collect()  # one row a range
-    before, total = [], 0
-    for r in sorted(counts, key=lambda r: r.range_part):
-        before.append((r.range_part, total))
-        total += r["count"]
-    starts = spark.createDataFrame(before, "range_part int, range_start long")
-    place = F.row_number().over(Window.partitionBy("range_part").orderBy(key)) - 1
-    return own.join(F.broadcast(starts), "range_part").withColumn(name, F.col("range_start") + place).drop("range_part", "range_start")
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with its rows' places, from 0, in the order of a key of any type that can be sorted."""
+    return placed(df, [F.col(key)], name).withColumn(name, F.col(name) - 1)

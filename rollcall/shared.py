@@ -34,3 +34,14 @@ def counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each longer by underscores until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
