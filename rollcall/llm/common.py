@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import folder
+from ..shared import folder, unused
 from ..shipping import ship
 
 
@@ -28,17 +28,6 @@ def kept(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, each longer by underscores until no column of df has it."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text binary): whole texts as UTF-8, null as empty; other columns go."""
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
