@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, lm, materialise, mixing, neardup, packing, rules, secret_scan, warc, webp, whitening
+from . import bpe, crf, dialogue, lm, materialise, mixing, neardup, packing, rules, secret_scan, warc, webp, whitening
 from .common import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(read(spark, sf_dir, "embeddings"))
 
 
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(read(spark, sf_dir, "conversations"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_warc, op3_rules, op4_packing, op5_near_dedup, op6_training_order, op7_secrets, op8_webp, op9_line_crf, op10_lm, op11_whitening, op13_mixing, pipeline)
+    f.__name__: f for f in (op1_bpe, op2_warc, op3_rules, op4_packing, op5_near_dedup, op6_training_order, op7_secrets, op8_webp, op9_line_crf, op10_lm, op11_whitening, op12_dialogue, op13_mixing, pipeline)
 }
 #: SHA-1 in base 32 from its hexadecimal digits h: five bits a letter.
 _HEX = "strpos('0123456789abcdef', substr(h, {0}, 1)) - 1"
