@@ -4,7 +4,8 @@ Encoding: an Aho-Corasick automaton over the vocabulary gives, for each position
 that start there; the encoder takes the longest one that may follow the token before it and steps back
 where none can. Two tokens may stand side by side if undoing their merges, latest first, never meets a
 merge across their boundary that came earlier; such a chain is the only one that BPE merging yields, so
-the result is exact, in time linear in the piece. Decoding gathers bytes by an offset table.
+the result is exact, in time linear in the piece. Every piece is encoded so: many new ones a step at a time in
+arrays, single and last ones in a plain loop. Decoding gathers bytes by an offset table.
 
 A text in normal form is cut at ASCII white space, which no piece crosses; a bounded memo keeps the ids of
 short chunks. Edge cases: null and empty texts give no ids and an empty decoded text; special
@@ -20,6 +21,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -32,8 +34,10 @@ MEMO_CHUNKS, MEMO_BYTES = 500_000, 40  # entries kept, and the longest chunk tha
 #: White space as the vocabulary's patterns know it; Python's own also has U+001C to U+001F.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-WIDTHS, SLOTS, NONE = (7, 10, 14, 24), 1 << 20, 1 << 30  # bytes of pieces merged together, slots of the pair table, no merge
 END = 0xE000  # added to the code of a piece's last symbol
+APART = 0xF8FF  # no symbol: between pieces
+PAIRS = 1 << 21  # places of the table of pairs
+FEW = 32  # pieces are encoded one by one when so few are left
 
 
 def byte_letters() -> list[str]:
@@ -61,7 +65,8 @@ class Bpe:
         self.trie = ahocorasick.Automaton()
         for name, i in vocab.items():
             self.length[i] = len(own[name])
-            self.trie.add_word(own[name], i)
+            if len(own[name]) > 1:  # single symbols are tokens at every place
+                self.trie.add_word(own[name], i)
         self.trie.make_automaton()
         before = -1
         for a, b in file["model"]["merges"]:
@@ -71,7 +76,13 @@ class Bpe:
                 raise ValueError("ids must follow the order of the merges")
             before = made
             self.parts[made], self.pair[left, right] = (left, right), made
+        self.lengths = np.array(self.length, np.int64)
+        self.pair_keys, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self.codes = np.array([ord(self.letters[b]) for b in range(256)], np.uint32)
         self.single = {own[n]: i for n, i in vocab.items() if len(own[n]) == 1}
+        self.singles = np.full(1 << 16, -1, np.int64)
+        for x, i in self.single.items():
+            self.singles[ord(x)] = i
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.special_at = re.compile("|".join(re.escape(s).encode().decode() for s in self.special).encode()) if self.special else None
         names = [b""] * size
@@ -119,7 +130,8 @@ class Bpe:
         n = len(word)
         if n == 1:
             return [self.single[word]]
-        starts: list[list[int]] = [[] for _ in range(n)]
+        single = self.single
+        starts: list[list[int]] = [[single[x]] for x in word]
         length, fits = self.length, self.fits
         for end, i in self.trie.iter(word):
             starts[end + 1 - length[i]].append(i)
@@ -198,103 +210,93 @@ class Bpe:
             done = m.end()
         return b"".join([*out, *self._ordinary(data[done:])])
 
-    def merged(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of many pieces by their merges, pieces of a width all at once; long ones by piece()."""
-        out: list[bytes] = [b""] * len(pieces)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        width = np.searchsorted(WIDTHS, sizes)
-        width[sizes == 1] = len(WIDTHS)
-        for k in np.flatnonzero(width == len(WIDTHS)).tolist():
-            ids = self.piece(pieces[k])
-            out[k] = struct.pack(f"<{len(ids)}I", *ids)
-        for j, w in enumerate(WIDTHS):
-            own = np.flatnonzero(width == j)
-            for k in range(0, len(own), 50_000):
-                self._merged(pieces, own[k : k + 50_000].tolist(), sizes[own[k : k + 50_000]], w, out)
+    def fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """fits() of many pairs, by a table of those met before: one place for each hash, the last one met keeps it."""
+        key = a << 20 | b
+        at = (key * 0x9E3779B1 >> 13) & PAIRS - 1
+        out = self.pair_fits[at]
+        miss = np.flatnonzero(self.pair_keys[at] != key)
+        if len(miss):
+            new, where = np.unique(key[miss], return_inverse=True)
+            found = np.fromiter((self.fits(k >> 20, k & 0xFFFFF) for k in new.tolist()), bool, len(new))[where]
+            out[miss] = found
+            self.pair_keys[at[miss]], self.pair_fits[at[miss]] = key[miss], found
+            # Of two pairs with one place, key and value must be the same one's.
+            lost = self.pair_keys[at[miss]] != key[miss]
+            self.pair_keys[at[miss[lost]]] = -1
         return out
 
-    def _merged(self, pieces: list[bytes], short: list[int], size: np.ndarray, wide: int, out: list[bytes]) -> None:
-        own, value = self.table
-        raw = np.zeros((len(short), wide + 1), np.uint8)
-        raw[np.arange(wide + 1) < size[:, None]] = np.frombuffer(b"".join([pieces[k] for k in short]), np.uint8)
-        ids = self.base[raw]
-        every = np.arange(len(short))
-        ids[every, size - 1] = self.base_end[raw[every, size - 1]]
-        ids[np.arange(wide + 1) >= size[:, None]] = -1
-        made = self._made(ids[:, :-1], ids[:, 1:], own, value)
-        done = np.empty_like(ids)
-        cols = np.arange(wide + 1)
-        while len(every):
-            at = made.argmin(1)
-            best = made[np.arange(len(every)), at]
-            open_ = best < NONE
-            done[every[~open_]] = ids[~open_]
-            every, ids, made, at, best = every[open_], ids[open_], made[open_], at[open_], best[open_]
-            row = np.arange(len(every))
-            ids[row, at] = best
-            shift = np.minimum(cols + (cols > at[:, None]), wide)
-            ids = np.take_along_axis(ids, shift, 1)
-            ids[:, -1] = -1
-            made = np.take_along_axis(made, np.minimum(shift[:, :-1], wide - 1), 1)
-            made[:, -1] = NONE
-            made[row, at] = self._made(best, ids[row, np.minimum(at + 1, wide)], own, value)
-            left = at > 0
-            made[row[left], at[left] - 1] = self._made(ids[row[left], at[left] - 1], best[left], own, value)
-        n = (done >= 0).sum(1)
-        flat = done[done >= 0].astype("<u4").tobytes()
-        ends = (np.cumsum(n) * 4).tolist()
-        before = 0
-        for k, end in zip(short, ends, strict=True):
-            out[k] = flat[before:end]
-            before = end
-
-    @functools.cached_property
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs and what they make, in an open hash table."""
-        own, value = np.full(SLOTS + 64, -1, np.int64), np.full(SLOTS + 64, NONE, np.int32)
-        for (a, b), i in self.pair.items():
-            k = self._slot(a, b)
-            while own[k] >= 0:
-                k += 1
-            own[k], value[k] = a << 20 | b, i
-        return own, value
-
-    @functools.cached_property
-    def probes(self) -> int:
-        own = self.table[0]
-        at = np.flatnonzero(own >= 0)
-        return int((at - self._slot(own[at] >> 20, own[at] & 0xFFFFF)).max()) + 1
-
-    @staticmethod
-    def _bytes_to(single: dict[str, int], letters: dict[int, str], end: int) -> np.ndarray:
-        return np.array([single[chr(end + ord(letters[b]))] for b in range(256)], np.int32)
-
-    @functools.cached_property
-    def base(self) -> np.ndarray:
-        return self._bytes_to(self.single, self.letters, 0)
-
-    @functools.cached_property
-    def base_end(self) -> np.ndarray:
-        return self._bytes_to(self.single, self.letters, END)
-
-    def _made(self, a: np.ndarray, b: np.ndarray, own: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """What each pair makes, NONE if nothing."""
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        pair, k = a << 20 | b, self._slot(a, b)
-        pair[(a < 0) | (b < 0)] = -2
-        out = np.where(own[k] == pair, value[k], NONE)
-        for p in range(1, self.probes):
-            k += 1
-            hit = np.flatnonzero(own[k] == pair)
-            out.reshape(-1)[hit] = value[k.reshape(-1)[hit]]
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pieces (none empty, none with a line feed) as piece() gives them, all pieces a step at a time.
+
+        The automaton runs once over all of them. Each piece has a place, the token before it and the next token to try
+        there, longest first; a step goes on behind a token that fits, or to a shorter one, or back. Ways are kept by
+        place: which token was taken there, and where the one before it began."""
+        if not pieces:
+            return []
+        raw = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)
+        stops = np.flatnonzero(raw == 10)
+        codes = self.codes[raw]
+        codes[stops - 1] += END
+        codes[stops] = APART
+        found = np.fromiter(chain.from_iterable(self.trie.iter(codes.tobytes().decode("utf-32-le"))), np.int64)
+        alone = np.flatnonzero(raw != 10)
+        token = np.concatenate([self.singles[codes[alone]], found[1::2]])
+        after = np.concatenate([alone, found[::2]]) + 1
+        starts = after - self.lengths[token]
+        order = np.argsort(starts, kind="stable")  # so the shortest is first at each place
+        token, after = token[order], after[order]
+        low = np.concatenate([[0], np.cumsum(np.bincount(starts, minlength=len(raw) + 1))])
+        taken, came = np.zeros(len(raw) + 1, np.int64), np.full(len(raw) + 1, -1, np.int64)
+        shut = np.zeros(len(raw) + 1, bool)
+        begin = np.concatenate([[0], stops[:-1] + 1])
+        at, stop, before = begin.copy(), stops, np.full(len(pieces), -1, np.int64)
+        k = low[at + 1] - 1
+        left = np.arange(len(pieces))
+        while len(left) > FEW:
+            here = k >= low[at]
+            i, to = token[k], after[k]
+            good = here & ~shut[to]
+            pair = np.flatnonzero(good & (before >= 0))
+            good[pair] = self.fitting(before[pair], i[pair])
+            none = np.flatnonzero(~here)
+            on, shorter = np.flatnonzero(good), np.flatnonzero(here & ~good)
+            taken[at[on]] = k[on]
+            came[to[on]] = at[on]
+            at[on], before[on] = to[on], i[on]
+            k[on] = low[at[on] + 1] - 1
+            k[shorter] -= 1
+            shut[at[none]] = True
+            back = came[at[none]]
+            at[none], k[none] = back, taken[back] - 1
+            first = came[back]
+            before[none] = np.where(first < 0, -1, token[taken[first]])
+            open_ = at < stop
+            if not open_.all():
+                left, at, stop, before, k = left[open_], at[open_], stop[open_], before[open_], k[open_]
+        done = np.ones(len(pieces), bool)
+        done[left] = False
+        # Read each way from its end; the tokens of all pieces at the same distance from it at once.
+        which, place, ids, of = np.flatnonzero(done), stops[done], [], []
+        while len(which):
+            place = came[place]
+            ids.append(token[taken[place]])
+            of.append(which)
+            on = place > begin[which]
+            which, place = which[on], place[on]
+        out: list[bytes] = [b""] * len(pieces)
+        if ids:
+            of_all, rank = np.concatenate(of), np.repeat(np.arange(len(of)), [*map(len, of)])
+            flat = np.concatenate(ids)[np.lexsort((-rank, of_all))].astype("<u4").tobytes()
+            ends = (np.cumsum(np.bincount(of_all, minlength=len(pieces))) * 4).tolist()
+            out = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for n in left.tolist():
+            own = self.piece(pieces[n])
+            out[n] = struct.pack(f"<{len(own)}I", *own)
         return out
 
-    @staticmethod
-    def _slot(a, b):
-        return (a * 0x9E3779B1 + b * 0x85EBCA77) >> 9 & SLOTS - 1
-
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        """Ids, little-endian uint32, of many whole texts; new chunks are merged all at once."""
+        """Ids, little-endian uint32, of many whole texts; new chunks are encoded all at once."""
         plain = [b"<|" not in t or not self.special_at or not self.special_at.search(t) for t in texts]
         split = [self.normal(t).split() if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.memo) >= MEMO_CHUNKS:
@@ -305,7 +307,7 @@ class Bpe:
         new = [*{s[k] for s, own in zip(split, gaps, strict=True) for k in own}]
         cut = [self.pieces(c) for c in new]
         distinct = [*{p for own in cut for p in own}]
-        ids = dict(zip(distinct, self.merged(distinct), strict=True))
+        ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
         fresh = {c: ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own]) for c, own in zip(new, cut, strict=True)}
         for s, f, own in zip(split, found, gaps, strict=True):
             for k in own:
