@@ -189,13 +189,26 @@ def k3_checksum(spark, d):
     return X.checksum(_exported(spark, d).select("person", F.col("published").alias("value")), "person")
 
 
-@query(r"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') THEN 'government_id_number' END, CASE WHEN regexp_matches(text, '(?i)\b(date\s*of\s*birth|birth\s*date|dob|born\s*on)\b')
-AND regexp_matches(text, '\b(0?[1-9]|1[0-2])[/-](0?[1-9]|[12]\d|3[01])[/-](19|20)\d{2}\b') THEN 'date_of_birth' END, CASE WHEN regexp_matches(text, '\b(?:\d[ -]?){13,19}\b') THEN 'financial_account' END,
-CASE WHEN regexp_matches(text, '(?i)\b(diagnos(is\s*:|ed\s+with)|patient\s*id(?:\s*[:#])?\s+[a-z0-9]|health\s*condition\s*[:=-])') THEN 'medical' END,
-CASE WHEN regexp_matches(text, '(?i)\b(class\s*of\s*(19|20)\d{2}|(\d{1,2})(st|nd|rd|th)\s*grade\s*student|student\s*id\s*[:#]?\s*\w+)\b') THEN 'student_information' END,
-CASE WHEN regexp_matches(text, '(?i)\b(parent|guardian|caregiver|mother|father)\s*(name|id|email|address|phone|contact)?\s*[:#]') THEN 'guardian_information' END], lambda x: x IS NOT NULL) AS kinds FROM documents WHERE text <> ''""")
+def _held(pattern: str) -> str:
+    return f"regexp_matches(text, '{pattern}')"
+
+
+_KINDS = {
+    "government_id_number": _held(B.SSN),
+    "date_of_birth": _held("(?i)" + B.LABELS["date_of_birth"]) + " AND " + _held(B.DATE),
+    "financial_account": _held(B.CARD),
+    "medical": _held("(?i)" + B.MEDICAL_VALUE),
+    "student_information": _held("(?i)" + B.STUDENT_VALUE),
+    "guardian_information": _held("(?i)" + B.GUARDIAN_VALUE),
+}
+#: Texts, some of which end in what a medical record would hold.
+_NOTES = """CASE doc_id % 8 WHEN 0 THEN concat(text, ' Diagnosed with x.') WHEN 1 THEN concat(text, ' patient id: 7') WHEN 2 THEN concat(text, ' Medical record no. 5') WHEN 3 THEN concat(text, ' health condition: x')
+WHEN 4 THEN concat(text, ' prescription for x') WHEN 5 THEN concat(text, ' disability status: x') ELSE text END"""
+
+
+@query(f"""SELECT doc_id, list_filter([{", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _KINDS.items())}], lambda x: x IS NOT NULL) AS kinds FROM (SELECT doc_id, {_NOTES} AS text FROM documents)""")
 def e1_prohibited_data(spark, d):
-    return table(spark, d, "documents").filter("text <> ''").select("doc_id", B.prohibited("account_note", F.col("text")).alias("kinds"))
+    return table(spark, d, "documents").select("doc_id", B.prohibited("account_note", F.expr(_NOTES)).alias("kinds"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'desk 5' END AS note, 'Student Services' AS title, NULL AS home_address, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS n_findings FROM customer""")
