@@ -1,6 +1,6 @@
 """The registered queries, and SQL that gives the same results."""
 
-from . import composites, emails, extraction, folds, graphs, identity, people, relational, sources, state, summaries, text, urls  # noqa: F401
+from . import composites, emails, extraction, folds, graphs, identity, people, relational, sources, state, streams, summaries, text, urls  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
