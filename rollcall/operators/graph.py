@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import counted, folder, written
 
+LEVELS, ROUNDS = 3, 4  # levels of one job, and jobs, before reach is doubled
+
 #: The relations that contain: only along these do suppressions pass down.
 CONTAINING = ("part_of", "reports_to", "operated_by")
 
@@ -33,6 +35,13 @@ def _written(df: DataFrame, path: str, step: int) -> DataFrame:
     return written(df, f"{path}/{step}")
 
 
+def _observed(df: DataFrame, path: str, going_on: Column) -> tuple[DataFrame, int]:
+    """df as a table, and the number of its rows from which ways go on."""
+    seen = Observation()
+    df.observe(seen, F.count_if(going_on).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+
+
 def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | str | None = None) -> DataFrame:
     """(node, ancestor, depth) with the nodes themselves at depth 0, from (parent, child), up to depth `most`: one row
     for each depth at which an ancestor is reached.
@@ -46,17 +55,24 @@ def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | s
     up = effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
     if most < 1:
         return wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    last = _written(up, home, 1)
-    reach, paths = 1, [f"{home}/1"]
-    while reach < most:
-        known = spark.read.schema(last.schema).parquet(*paths)
-        ends = last.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
-        after = known.filter(F.col("depth") <= most - reach).select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
-        last, n = counted(ends.join(after, "via").select("node", "ancestor", "depth").distinct(), f"{home}/{2 * reach}")
-        if not n:
-            break
+
+    def longer(ends: DataFrame, after: DataFrame, by: int) -> DataFrame:
+        """Ways of `by` steps, and those of ways behind them."""
+        via = after.select(F.col("node").alias("via"), "ancestor", (F.col("depth") + by).alias("depth"))
+        return ends.select("node", F.col("ancestor").alias("via")).join(via, "via").select("node", "ancestor", "depth").distinct()
+
+    # Up to four steps in one job, without a table between.
+    two = longer(up, up, 1)
+    four = longer(two, up.union(two), 2)
+    known, seen = _observed(up.union(two).union(four).filter(F.col("depth") <= most), f"{home}/4", F.col("depth") == 4)
+    reach, paths = 4, [f"{home}/4"]
+    while reach < most and seen:
+        ends = known.filter(F.col("depth") == reach)
+        ways = spark.read.schema(known.schema).parquet(*paths).filter(F.col("depth") <= most - reach)
+        known, seen = _observed(longer(ends, ways, reach), f"{home}/{2 * reach}", F.col("depth") == 2 * reach)
         reach *= 2
         paths.append(f"{home}/{reach}")
+    last = known
     ways = spark.read.schema(last.schema).parquet(*paths).join(wanted, "node", "left_semi")
     return ways.union(wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
 
@@ -84,32 +100,65 @@ def closure(steps: DataFrame) -> DataFrame:
         paths.append(f"{home}/{reach}")
 
 
+def _walked(starts: DataFrame, steps: DataFrame, own: list[str], home: str) -> tuple[DataFrame, DataFrame | None]:
+    """(*own, node, depth) of all that (*own, node) reach along (node, next), at least depth, themselves at 0; and those
+    at which the walk was stopped after ROUNDS jobs, None if it ended. Only what is in reach is touched; a job takes
+    LEVELS levels at once."""
+    spark = starts.sparkSession
+    front = _written(starts.select(*own, "node", F.lit(0).alias("depth")).filter("node is not null").distinct(), home, 0)
+    paths = [f"{home}/0"]
+    for k in range(1, ROUNDS + 1):
+        known = spark.read.schema(front.schema).parquet(*paths)
+        level, levels = front, None
+        for _ in range(LEVELS):
+            level = level.join(steps, "node").select(*own, F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"))
+            levels = level if levels is None else levels.union(level)
+        least = levels.groupBy(*own, "node").agg(F.min("depth").alias("depth"))
+        end = F.col("depth") == k * LEVELS
+        new, going = _observed(least.join(known, [*own, "node"], "left_anti").select(*known.columns), f"{home}/{k}", end)
+        paths.append(f"{home}/{k}")
+        if not going:
+            return spark.read.schema(front.schema).parquet(*paths), None
+        front = new.filter(end)
+    return spark.read.schema(front.schema).parquet(*paths), front
+
+
+def reached(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node, to, depth): for each of nodes all that (node, next) lead to, at least depth, itself at 0, through cycles and
+    however deep. What lies far is closed by doubled reach, among the nodes beyond the walk alone."""
+    home = _shared(nodes.sparkSession)
+    steps = _written(steps.select("node", "next").distinct(), home, -1)
+    own = nodes.select(F.col("node").alias("origin"), "node").distinct()
+    known, front = _walked(own, steps, ["origin"], home)
+    out = known.select(F.col("origin").alias("node"), F.col("node").alias("to"), "depth")
+    if front is None:
+        return out
+    beyond = _far(front.select("node").distinct(), steps.select(F.col("node").alias("parent"), F.col("next").alias("child")), f"{home}/far")
+    far = closure(steps.join(beyond, "node", "left_semi"))
+    more = front.select("origin", F.col("node").alias("via"), F.col("depth").alias("before")).join(far.withColumnRenamed("node", "via"), "via")
+    more = more.groupBy(F.col("origin").alias("node"), "to").agg(F.min(F.col("before") + F.col("depth")).alias("depth"))
+    return out.union(more.join(out, ["node", "to"], "left_anti").select("node", "to", "depth"))
+
+
 def hierarchy(nodes: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
     """(node, ancestor, depth): every ancestor of each node, nearest depth, several parents, cycles and any depth; a
     node is not its own ancestor."""
-    up = closure(effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("next")))
-    own = up.filter("node != to").join(nodes.select("node").distinct(), "node", "left_semi")
-    return own.select("node", F.col("to").alias("ancestor"), "depth")
+    up = effective(edges, as_of).select(F.col("child").alias("node"), F.col("parent").alias("next"))
+    return reached(nodes, up).filter("node != to").select("node", F.col("to").alias("ancestor"), "depth")
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
     """(node, descendant), the node itself included."""
-    down = closure(effective(edges, as_of).select(F.col("parent").alias("node"), F.col("child").alias("next")))
-    own = nodes.select("node").distinct()
-    below = down.filter("node != to").join(own, "node", "left_semi").select("node", F.col("to").alias("descendant"))
-    return below.union(own.select("node", F.col("node").alias("descendant")))
+    down = effective(edges, as_of).select(F.col("parent").alias("node"), F.col("child").alias("next"))
+    return reached(nodes, down).select("node", F.col("to").alias("descendant"))
 
 
-def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
-    """(node): roots (node) and all below them, however deep; cycles end where they meet what is known. With as_of,
-    only edges in force on that day count.
-
-    In round k, nodes join whose ancestor 2^k steps up is known; edges double for the next round. A round without new
-    nodes ends it: then none lies as far below the roots as that, nor further.
-    """
-    spark, home = roots.sparkSession, _shared(roots.sparkSession)
-    jump = _written(effective(edges, as_of).select("child", "parent").distinct(), home, 0)
-    known = _written(roots.select("node").distinct(), home, 1)
+def _far(roots: DataFrame, edges: DataFrame, home: str) -> DataFrame:
+    """(node): roots and all below them. In round k, nodes join whose ancestor 2^k steps up is known; edges double for
+    the next round. A round without new nodes ends it: then none lies as far below the roots as that, nor further."""
+    spark = roots.sparkSession
+    jump, known = edges.select("child", "parent").distinct(), _written(roots.select("node").distinct(), home, 1)
+    jump = _written(jump, home, 0)
     paths, step = [f"{home}/1"], 1
     while True:
         below = jump.join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
@@ -123,25 +172,70 @@ def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None)
         step += 2
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(node): nodes from which edges lead back to themselves at a time when all edges on the way are in force.
+def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None) -> DataFrame:
+    """(node): roots (node) and all below them, however deep; cycles end where they meet what is known. With as_of,
+    only edges in force on that day count. The walk goes down from the roots and meets nothing else; where it has not
+    ended after ROUNDS jobs, reach doubles among the edges whose child isn't known yet."""
+    home = _shared(roots.sparkSession)
+    steps = effective(edges, as_of).select(F.col("parent").alias("node"), F.col("child").alias("next"))
+    known, front = _walked(roots, steps, [], home)
+    known = known.select("node")
+    if front is None:
+        return known
+    left = steps.join(known.withColumnRenamed("node", "next"), "next", "left_anti").select(F.col("node").alias("parent"), F.col("next").alias("child"))
+    return known.union(_far(front.select("node"), left, f"{home}/far")).distinct()
+
+
+def _core(edges: DataFrame, n: int, home: str, rounds: int = 8) -> DataFrame:
+    """Of n edges those that remain when ends without a way on and starts without a way in are taken off, again and
+    again: no cycle passes the others. It only spares work, so it stops after some rounds."""
+    for k in range(rounds):
+        on, into = edges.select(F.col("child").alias("parent")).distinct(), edges.select(F.col("parent").alias("child")).distinct()
+        edges, m = counted(edges.join(on, "parent", "left_semi").join(into, "child", "left_semi").select(*edges.columns), f"{home}/core-{k}")
+        if m in (n, 0):
+            break
+        n = m
+    return edges
+
+
+def cycles(edges: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """(node): nodes from which edges (child, parent, effective_from, effective_to) lead back to themselves at a time when
+    all edges on the way are in force. With `new`, further edges of the same form: their children that a cycle through
+    one of them comes back to, with all edges there are; only these are followed.
 
-    Paths carry the interval that their edges share and their nodes; a path goes on only while the interval is not
-    empty and it meets no node twice. Meant for guarding new edges: give the nodes that these touch.
+    For each origin and node that it leads to, only the intervals are kept that no other one there holds: a way that
+    is in force for less time can't lead further. So many ways between two nodes cost no more than their intervals.
     """
-    home = _shared(edges.sparkSession)
-    dated = edges.select("parent", "child", F.coalesce("effective_from", F.lit("0001-01-01").cast("date")).alias("since"), F.coalesce("effective_to", F.lit("9999-12-31").cast("date")).alias("until"))
-    dated = _written(dated, home, -1)
-    level = _written(dated.select(F.col("child").alias("origin"), F.col("parent").alias("node"), "since", "until", F.array("child").alias("path")), home, 0)
-    found, step = [], 0
-    while not level.isEmpty():
-        found.append(level.filter("node = origin").select(F.col("origin").alias("node")))
+    spark, home = edges.sparkSession, _shared(edges.sparkSession)
+
+    def dated(e: DataFrame) -> DataFrame:
+        since, until = F.coalesce("effective_from", F.lit("0001-01-01").cast("date")), F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
+        return e.select("child", "parent", since.alias("since"), until.alias("until")).filter("since <= until").distinct()
+
+    every = dated(edges)
+    if new is not None:
+        every = every.union(dated(new)).distinct()
+    every = _core(*counted(every, f"{home}/edges"), home)
+    first = every if new is None else every.join(dated(new), ["child", "parent", "since", "until"], "left_semi")
+    up = every.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.col("since").alias("a"), F.col("until").alias("b"))
+
+    def widest(ways: DataFrame) -> DataFrame:
+        """Without intervals that another one of the same origin and node holds."""
+        before = Window.partitionBy("origin", "node").orderBy("since", F.desc("until")).rowsBetween(Window.unboundedPreceding, -1)
+        return ways.distinct().withColumn("held", F.max("until").over(before)).filter("held is null or held < until").drop("held")
+
+    found: DataFrame | None = None
+    paths, step = [f"{home}/0"], 0
+    level, n = counted(widest(first.select(F.col("child").alias("origin"), F.col("parent").alias("node"), "since", "until")), f"{home}/0")
+    while n:
+        known = spark.read.schema(level.schema).parquet(*paths)
+        found = known.filter("node = origin").select(F.col("origin").alias("node")).distinct()
+        on = level.join(found.withColumnRenamed("node", "origin"), "origin", "left_anti")
+        after = on.join(up, "node").select("origin", F.col("next").alias("node"), F.greatest("since", "a").alias("since"), F.least("until", "b").alias("until"))
+        after = widest(after.filter("since <= until"))
+        held = known.select(F.col("origin").alias("o"), F.col("node").alias("n"), F.col("since").alias("s"), F.col("until").alias("u"))
+        fresh = after.join(held, (F.col("origin") == F.col("o")) & (F.col("node") == F.col("n")) & (F.col("s") <= F.col("since")) & (F.col("u") >= F.col("until")), "left_anti")
         step += 1
-        up = dated.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.col("since").alias("a"), F.col("until").alias("b"))
-        after = level.filter("node != origin and not array_contains(path, node)").join(up, "node")
-        after = after.select("origin", F.col("next").alias("node"), F.greatest("since", "a").alias("since"), F.least("until", "b").alias("until"), F.array_append("path", F.col("node")).alias("path"))
-        level = _written(after.filter("since <= until"), home, step)
-    out = found[0] if found else edges.select(F.col("child").alias("node")).limit(0)
-    for f in found[1:]:
-        out = out.union(f)
-    return out.distinct()
+        level, n = counted(fresh, f"{home}/{step}")
+        paths.append(f"{home}/{step}")
+    return found if found is not None else edges.select(F.col("child").alias("node")).limit(0)

@@ -1,4 +1,4 @@
-"""Suppression by scope: each scope is an equality join, never a single OR-ed condition."""
+"""Suppression by scope: each scope is an equality join, never a single OR-ed condition; broad ones are salted."""
 
 from __future__ import annotations
 
@@ -27,6 +27,11 @@ SCOPES = {
 }
 
 
+#: Scopes of few values, or none: their subjects are dealt over SALTS tasks, to each of which all their entries go.
+BROAD = {"jurisdiction", "government_level", "export_purpose", "global"}
+SALTS = 32
+
+
 def in_force(at: Column) -> Column:
     """effective_at <= at < expires_at, and not revoked."""
     return (F.col("effective_at") <= at) & (F.col("expires_at").isNull() | (F.col("expires_at") > at)) & F.col("revoked_at").isNull()
@@ -57,8 +62,7 @@ def matches(subjects: DataFrame, entries: DataFrame, key: str, at: Column | date
         if column is not None and column not in subjects.columns:
             continue
         own = now.filter(F.col("scope") == scope)
-        if scope == "global":
-            # One row for each subject and global entry: the only scope without a key.
+        if scope == "global":  # every subject
             named = subjects.select(key, F.lit("*").alias("value"), none.alias("via"))
             own = own.withColumn("value", F.lit("*"))
         elif scope == "domain":
@@ -76,7 +80,12 @@ def matches(subjects: DataFrame, entries: DataFrame, key: str, at: Column | date
             named = subjects.select(key, F.explode(F.array_distinct(F.transform(F.col(column).cast("array<string>"), lambda a: F.lower(F.trim(a))))).alias("value"), none.alias("via"))
         else:
             named = subjects.select(key, low(column).alias("value"), none.alias("via"))
-        found.append(named.join(own, "value").select(key, "entry", "scope", F.lit(rank).alias("rank"), "via"))
+        by = ["value"]
+        if scope in BROAD:
+            by.append("salt")
+            named = named.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+            own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        found.append(named.join(own, by).select(key, "entry", "scope", F.lit(rank).alias("rank"), "via"))
     return reduce(DataFrame.union, found)
 
 

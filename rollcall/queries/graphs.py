@@ -23,8 +23,7 @@ DATED = "e AS (SELECT * FROM ({0}) WHERE effective_from <= DATE '2021-07-01' AND
 
 
 def _edges(spark, d):
-    table(spark, d, "supplier").createOrReplaceTempView("rollcall_supplier")
-    return spark.sql(EDGES.replace("FROM supplier", "FROM rollcall_supplier"))
+    return _over(spark, d, EDGES, "supplier")
 
 
 def _suppliers(spark, d):
@@ -75,6 +74,21 @@ def g7_cycles(spark, d):
     return G.cycles(edges.withColumn("ring", F.floor(F.col("child") / 4)).join(whole, "ring", "left_semi").drop("ring"))
 
 
+_DAG = """SELECT s_suppkey AS child, floor((s_suppkey - k) / 2) AS parent, CAST('2020-01-01' AS DATE) + CAST(s_suppkey % 5 AS INT) AS effective_from, CASE WHEN s_suppkey % 3 = 0 THEN CAST('2020-01-01' AS DATE) + CAST(s_suppkey % 40 AS INT) END AS effective_to
+FROM supplier, (SELECT 1 AS k UNION ALL SELECT 2) WHERE s_suppkey > 1"""
+_NEW = """SELECT floor(s_suppkey / 9) AS child, s_suppkey AS parent, CAST('2020-01-01' AS DATE) + CAST(s_suppkey % 60 AS INT) AS effective_from, CAST('2020-01-03' AS DATE) + CAST(s_suppkey % 60 AS INT) AS effective_to FROM supplier WHERE s_suppkey % 4 = 3"""
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT CAST(child AS BIGINT) AS child, CAST(parent AS BIGINT) AS parent, effective_from AS a, coalesce(effective_to, DATE '9999-12-31') AS b FROM (SELECT * FROM ({_DAG}) UNION ALL SELECT * FROM ({_NEW})) WHERE a <= b),
+w AS (SELECT CAST(child AS BIGINT) AS origin, CAST(parent AS BIGINT) AS node, effective_from AS a, effective_to AS b FROM ({_NEW}) UNION SELECT origin, x.parent, greatest(w.a, x.a), least(w.b, x.b) FROM w JOIN x ON x.child = w.node WHERE w.node <> w.origin AND greatest(w.a, x.a) <= least(w.b, x.b))
+SELECT DISTINCT origin AS node FROM w WHERE node = origin""")
+def g7_new_edges(spark, d):
+    """New edges against a hierarchy of two parents each: which of them close a cycle that is in force on some day."""
+    old = _over(spark, d, _DAG.replace("FROM supplier, (", "FROM supplier JOIN ("), "supplier").select(F.col("child"), F.col("parent").cast("long").alias("parent"), "effective_from", "effective_to")
+    new = _over(spark, d, _NEW, "supplier").select(F.col("child").cast("long").alias("child"), "parent", "effective_from", "effective_to")
+    return G.cycles(old, new)
+
+
 @query("""SELECT s_suppkey AS child, CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey // 2 <> s_suppkey THEN s_suppkey // 2 END AS parent, s_suppkey % 4 = 0 AS unresolved FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey // 2 <> s_suppkey""")
 def g8_edges_from_identifiers(spark, d):
     """Parents named by identifiers: resolved to ids, edges to itself dropped, unknown ones marked."""
@@ -99,37 +113,58 @@ UNION ALL SELECT concat('b', CAST(s_suppkey AS STRING)), CASE WHEN s_suppkey % 2
 UNION ALL SELECT concat('c', CAST(n_nationkey AS STRING)), 'geographic_area', concat(' N', CAST(n_nationkey AS STRING), ' '), CAST('2024-01-01' AS TIMESTAMP), CAST('2024-06-01' AS TIMESTAMP), {_NEVER} FROM nation WHERE n_nationkey % 11 = 7
 UNION ALL SELECT concat('d', CAST(s_suppkey AS STRING)), 'domain', concat('@S', CAST(s_suppkey AS STRING), '.example.org'), CAST('2024-01-01' AS TIMESTAMP), {_NEVER}, {_NEVER} FROM supplier WHERE s_suppkey % 20 = 1
 UNION ALL SELECT concat('e', CAST(r_regionkey AS STRING)), 'jurisdiction', CAST(r_regionkey AS STRING), CAST('2024-04-01' AS TIMESTAMP), {_NEVER}, {_NEVER} FROM region"""
+#: Entries of the scopes that ENTRIES lacks, for the index alone: the export would lose everybody to the last one.
+MORE = f"""{ENTRIES} UNION ALL SELECT concat('f', CAST(s_suppkey AS STRING)), 'email', concat('X', CAST(s_suppkey * 11 + 10 AS STRING), '@S', CAST(floor((s_suppkey * 11 + 10) / 15) AS BIGINT), '.example.org '), CAST('2024-01-01' AS TIMESTAMP), {_NEVER}, {_NEVER} FROM supplier
+UNION ALL SELECT concat('g', CAST(r_regionkey AS STRING)), 'jurisdiction', concat('J', CAST(r_regionkey AS STRING)), CAST('2024-01-01' AS TIMESTAMP), {_NEVER}, {_NEVER} FROM region WHERE r_regionkey < 3
+UNION ALL SELECT concat('h', CAST(n_nationkey AS STRING)), 'source', concat('src', CAST(n_nationkey AS STRING)), CAST('2024-01-01' AS TIMESTAMP), {_NEVER}, {_NEVER} FROM nation WHERE n_nationkey % 6 = 1
+UNION ALL SELECT concat('i', CAST(r_regionkey AS STRING)), CASE r_regionkey WHEN 0 THEN 'government_level' WHEN 1 THEN 'export_purpose' ELSE 'global' END, CASE r_regionkey WHEN 0 THEN 'City' WHEN 1 THEN 'mail' END,
+CAST('2024-01-01' AS TIMESTAMP), CASE WHEN r_regionkey = 4 THEN CAST('2024-02-01' AS TIMESTAMP) END, {_NEVER} FROM region"""
 #: Who an entry names, by scope; suppliers in a tree of two children are organisations.
 ORG_UP = "(WITH RECURSIVE a AS (SELECT s_suppkey AS node, s_suppkey AS ancestor FROM supplier UNION ALL SELECT node, CAST(floor((ancestor - 1) / 2) AS BIGINT) FROM a WHERE ancestor > 0) SELECT node, ancestor FROM a)"
-NAMED = f"""SELECT person, entry, scope, rank, via FROM (SELECT *, CASE scope WHEN 'person' THEN 1 WHEN 'organization' THEN 2 WHEN 'organization_subtree' THEN 3 WHEN 'domain' THEN 4 WHEN 'jurisdiction' THEN 6 ELSE 7 END AS rank
-FROM ({ENTRIES}) WHERE effective_at <= TIMESTAMP '{AT}' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{AT}') AND revoked_at IS NULL) e JOIN LATERAL
+def named(entries: str) -> str:
+    """(person, entry, scope, rank, via) of the entries in force that name a person."""
+    ranks = " ".join(f"WHEN '{scope}' THEN {k}" for k, scope in enumerate(S.SCOPES))
+    return f"""SELECT person, entry, scope, rank, via FROM (SELECT *, CASE scope {ranks} END AS rank
+FROM ({entries}) WHERE effective_at <= TIMESTAMP '{AT}' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{AT}') AND revoked_at IS NULL) e JOIN LATERAL
 (SELECT person, NULL AS via FROM ({PEOPLE_SQL}) WHERE (scope = 'person' AND CAST(person AS STRING) = value) OR (scope = 'organization' AND CAST(org AS STRING) = value) OR (scope = 'geographic_area' AND 'n' || nation = lower(trim(value)))
+OR (scope = 'email' AND CASE WHEN person % 2 = 0 THEN replace(address, '@', '@mail.') ELSE address END = lower(trim(value))) OR (scope = 'source' AND 'src' || nation = value) OR (scope = 'jurisdiction' AND 'j' || person % 5 = lower(value))
+OR (scope = 'government_level' AND person % 3 = 1) OR (scope = 'export_purpose' AND person % 7 = 2) OR scope = 'global'
 UNION ALL SELECT person, CASE WHEN ancestor = org THEN NULL ELSE CAST(ancestor AS STRING) END FROM ({PEOPLE_SQL}) JOIN {ORG_UP} u ON u.node = org WHERE scope = 'organization_subtree' AND CAST(ancestor AS STRING) = value
 UNION ALL SELECT person, CASE WHEN person % 2 = 0 THEN 's' || org || '.example.org' END FROM ({PEOPLE_SQL}) WHERE address IS NOT NULL AND scope = 'domain' AND '@s' || org || '.example.org' = lower(value)) n ON TRUE"""
 
 
-def _entries(spark, d):
-    sql = ENTRIES
-    for t in ("customer", "supplier", "nation", "region"):
-        table(spark, d, t).createOrReplaceTempView(f"rollcall_{t}")
-        sql = sql.replace(f"FROM {t}", f"FROM rollcall_{t}")
-    return spark.sql(sql)
+NAMED = named(ENTRIES)
+
+
+def _over(spark, d, sql, *tables):
+    """The rows that SQL gives over given tables, which no view names."""
+    for t in tables:
+        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(sql, **{t: table(spark, d, t) for t in tables})
+
+
+def _entries(spark, d, sql=ENTRIES):
+    return _over(spark, d, sql, "customer", "supplier", "nation", "region")
 
 
 def _subjects(spark, d):
     host = F.when(F.col("person") % 2 == 0, F.replace(F.col("address"), F.lit("@"), F.lit("@mail."))).otherwise(F.col("address"))
-    return people(spark, d).select("person", "org", host.alias("address"), F.array(F.concat(F.lit("n"), "nation")).alias("areas"), (F.col("person") * 0 + 1).alias("jurisdiction"))
+    return people(spark, d).select("person", "org", host.alias("address"), F.array(F.concat(F.lit("n"), "nation")).alias("areas"), F.concat(F.lit("j"), F.col("person") % 5).alias("jurisdiction"),
+        F.concat(F.lit("src"), "nation").alias("source"), F.when(F.col("person") % 3 == 1, "city").alias("level"), F.when(F.col("person") % 7 == 2, "Mail").alias("purpose"))
 
 
 def _above(spark, d):
+    """(node, ancestor) of what lies below the organisations that subtree entries name, and of nothing else."""
     s = table(spark, d, "supplier")
     edges = s.filter("s_suppkey > 0").select(F.col("s_suppkey").alias("child"), F.floor((F.col("s_suppkey") - 1) / 2).alias("parent"))
-    return G.hierarchy(s.select(F.col("s_suppkey").alias("node")), edges)
+    roots = _entries(spark, d).filter("scope = 'organization_subtree'").select(F.expr("try_cast(value AS bigint)").alias("node")).filter("node is not null")
+    return G.descendants(roots, edges).select(F.col("descendant").alias("node"), F.col("node").alias("ancestor"))
 
 
-@query(NAMED)
+@query(named(MORE))
 def e3_suppression_matches(spark, d):
-    return S.matches(_subjects(spark, d), _entries(spark, d), "person", F.lit(AT).cast("timestamp"), _above(spark, d))
+    """Entries of all eleven scopes, one of them of everybody."""
+    return S.matches(_subjects(spark, d), _entries(spark, d, MORE), "person", F.lit(AT).cast("timestamp"), _above(spark, d))
 
 
 @query(f"""SELECT person, min_by(scope, (rank, entry)) IS NOT NULL AS suppressed, min_by(scope, (rank, entry)) AS by_scope, min_by(entry, (rank, entry)) AS by_entry, count(DISTINCT entry) AS entries
