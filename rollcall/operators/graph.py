@@ -56,23 +56,17 @@ def ancestry(nodes: DataFrame, edges: DataFrame, most: int = 12, as_of: date | s
     if most < 1:
         return wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
 
-    def longer(ends: DataFrame, after: DataFrame, by: int) -> DataFrame:
-        """Ways of `by` steps, and those of ways behind them."""
-        via = after.select(F.col("node").alias("via"), "ancestor", (F.col("depth") + by).alias("depth"))
-        return ends.select("node", F.col("ancestor").alias("via")).join(via, "via").select("node", "ancestor", "depth").distinct()
-
-    # Up to four steps in one job, without a table between.
-    two = longer(up, up, 1)
-    four = longer(two, up.union(two), 2)
-    known, seen = _observed(up.union(two).union(four).filter(F.col("depth") <= most), f"{home}/4", F.col("depth") == 4)
-    reach, paths = 4, [f"{home}/4"]
-    while reach < most and seen:
-        ends = known.filter(F.col("depth") == reach)
-        ways = spark.read.schema(known.schema).parquet(*paths).filter(F.col("depth") <= most - reach)
-        known, seen = _observed(longer(ends, ways, reach), f"{home}/{2 * reach}", F.col("depth") == 2 * reach)
+    last = _written(up, home, 1)
+    reach, paths = 1, [f"{home}/1"]
+    while reach < most:
+        known = spark.read.schema(last.schema).parquet(*paths)
+        ends = last.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        after = known.filter(F.col("depth") <= most - reach).select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        last, n = counted(ends.join(after, "via").select("node", "ancestor", "depth").distinct(), f"{home}/{2 * reach}")
+        if not n:
+            break
         reach *= 2
         paths.append(f"{home}/{reach}")
-    last = known
     ways = spark.read.schema(last.schema).parquet(*paths).join(wanted, "node", "left_semi")
     return ways.union(wanted.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
 
