@@ -10,7 +10,10 @@ from ..functions import pages as P
 from ..functions.text import record_key
 from ..shipping import ship
 
-COLUMNS = "page_id long, place int, name string, title string, department string, phone string, emails array<string>, strategy string, confidence double"
+COLUMNS = "page_id long, place int, name string, title string, department string, phone string, emails array<string>, profile string, strategy string, confidence double"
+
+FIELDS = ("name", "title", "department", "phone", "emails", "profile", "strategy", "confidence")
+ARROW = pa.schema([("page_id", pa.int64()), ("place", pa.int32()), *((c, pa.string()) for c in FIELDS[:4]), ("emails", pa.list_(pa.string())), ("profile", pa.string()), ("strategy", pa.string()), ("confidence", pa.float64())])
 
 
 def _mapped(pages: DataFrame, function, schema: str, arrow: pa.Schema) -> DataFrame:
@@ -27,9 +30,12 @@ def _mapped(pages: DataFrame, function, schema: str, arrow: pa.Schema) -> DataFr
 
 def people(pages: DataFrame) -> DataFrame:
     """COLUMNS: everyone that pages (page_id, html) list, in their order; null and empty pages list nobody."""
-    arrow = pa.schema([("page_id", pa.int64()), ("place", pa.int32()), *((c, pa.string()) for c in ("name", "title", "department", "phone")), ("emails", pa.list_(pa.string())), ("strategy", pa.string()), ("confidence", pa.float64())])
-    fields = ("name", "title", "department", "phone", "emails", "strategy", "confidence")
-    return _mapped(pages, lambda key, html: [(key, k, *(p[f] for f in fields)) for k, p in enumerate(P.people_of(html))], COLUMNS, arrow)
+    return _mapped(pages, lambda key, html: [(key, k, *(p[f] for f in FIELDS)) for k, p in enumerate(P.people_of(html))], COLUMNS, ARROW)
+
+
+def profiles(pages: DataFrame) -> DataFrame:
+    """COLUMNS: the person of each page that is one person's own."""
+    return _mapped(pages, lambda key, html: [(key, 0, *(p[f] for f in FIELDS))] if (p := P.single_profile(html)) else [], COLUMNS, ARROW)
 
 
 def records(found: DataFrame) -> DataFrame:
@@ -42,7 +48,7 @@ def records(found: DataFrame) -> DataFrame:
 
 def texts(pages: DataFrame) -> DataFrame:
     """(page_id, text): the text of pages by blocks, scripts and styles left out."""
-    return _mapped(pages, lambda key, html: [(key, P.tree(html).text())], "page_id long, text string", pa.schema([("page_id", pa.int64()), ("text", pa.string())]))
+    return _mapped(pages, lambda key, html: [(key, P.Page(html).text())], "page_id long, text string", pa.schema([("page_id", pa.int64()), ("text", pa.string())]))
 
 
 def next_pages(pages: DataFrame) -> DataFrame:

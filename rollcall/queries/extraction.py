@@ -51,8 +51,11 @@ def directory_pages(spark, d) -> DataFrame:
 
 _WAY = "list_extract(['table', 'card', 'definition', 'structured', 'structured', 'mailto'], CAST(org % 6 AS INT) + 1)"
 _SURE = "list_extract([0.9, 0.8, 0.7, 0.95, 0.95, 0.45], CAST(org % 6 AS INT) + 1)"
-#: Cards need three of their kind; the last organisation may have fewer people.
-EXTRACTED = f"""SELECT org AS page_id, name, CASE WHEN org % 6 = 5 THEN NULL ELSE title END AS title, CASE WHEN org % 6 = 5 THEN NULL ELSE phone END AS phone, [email] AS emails, {_WAY} AS strategy, CAST({_SURE} AS DOUBLE) AS confidence FROM ({LISTED})"""
+#: Cards need three of their kind; the last organisation may have fewer people. Of free text, only what reads as a title
+#: is one, and phones are in one form.
+_TITLE = "CASE WHEN org % 6 = 5 OR org % 6 IN (1, 2) AND title IN ('Wizard', 'Payroll Spec.') THEN NULL ELSE title END"
+_PHONE = "CASE WHEN org % 6 = 5 THEN NULL WHEN org % 6 IN (1, 2) THEN replace(replace(phone, '(', ''), ') ', '-') ELSE phone END"
+EXTRACTED = f"""SELECT org AS page_id, name, {_TITLE} AS title, {_PHONE} AS phone, [email] AS emails, {_WAY} AS strategy, CAST({_SURE} AS DOUBLE) AS confidence FROM ({LISTED})"""
 
 
 @query(EXTRACTED)
@@ -115,3 +118,28 @@ def h15_hidden_attributes(spark, d):
     found = F.transform(F.regexp_extract_all("html", F.lit('data-cfemail="([0-9a-fA-F]+)"'), F.lit(1)), E.cloudflare)
     own = directory_pages(spark, d).select("page_id", F.size(F.filter(found, lambda a: a.isNotNull())).cast("long").alias("hidden"))
     return own.filter("hidden > 0")
+
+
+#: Pages of single persons and of links to them; every fourth is beside the point in one of three ways.
+PROFILES = f"""SELECT person, {SHOWN} AS name, CASE WHEN person % 4 = 3 THEN '<p>p1@other.example.org</p>' WHEN person % 8 = 5 THEN '<div class="staff">x</div><div class="member">y</div>' ELSE '' END AS more, concat('p', CAST(person AS STRING), '@', domain) AS email FROM ({PEOPLE_SQL})"""
+
+
+@query(f"""SELECT person AS page_id, name, email, CAST(0.75 AS DOUBLE) AS confidence FROM ({PROFILES}) WHERE more = ''""")
+def h5_single_profiles(spark, d):
+    """The person of a page that is one person's own: one main heading, one address; page furniture doesn't count."""
+    p = _listed(spark, d)
+    more = F.when(p.person % 4 == 3, "<p>p1@other.example.org</p>").when(p.person % 8 == 5, '<div class="staff">x</div><div class="member">y</div>').otherwise("")
+    html = F.concat(F.lit('<nav><h1>Staff directory</h1></nav><main><header><a href="mailto:web@x.example.org">web</a></header><h1>'), "name", F.lit("</h1><p>"), "title", F.lit('<p><a href="MAILTO:'), "email", F.lit('">write</a>'), more, F.lit("<footer>x@y.example.org</footer></main>"))
+    found = X.profiles(p.select(F.col("person").alias("page_id"), html.alias("html")))
+    return found.select("page_id", "name", F.col("emails")[0].alias("email"), "confidence")
+
+
+@query(f"""SELECT org AS page_id, name, '/p/' || person AS profile, 'profile' AS strategy FROM ({LISTED})""")
+def h5_h13_profile_links(spark, d):
+    """Pages that only link to their people's own pages, among links of other kinds, in markup that is never closed."""
+    p = _listed(spark, d)
+    row = F.concat(F.lit("<li><b>" + "<i>" * 40 + '<a href="/p/'), F.col("person"), F.lit('">'), "name", F.lit("</a>"))
+    rows = p.groupBy("org").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("person", row.alias("row")))), lambda x: x.row), "").alias("rows"))
+    rest = F.lit('<li><a href="/about">About Us Here</a><li><a href="/d">Fire Department</a><li><a href="/m">Office Manager</a><li><a href="tel:5">Call Someone</a>')
+    html = F.concat(F.lit('<nav><a href="/n">Jane Navigation</a></nav><h2>Our Team</h2><ul>'), "rows", rest)
+    return X.people(rows.select(F.col("org").alias("page_id"), html.alias("html"))).select("page_id", "name", "profile", "strategy")
