@@ -11,8 +11,10 @@ one. What is then already connected needs no more links: only buckets in which s
 on. Small ones (up to SMALL members) are paired in full. In larger ones, members outside the first one's
 component meet only those that share one of their rarest shingles with them (a prefix filter, which is exact).
 
-Edge cases: a row without an id keeps its own place, linked with nothing; null and empty texts have an empty set and are linked with nothing; texts of fewer than five words
-are one shingle; repeated rows (equal ids) are one document and each gets a row; an empty table gives no rows.
+Edge cases: a row without an id keeps its own place, linked with nothing; null and empty texts have an empty set and are
+linked with nothing; texts of fewer than five words are one shingle; rows with equal ids are one document, whatever their
+texts: each text takes part with its own set, all links of an id's texts are the document's, and each row is returned
+with its own set's size; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -258,13 +260,51 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
 
+def _of_sets(docs: DataFrame, several: DataFrame, alone: DataFrame) -> DataFrame:
+    """(doc_id, text) as docs, without the ids in `several`, and with a text for each set of `alone` under its number."""
+
+    def run(rows):
+        for doc_id, text in rows:
+            items = shingles(text)
+            if len(items):
+                yield xxhash.xxh3_128_digest(items.tobytes()), text
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    mine = map_rows(texts(own.join(several, "doc_id", "left_semi")), run, "set_hash binary, text binary").join(alone, "set_hash").dropDuplicates(["rep"])
+    return own.join(several, "doc_id", "left_anti").union(mine.select(F.col("rep").alias("doc_id"), F.col("text").cast("string")))
+
+
+def _crossed(held: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """whole (set_hash, comp) with components joined that one id (doc_id, set_hash) has sets of, and the smallest id of
+    each component, which may be such a one; and (doc_id, id) of these ids."""
+    at = kept(held.join(whole, "set_hash").select("doc_id", "comp").distinct(), "components-of-such-ids")
+    first = at.groupBy("doc_id").agg(F.min("comp").alias("first"))
+    ups = kept(components(at.join(first, "doc_id").select(F.col("comp").alias("a"), F.col("first").alias("b"))), "components-joined").withColumnRenamed("comp", "up")
+    at = at.join(ups, F.col("comp") == F.col("node"), "left").select("doc_id", F.coalesce("up", "comp").alias("up"))
+    names = kept(at.groupBy("up").agg(F.min("doc_id").alias("least")).select("up", F.least("up", "least").alias("id")), "names-of-components")
+    moved = whole.join(ups, F.col("comp") == F.col("node"), "left").select("set_hash", F.coalesce("up", "comp").alias("up"))
+    return moved.join(names, "up", "left").select("set_hash", F.coalesce("id", "up").alias("comp")), at.join(names, "up").select("doc_id", "id").distinct()
+
+
 def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     signed = kept(signatures(docs), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    classes = kept(classes, "classes")
-    reps = kept(full.join(classes, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]), "representatives")
+    # Ids that come with several sets, an empty one among them or not, stand for none of them: sets that nobody else has get a number beyond all ids.
+    several = kept(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).filter("low != high").select("doc_id"), "ids-of-several-texts")
+    crossed = not several.isEmpty()
+    single = full.join(several, "doc_id", "left_anti") if crossed else full
+    classes = kept(single.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = single.join(classes, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"])
+    if crossed:
+        mixed = kept(full.join(several, "doc_id", "left_semi"), "sets-of-such-ids")
+        beyond = full.agg(F.max("doc_id")).first()[0] + 1
+        alone = mixed.join(classes, "set_hash", "left_anti").dropDuplicates(["set_hash"])
+        alone = kept(alone.withColumn("rep", F.monotonically_increasing_id() + F.lit(beyond)), "sets-of-such-ids-alone")
+        reps = reps.union(alone.select("rep", "bands", "sketch"))
+        classes = classes.union(alone.select("set_hash", "rep"))
+        docs = _of_sets(docs, several, alone.select("set_hash", "rep"))
+    reps = kept(reps, "representatives")
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1")
     rows = kept(_beside(rows, firsts), "buckets")
@@ -312,8 +352,13 @@ def linked(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         comps = confirm(_sharing_rare(docs, members, percent), comps)
 
     whole = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
+    if crossed:
+        whole, own_ids = _crossed(mixed.select("doc_id", "set_hash").distinct(), kept(whole, "whole"))
     # Rows without a set or an id are linked with nothing and take no part in the join.
     has = "n_shingles > 0 and doc_id is not null"
     out = signed.filter(has).select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-    out = out.union(signed.filter(f"not ({has})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    bare = signed.filter(f"not ({has})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if crossed:
+        bare = bare.join(own_ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("id", "component_id").alias("component_id"))
+    out = out.union(bare)
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

@@ -6,7 +6,7 @@ them by the Jensen-Shannon distance (base 2, so 0 to 1). A text is dropped if it
 further than CHAR_LIMIT, or its words further than WORD_LIMIT, from the reference of its language; each test
 has a least length, below which the histogram says too little.
 
-Edge cases: a null text counts as empty; a null language is a language of its own; repeated rows are judged
+Edge cases: a null text counts as empty; a null and an empty language are one; repeated rows are judged
 each for itself; an empty table gives no rows. Texts that fail the base rules are never kept.
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, kept, map_rows
+from .common import keep_rows, kept, map_rows, unused
 
 # The symbols that the base rules count, and the classes of bytes.
 SYMBOLS = b"#*$%&|<>"
@@ -167,17 +167,16 @@ def verdict(text: bytes, lang: str | bytes, refs: dict, char_limit: float = CHAR
 BLANK = (np.zeros(len(CLASSES)), {}, np.ones(1))
 
 
-def _parts(docs: DataFrame, lang: Column, found: tuple[dict, DataFrame | None]) -> list[tuple[DataFrame, bool]]:
-    """docs in up to two parts: those whose reference lies in memory, and those with a column REF that holds theirs."""
+def _parts(docs: DataFrame, lang: Column, found: tuple[dict, DataFrame | None]) -> list[tuple[DataFrame, str | None]]:
+    """docs in up to two parts: those whose reference lies in memory, and those with a further column, named, that holds
+    theirs."""
     refs, rest = found
     if rest is None:
-        return [(docs, False)]
+        return [(docs, None)]
     there = lang.isin(list(refs))
-    rest = rest.select(F.col("lang").alias(REF + "lang"), F.struct("chars", "words", "total").alias(REF))
-    return [(docs.filter(there), False), (docs.filter(~there).join(rest, lang == F.col(REF + "lang")).drop(REF + "lang"), True)]
-
-
-REF = "_rules_reference_"
+    key, ref = unused(docs, "reference_lang", "reference")
+    rest = rest.select(F.col("lang").alias(key), F.struct("chars", "words", "total").alias(ref))
+    return [(docs.filter(there), None), (docs.filter(~there).join(rest, lang == F.col(key)).drop(key), ref)]
 
 
 def _joined(memo: dict, lang: str | bytes, ref: dict) -> dict:
@@ -212,9 +211,9 @@ def filtered(docs: DataFrame, refs: tuple | None = None) -> DataFrame:
     memo: dict[str, Reference] = {}
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     out = []
-    for part, joined in _parts(docs, lang, found):
-        if joined:
-            out.append(keep_rows(part, lambda text, lang, ref: verdict(text, lang, _joined(memo, lang, ref))[-3], ["text", "lang"], [REF]).drop(REF))
+    for part, ref in _parts(docs, lang, found):
+        if ref:
+            out.append(keep_rows(part, lambda text, lang, ref: verdict(text, lang, _joined(memo, lang, ref))[-3], ["text", "lang"], [ref]).drop(ref))
         else:
             out.append(keep_rows(part, lambda text, lang: verdict(text, lang, held)[-3], ["text", "lang"]))
     return reduce(DataFrame.union, out)
