@@ -21,10 +21,12 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _one_each(docs: DataFrame) -> DataFrame:
-    """One row for each id: that of the longest text, then the first by text and by the other columns."""
+    """One row for each id: that of the longest text, then the first by text and by the other columns as JSON, which
+    columns of any type have."""
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.min(F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("_length"), F.col("text").alias("_text"), F.struct(F.lit(0), *own).alias("_own")))
-    return docs.groupBy("doc_id").agg(first.alias("_first")).select(*[F.col("doc_id") if c == "doc_id" else (F.col("_first._text") if c == "text" else F.col(f"_first._own.`{c}`")).alias(c) for c in docs.columns])
+    order = F.struct(-F.length(F.coalesce("text", F.lit(""))), F.col("text"), F.to_json(F.struct(F.lit(0).alias("_"), *own)))
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_first")
+    return docs.groupBy(F.col("doc_id").alias("_id")).agg(first).select(*[F.col(f"_first.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near the references of their language. A null or empty text fails
-    the base rules; a null language is one of its own; equal rows are judged alike; an empty table gives none."""
+    the base rules; a null and an empty language are one; equal rows are judged alike; an empty table gives none."""
     return rules.filtered(docs)
 
 
