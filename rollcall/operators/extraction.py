@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
-from ..functions.text import record_key
+from ..functions.text import collapse_whitespace, record_key
 from ..shipping import ship
 
 COLUMNS = "page_id long, place int, name string, title string, department string, phone string, emails array<string>, profile string, strategy string, confidence double"
@@ -89,3 +89,78 @@ def json_next(column: Column) -> Column:
         .when(n("$.offset") + n("$.limit") < n("$.total"), as_("offset", n("$.offset") + n("$.limit")))
         .when(n("$.page") < n("$.pages"), as_("page", n("$.page") + 1))
     )
+
+
+# Where JSON bodies hold their records, and what they call fields, in the order in which these are tried.
+COLLECTIONS = ("data", "results", "items", "records", "staff", "employees", "people", "rows", "directory")
+ALIASES = {
+    "full": ("full_name", "fullName", "displayName", "display_name", "name", "staff_name", "employee_name"),
+    "first": ("first_name", "firstName", "given_name", "givenName", "first"),
+    "last": ("last_name", "lastName", "family_name", "familyName", "last", "surname"),
+    "title": ("title", "job_title", "jobTitle", "position", "role", "assignment"),
+    "email": ("email", "email_address", "emailAddress", "mail", "work_email"),
+    "phone": ("phone", "phone_number", "phoneNumber", "telephone", "work_phone"),
+    "department": ("department", "dept", "division", "team"),
+    "id": ("id", "staff_id", "staffId", "employee_id", "employeeId", "uuid", "guid"),
+    "profile": ("profile_url", "profileUrl", "url", "link", "permalink"),
+}
+DEEPEST = 4
+_MAP, _ARRAY = "map<string,variant>", "array<variant>"
+
+
+def parsed_json(body: Column) -> Column:
+    """A JSON object or array as VARIANT; null for anything else."""
+    return F.when(F.trim(body).rlike(r"^[\[{]"), F.try_parse_json(F.trim(body)))
+
+
+def collection(value: Column, depth: int = 0) -> Column:
+    """array<map<string,variant>>: the records of a body, null if it holds none. An array is the records themselves; in an
+    object an array under a known name is, the first of these; else the first one that isn't empty within its members,
+    those of known names first, then by name, down to DEEPEST objects. Members that are no objects are no records."""
+    rank = lambda k: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, COLLECTIONS)), k), F.lit(0)), F.lit(len(COLLECTIONS) + 1))
+    objects = lambda a: F.filter(F.transform(a, lambda x: F.try_variant_get(x, "$", _MAP)), lambda x: x.isNotNull())
+    whole, members = F.try_variant_get(value, "$", _ARRAY), F.try_variant_get(value, "$", _MAP)
+    names = F.transform(F.array_sort(F.transform(F.map_keys(members), lambda k: F.struct(rank(k).alias("r"), k.alias("k")))), lambda x: x["k"])
+    known = F.filter(F.transform(F.filter(names, lambda k: k.isin(*COLLECTIONS)), lambda k: F.try_variant_get(members[k], "$", _ARRAY)), lambda a: a.isNotNull())
+    out = F.when(whole.isNotNull(), objects(whole)).when(F.size(known) > 0, objects(F.try_element_at(known, F.lit(1))))
+    if depth < DEEPEST:
+        within = F.filter(F.transform(names, lambda k: collection(members[k], depth + 1)), lambda a: F.coalesce(F.size(a), F.lit(0)) > 0)
+        out = out.otherwise(F.try_element_at(within, F.lit(1)))
+    return out
+
+
+def json_field(record: Column, field: str) -> Column:
+    """The first value of a field's names that is a text which isn't blank, or a number."""
+
+    def own(name: str) -> Column:
+        value = record[name]
+        kind = F.schema_of_variant(value)
+        text = F.variant_get(value, "$", "string")
+        return F.when(kind == "STRING", F.nullif(collapse_whitespace(text), F.lit(""))).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), text)
+
+    return F.coalesce(*[own(n) for n in ALIASES[field]])
+
+
+def person_name(c: Column) -> Column:
+    """Whether a text may be a person's name: what pages.looks_like_name() says."""
+    return F.length(c).between(3, 120) & c.rlike("[A-Za-z]") & ~c.rlike(P.NO_NAME.pattern) & (F.size(F.split(c, " ")) <= 6) & ~F.contains(c, F.lit("@"))
+
+
+def json_people(bodies: DataFrame) -> DataFrame:
+    """(page_id, place, name, title, department, phone, email, id, profile, confidence) of the records of JSON bodies
+    (page_id, body) that have a name. Each body is parsed once; bodies that are no JSON give none."""
+    found = bodies.select("page_id", F.posexplode(collection(parsed_json(F.col("body")))).alias("place", "record"))
+    get = {f: json_field(F.col("record"), f) for f in ALIASES}
+    rows = found.select("page_id", "place", *[c.alias(f) for f, c in get.items()])
+    name = F.coalesce("full", F.nullif(F.concat_ws(" ", "first", "last"), F.lit("")))
+    out = rows.withColumn("name", name).filter(person_name(F.col("name")))
+    return out.select("page_id", "place", "name", "title", "department", "phone", F.lower("email").alias("email"), "id", "profile", F.lit(0.92).alias("confidence"))
+
+
+def json_score(url: Column, content_type: Column, body: Column) -> Column:
+    """How likely a source is a JSON directory: its URL 0.4, its type 0.6, records with names 0.9; 0 if the body can't be
+    read. A null body says nothing."""
+    records = collection(parsed_json(body))
+    named = F.coalesce(F.exists(records, lambda r: json_field(r, "full").isNotNull() | json_field(r, "last").isNotNull()), F.lit(False))
+    shown = F.greatest(F.when(url.rlike(r"(?i)/(api|rest|json|graphql)(/|$|\?)"), 0.4).otherwise(0.0), F.when(body.isNotNull() & content_type.rlike(r"(?i)application/(json|.*\+json)"), 0.6).otherwise(0.0), F.when(named, 0.9).otherwise(0.0))
+    return F.when(body.isNotNull() & parsed_json(body).isNull(), 0.0).otherwise(shown)

@@ -143,3 +143,40 @@ def h5_h13_profile_links(spark, d):
     rest = F.lit('<li><a href="/about">About Us Here</a><li><a href="/d">Fire Department</a><li><a href="/m">Office Manager</a><li><a href="tel:5">Call Someone</a>')
     html = F.concat(F.lit('<nav><a href="/n">Jane Navigation</a></nav><h2>Our Team</h2><ul>'), "rows", rest)
     return X.people(rows.select(F.col("org").alias("page_id"), html.alias("html"))).select("page_id", "name", "profile", "strategy")
+
+
+_HOLDS = "org % 9 IN (0, 1, 2, 3, 5, 8) AND person % 4 < 3"
+
+
+def _bodies(spark, d) -> DataFrame:
+    """(page_id, body): JSON of each organisation's people in nine envelopes, four kinds of records in each."""
+    p = _listed(spark, d)
+    k = p.person % 4
+    kinds = [
+        F.struct(F.col("name").alias("full_name"), F.lit("").alias("title"), F.col("title").alias("job_title"), F.col("phone"), F.upper("email").alias("email"), F.col("person").alias("id")),
+        F.struct(F.lit(None).cast("string").alias("name"), F.substring_index("name", " ", 1).alias("firstName"), F.substring_index("name", " ", -1).alias("lastName"), F.col("title").alias("position"), F.lit(5125550100).alias("telephone"), F.lit("Water  Works").alias("division")),
+        F.struct(F.concat(F.lit(" "), "name").alias("displayName"), F.struct(F.lit(1).alias("x")).alias("title"), F.col("title").alias("role"), F.lit(True).alias("phone"), F.concat(F.lit("/p/"), "person").alias("link"), F.concat(F.lit("g"), "person").alias("guid")),
+        F.struct(F.lit("View profile").alias("name"), F.col("title").alias("title")),
+    ]
+    record = F.when(k == 0, F.to_json(kinds[0])).when(k == 1, F.to_json(kinds[1])).when(k == 2, F.to_json(kinds[2])).otherwise(F.to_json(kinds[3]))
+    rows = p.groupBy("org").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("person", record.alias("r")))), lambda x: x.r), ","), F.lit(",5]")).alias("own"))
+    around = ['{"staff": %s}', '{"meta": {"n": [1]}, "response": {"items": %s}}', " %s", '{"a": {"b": {"c": {"d": %s}}}}', '{"a": {"b": {"c": {"d": {"e": %s}}}}}', '{"data": {"total": 3}, "people": %s, "others": [{"name": "Jane Other"}]}', '{"results": [], "more": %s}', "sorry: %s", '{"b": [1, 2], "z": {"rows": {"x": 1}}, "zz": %s}']
+    body = F.lit(None).cast("string")
+    for n, a in enumerate(around):
+        body = F.when(F.col("org") % 9 == n, F.concat(F.lit(a.split("%s")[0]), "own", F.lit(a.split("%s")[1]))).otherwise(body)
+    return rows.select(F.col("org").alias("page_id"), body.alias("body"))
+
+
+@query(f"""SELECT org AS page_id, name, title, CASE WHEN person % 4 = 1 THEN 'Water Works' END AS department, CASE person % 4 WHEN 0 THEN phone WHEN 1 THEN '5125550100' END AS phone, CASE WHEN person % 4 = 0 THEN email END AS email,
+CASE person % 4 WHEN 0 THEN CAST(person AS VARCHAR) WHEN 2 THEN 'g' || person END AS id, CASE WHEN person % 4 = 2 THEN '/p/' || person END AS profile, CAST(0.92 AS DOUBLE) AS confidence FROM ({LISTED}) WHERE {_HOLDS}""")
+def h9_n37_json_people(spark, d):
+    """Records of JSON bodies wherever their envelopes hold them, with fields under any of their names."""
+    return X.json_people(_bodies(spark, d)).drop("place")
+
+
+@query(f"""SELECT org AS page_id, CAST(CASE WHEN org % 9 = 7 THEN 0 WHEN bool_or({_HOLDS} OR org % 9 IN (0, 1, 2, 3, 5, 8)) THEN 0.9 WHEN org % 2 = 0 THEN 0.6 WHEN org % 5 = 0 THEN 0.4 ELSE 0 END AS DOUBLE) AS score FROM ({LISTED}) GROUP BY org""")
+def n36_json_scores(spark, d):
+    k = F.col("page_id")
+    url = F.when(k % 5 == 0, "https://x.example.org/API/staff").otherwise("https://x.example.org/staff")
+    kind = F.when(k % 2 == 0, "application/vnd.x+json; charset=utf-8").otherwise("text/html")
+    return _bodies(spark, d).select("page_id", X.json_score(url, kind, F.col("body")).alias("score"))
