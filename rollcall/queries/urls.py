@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import standard_urls as W
 from ..functions import urls as U
 from .base import query, table
 
@@ -92,3 +93,29 @@ def x57_x58_websites(spark, d):
     raw = F.when(n == 0, F.lit(" N/A ")).when(n == 1, F.concat(F.lit("S"), k, F.lit(".org"))).when(n == 2, F.concat(F.lit("https://s"), k, F.lit(".ORG/a/"))).otherwise(F.lit(""))
     machine = F.when(n == 0, F.concat(F.lit("ftp://s"), k)).when(n == 1, F.lit("https://api.s.org/")).when(n == 2, F.lit("http://s.org/wp-json/x")).otherwise(F.lit("http://s.org/a/list.JSON?x"))
     return table(spark, d, "supplier").select("s_suppkey", U.published_website(raw).alias("website"), U.machine_reason(machine).alias("reason"))
+
+
+_ENCODED = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')"
+
+
+@query(rf"""SELECT page_id, href, regexp_extract(url, '^[a-z]+://[^/?#]+') || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE {_ENCODED.format("rtrim(href, '/')")} END AS target
+FROM (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)""")
+def x54_all_links(spark, d):
+    """Every link of a page, resolved as browsers do: letters of all scripts come percent-encoded."""
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))).alias("href"))
+    return links.select("page_id", "href", W.resolved_of(spark, F.col("href"), F.col("url")).alias("target"))
+
+
+@query(rf"""SELECT page_id, 'https://xn--bcher-kva.' || {HOST} || {_ENCODED.format(f"rtrim({PATH}, '/')")} || '/x%20y?a=%C3%A9&k=' || page_id AS wide, CASE WHEN page_id < 256 THEN 'http://10.0.0.' || page_id ELSE 'http://10.0.' || page_id // 256 || '.' || page_id % 256 END || '/' AS numbers,
+'http://' || {HOST} || '/top' AS odd, NULL AS bad FROM pages""")
+def x50_standard_forms(spark, d):
+    """Hosts in other scripts, numbers as hosts, backslashes, white space and dots: read as browsers do."""
+    url, k = F.col("url"), F.col("page_id").cast("string")
+    host, path = F.regexp_replace(F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1), r"^www\.", ""), F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1)
+    forms = {
+        "wide": F.concat(F.lit(" HTTPS://me@Bücher."), F.upper(host), F.lit(".:443"), path, F.lit("/./q/../x y/?k="), k, F.lit("&utm_id=4&a=é#z")),
+        "numbers": F.concat(F.lit("http://10."), k, F.lit(":80/..")),
+        "odd": F.concat(F.lit("http:\\\\"), host, F.lit("\\a\\..\\\ttop/")),
+        "bad": F.concat(F.lit("http://a b."), host),
+    }
+    return table(spark, d, "pages").select("page_id", *[W.canonical_of(spark, c).alias(n) for n, c in forms.items()])
