@@ -67,3 +67,57 @@ def checksum(rows: DataFrame, order: str, value: str = "value") -> DataFrame:
     own = rows.select(F.floor(F.col(order) / 4096).alias("block"), F.col(order).alias("at"), F.sha2(value, 256).alias("line"))
     blocks = own.groupBy("block").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x.line), ""), 256).alias("digest"))
     return blocks.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x.digest), ""), 256).alias("checksum"))
+
+
+def released(people: DataFrame, entries: DataFrame, at: Column, purpose: str, ancestors: DataFrame | None = None) -> DataFrame:
+    """people (person unique, org, published, candidate, emails: array<struct<value, source, ...>>, phones: array<struct<value,
+    source, ...>>, and other subject columns) as they may leave: a record that any scope but an address or its own channels' sources
+    names goes; of the others each address and phone is decided for itself, by its domain, address and source; a row stays
+    while anything to reach the person by is left. Null arrays are empty."""
+    own = people.withColumns({c: F.coalesce(c, F.array().cast(people.schema[c].dataType)) for c in ("emails", "phones")}).withColumn("purpose", F.lit(purpose))
+    allowed, _ = parted(own, matches(own.drop("published", "candidate", "emails", "phones", "address"), entries, "person", at, ancestors), "person")
+    channel = lambda kind, k, value, source: F.struct(F.lit(kind).alias("kind"), k.cast("int").alias("k"), value.alias("address"), source.alias("source"))
+    none, first = F.lit(None).cast("string"), F.lit(0)
+    every = F.concat(
+        F.array(channel("published", first, F.col("published"), none), channel("candidate", first, F.col("candidate"), none)),
+        F.transform("emails", lambda e, k: channel("email", k, e["value"], e["source"])),
+        F.transform("phones", lambda e, k: channel("phone", k, none, e["source"])),
+    )
+    each = allowed.select("person", F.explode(every).alias("c")).select(F.struct("person", "c.kind", "c.k").alias("channel"), "c.address", "c.source")
+    named = matches(each, entries.filter(F.col("scope").isin("email", "domain", "source")), "channel", at).select("channel").distinct()
+    gone = named.groupBy(F.col("channel.person").alias("person")).agg(F.collect_set(F.concat_ws(":", "channel.kind", "channel.k")).alias("gone"))
+    left = allowed.join(gone, "person", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
+    stays = lambda kind, k: ~F.array_contains("gone", F.concat(F.lit(f"{kind}:"), k.cast("string")))
+    out = {"emails": F.filter("emails", lambda e, k: stays("email", k)), "phones": F.filter("phones", lambda e, k: stays("phone", k)), "withheld": ~stays("candidate", first) & F.col("candidate").isNotNull()}
+    out |= {c: F.when(stays(c, first), F.col(c)) for c in ("published", "candidate")}
+    if "classification" in people.columns:
+        out["classification"] = F.when(stays("published", first), F.col("classification"))
+    left = left.withColumns(out)
+    return left.filter(F.coalesce("published", "candidate").isNotNull() | (F.size("emails") > 0) | (F.size("phones") > 0)).drop("gone", "purpose")
+
+
+def full_lines(rows: DataFrame) -> DataFrame:
+    """(value): a line of the FULL format for each released row; columns that rows don't have are empty."""
+    joined = lambda c: F.nullif(F.array_join(F.transform(c, lambda e: e["value"]), " | "), F.lit(""))
+    return lines(rows.withColumns({"work_phones": joined("phones"), "all_published_emails": joined("emails"), "published_email": F.col("published"), "inferred_email_candidate": F.col("candidate"), "email_classification": F.col("classification") if "classification" in rows.columns else F.lit(None)}), FULL)
+
+
+def staff(rows: DataFrame, flag: str | None = None) -> DataFrame:
+    """A row for each person, organisation and address of released rows, the first of equal ones, with the columns of STAFF
+    that rows and their emails' structs have: an email's own (source, class, window) before the row's.
+    email_identity_conflict says that several people of an organisation show the address; role_category_flag whether the
+    role is `flag`."""
+    from .latest import best_of
+
+    own = rows.select("*", F.posexplode("emails").alias("nth", "e")).withColumn("contact_key", F.lower("e.value"))
+    shared = own.groupBy("org", "contact_key").agg((F.count_distinct("person") > 1).alias("shared"))
+    own = best_of(own, ["person", "org", "contact_key"], [F.col("nth")]).join(shared, ["org", "contact_key"])
+    has = {f.name for f in rows.schema["emails"].dataType.elementType.fields}
+    given = lambda name: F.col(f"e.{name}") if name in has else F.lit(None)
+    row = lambda name: F.col(name) if name in rows.columns else F.lit(None)
+    mail = {"email": "value", "email_classification": "classification", "email_validation_status": "validation", "email_obfuscation_kind": "obfuscation", "email_source_url": "source_url", "email_source_document_id": "source", "email_first_seen_at": "first_seen", "email_last_seen_at": "last_seen"}
+    out = {c: given(c) for c in STAFF if c not in rows.columns} | {c: F.coalesce(given(c), row(c)) for c in STAFF if c in rows.columns}
+    out |= {c: given(name) for c, name in mail.items()}
+    out |= {"email_identity_conflict": F.col("shared") | (F.coalesce(given("conflict"), F.lit(False)) if "conflict" in has else F.lit(False)), "role_category_flag": F.lit(None) if flag is None else row("role_category").eqNullSafe(F.lit(flag))}
+    out |= {"assignment_first_seen_at": row("first_seen_at"), "assignment_last_seen_at": row("last_seen_at")}
+    return own.select("person", *[out[c].alias(c) for c in STAFF])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..directory import ASCII, PEOPLE_SQL, people
+from ..directory import PEOPLE_SQL, people
 from ..functions import emails as E
 from ..functions import names as N
 from ..operators import patterns as P
 from .base import query, table
+from .people import PARTS
+from .text import sql_key
 
 SQL_PLAIN = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 
@@ -57,18 +61,31 @@ def x36_x38_classes(spark, d):
     return people(spark, d).select("person", E.kind(a, shown, inferred, F.lit(False)).alias("kind"), E.is_personal(host).alias("personal"))
 
 
-@query(f"""SELECT person, CASE WHEN person % 11 = 10 THEN 0 WHEN form IN (1, 6, 8) THEN 1 ELSE 1 END AS matching, person % 11 <> 10 AND length(split_part(address, '@', 1)) > 2 AND (length({ASCII["last"].replace("c_custkey", "person")}) > 2) AS named
-FROM ({PEOPLE_SQL}) WHERE address IS NOT NULL AND form = 0""")
+#: Names in all their forms as tokens, and the local part that each pattern gives for them.
+_TOKEN = {k: f"coalesce(replace({sql_key(k)}, '-', ''), '')" for k in ("first", "middle", "last")}
+_TOKENS = f"""SELECT p.person, p.org, p.domain, p.address, split_part(p.address, '@', 1) AS local, {", ".join(f"n.{k}" for k in _TOKEN)} FROM ({PEOPLE_SQL}) p
+JOIN (SELECT person, {", ".join(f"{e} AS {k}" for k, e in _TOKEN.items())} FROM ({PARTS})) n ON n.person = p.person"""
+
+
+def _rendered(pattern: str) -> str:
+    parts = [x for x in re.split(r"\{(\w+)\}", pattern)]
+    own = {"first": "first", "middle": "middle", "last": "last", "f": "substr(first, 1, 1)", "m": "substr(middle, 1, 1)", "l": "substr(last, 1, 1)"}
+    return " || ".join(f"nullif({own[x]}, '')" if k % 2 else f"'{x}'" for k, x in enumerate(parts) if k % 2 or x)
+
+
+_MATCHING = "list_filter([" + ", ".join(f"CASE WHEN {_rendered(p)} = local THEN '{p}' END" for p in E.PATTERNS) + "], lambda x: x IS NOT NULL)"
+_LETTERS = "regexp_replace(local, '[^a-z]', '', 'g')"
+
+
+@query(f"""SELECT person, len({_MATCHING}) AS matching, length({_LETTERS}) >= 3 AND (length(last) >= 3 AND contains({_LETTERS}, last) OR length(first) >= 3 AND contains({_LETTERS}, first)) AS named FROM ({_TOKENS}) WHERE address IS NOT NULL""")
 def x37_x39_patterns(spark, d):
-    own = people(spark, d).filter("address is not null and form = 0").withColumn("name", N.parse(spark, F.col("raw_name")))
-    t = N.tokens(F.col("name"))
+    own = _pairs(spark, d).filter("address is not null")
     local = E.local_part(F.col("address"))
-    return own.select("person", F.size(E.matching_patterns(local, t)).alias("matching"), E.names_person(local, t).alias("named"))
+    return own.select("person", F.size(E.matching_patterns(local, F.col("tokens"))).alias("matching"), E.names_person(local, F.col("tokens")).alias("named"))
 
 
 LEARNED = f"""SELECT domain, pattern, count(*) AS support, max(total) - count(*) AS conflicts, CAST(count(*) AS DOUBLE) / max(total) AS consistency FROM
-(SELECT domain, CASE WHEN org % 2 = 0 THEN '{{first}}.{{last}}' ELSE '{{f}}{{last}}' END AS pattern, person % 11 <> 10 AS fits, count(*) OVER (PARTITION BY domain) AS total FROM ({PEOPLE_SQL}) WHERE address IS NOT NULL AND form IN (0, 2, 8))
-WHERE fits GROUP BY 1, 2 HAVING count(*) >= 3 AND CAST(count(*) AS DOUBLE) / max(total) >= 0.8"""
+(SELECT domain, unnest({_MATCHING}) AS pattern, total FROM (SELECT *, count(*) OVER (PARTITION BY domain) AS total FROM ({_TOKENS}) WHERE address IS NOT NULL)) GROUP BY 1, 2 HAVING count(*) >= 3 AND CAST(count(*) AS DOUBLE) / max(total) >= 0.5"""
 
 
 def _pairs(spark, d):
@@ -78,17 +95,20 @@ def _pairs(spark, d):
 
 @query(LEARNED)
 def a17_learned_patterns(spark, d):
-    pairs = _pairs(spark, d).filter("address is not null and form in (0, 2, 8)")
-    return P.learned(pairs, "address", "tokens").select("domain", "pattern", "support", "conflicts", "consistency")
+    """Patterns that explain half of a domain's addresses: names come in nine forms, some without a first name."""
+    pairs = _pairs(spark, d).filter("address is not null")
+    return P.learned(pairs, "address", "tokens", least_consistency=0.5).select("domain", "pattern", "support", "conflicts", "consistency")
+
+
+_CASES = " ".join(f"WHEN '{p}' THEN {_rendered(p)}" for p in E.PATTERNS)
 
 
-@query(f"""SELECT p.person, CASE WHEN p.org % 2 = 0 THEN {ASCII["first"].replace("c_custkey", "p.person")} || '.' || {ASCII["last"].replace("c_custkey", "p.person")}
-ELSE substr({ASCII["first"].replace("c_custkey", "p.person")}, 1, 1) || {ASCII["last"].replace("c_custkey", "p.person")} END || '@' || p.domain AS candidate,
-least(0.95, floor(l.consistency * (0.75 + 0.25 * least(1.0, l.support / 20.0)) * 100 + 0.5) / 100) AS confidence FROM ({PEOPLE_SQL}) p JOIN ({LEARNED}) l ON l.domain = p.domain WHERE p.address IS NULL AND p.form IN (0, 2, 8)""")
+@query(f"""SELECT person, candidate || '@' || domain AS candidate, least(0.95, floor(consistency * (0.75 + 0.25 * least(1.0, support / 20.0)) * 100 + 0.5) / 100) AS confidence FROM (SELECT person, t.domain, CASE pattern {_CASES} END AS candidate, consistency, support
+FROM ({_TOKENS}) t JOIN (SELECT * FROM ({LEARNED}) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY consistency DESC, support DESC, pattern) = 1) l ON l.domain = t.domain WHERE address IS NULL) WHERE candidate IS NOT NULL""")
 def e14_x40_candidates(spark, d):
     """Addresses for people without one, by the best pattern of their domain."""
-    own = _pairs(spark, d).filter("form in (0, 2, 8)")
-    learned = P.learned(own.filter("address is not null"), "address", "tokens")
+    own = _pairs(spark, d)
+    learned = P.learned(own.filter("address is not null"), "address", "tokens", least_consistency=0.5)
     return P.candidates(own.filter("address is null"), learned, "domain", "tokens").select("person", "candidate", "confidence")
 
 

@@ -219,6 +219,47 @@ def k2_contact_lines(spark, d):
     return X.lines(rows, X.CONTACTS)
 
 
+#: People with several addresses and phones, each with the source that shows it; entries name sources, too.
+WITH_SOURCES = f"""{ENTRIES} UNION ALL SELECT concat('s', CAST(n_nationkey AS STRING)), 'source', concat('SRC', CAST(n_nationkey AS STRING)), CAST('2024-01-01' AS TIMESTAMP), {_NEVER}, {_NEVER} FROM nation WHERE n_nationkey % 6 = 1"""
+_WAYS = f"""SELECT person, org, raw_name, first, middle, last, title, nation, address IS NOT NULL AND NOT ({BAD}) AND nation % 6 <> 1 AS a1, NOT (org % 20 = 1) AND person % 25 % 6 <> 1 AS a2, nation % 6 <> 1 AS p1, person % 25 % 6 <> 1 AS p2, address,
+'alt' || CASE WHEN person % 10 = 7 THEN 7 ELSE person END || '@s' || org % 20 || '.example.org' AS alt, '512-555-' || substr(CAST(10000 + person % 10000 AS VARCHAR), 2) AS phone, CASE WHEN person % 3 > 0 AND NOT ({BAD}) THEN address END AS published FROM ({PEOPLE_SQL}) WHERE person NOT IN ({GONE})"""
+_MAILS = "array_to_string(list_filter([CASE WHEN a1 THEN address END, CASE WHEN a2 THEN alt END], lambda x: x IS NOT NULL), ' | ')"
+_PHONES = "array_to_string(list_filter([CASE WHEN p1 THEN phone END, CASE WHEN p2 THEN phone || ' ext 2' END], lambda x: x IS NOT NULL), ' | ')"
+_KNOWN = {"first_name": "first", "middle_name": "middle", "last_name": "last", "full_name_published": "raw_name", "title": "title", "organization": "'Org, ' || org", "work_phones": _PHONES, "all_published_emails": _MAILS, "published_email": "published",
+          "email_classification": "CASE WHEN published IS NOT NULL THEN 'published' END", "government_level": "CASE WHEN person % 2 = 0 THEN 'city' END", "status": "'active'"}
+
+
+def _released(spark, d):
+    none = F.lit(None).cast("string")
+    mail = lambda v, s, k: F.struct(v.alias("value"), s.alias("source"), F.lit(k).alias("classification"))
+    near, far = F.concat(F.lit("src"), "nation"), F.concat(F.lit("src"), F.col("person") % 25)
+    phone = F.concat(F.lit("512-555-"), F.substring((F.col("person") % 10000 + 10000).cast("string"), 2, 4))
+    alt = F.concat(F.lit("alt"), F.when(F.col("person") % 10 == 7, F.lit(7)).otherwise(F.col("person")), F.lit("@s"), F.col("org") % 20, F.lit(".example.org"))
+    rows = people(spark, d).select(
+        "person", "org", F.col("first").alias("first_name"), F.col("middle").alias("middle_name"), F.col("last").alias("last_name"), F.col("raw_name").alias("full_name_published"), "title", F.concat(F.lit("Org, "), "org").alias("organization"),
+        F.array(F.concat(F.lit("n"), "nation")).alias("areas"), F.when(F.col("person") % 3 > 0, F.col("address")).alias("published"), F.when(F.col("person") % 4 == 0, F.concat(F.lit("g"), "person", F.lit("@s1.example.org"))).alias("candidate"),
+        F.when(F.col("address").isNull(), F.array(mail(alt, far, "decoded_published"))).otherwise(F.array(mail(F.col("address"), near, "published"), mail(alt, far, "decoded_published"))).alias("emails"),
+        F.array(F.struct(phone.alias("value"), near.alias("source")), F.struct(F.concat(phone, F.lit(" ext 2")).alias("value"), far.alias("source"))).alias("phones"),
+        F.when((F.col("person") % 3 > 0) & F.col("address").isNotNull(), "published").alias("classification"), F.when(F.col("person") % 2 == 0, "city").alias("government_level"), F.lit("active").alias("status"),
+    )
+    return X.released(rows, _entries(spark, d, WITH_SOURCES), F.lit(AT).cast("timestamp"), "public", _above(spark, d))
+
+
+@query(f"""SELECT {" || ',' || ".join(_CELL.format(f"CAST({_KNOWN[c]} AS VARCHAR)") if c in _KNOWN else "''" for c in X.FULL)} AS value FROM ({_WAYS}) WHERE a1 OR a2 OR p1 OR p2 OR published IS NOT NULL""")
+def k2_e4_full_lines(spark, d):
+    """The full format: 37 columns, all addresses and phones that may leave."""
+    return X.full_lines(_released(spark, d))
+
+
+@query(f"""SELECT person, email, email_classification, count(DISTINCT person) OVER (PARTITION BY org, lower(email)) > 1 AS email_identity_conflict, source AS email_source_document_id, title, organization FROM
+(SELECT person, org, unnest(list_filter([CASE WHEN a1 THEN {{'email': address, 'email_classification': 'published', 'source': 'src' || nation}} END, CASE WHEN a2 THEN {{'email': alt, 'email_classification': 'decoded_published', 'source': 'src' || person % 25}} END], lambda x: x IS NOT NULL), recursive := true), title, 'Org, ' || org AS organization FROM ({_WAYS}))""")
+def k2_e4_staff_rows(spark, d):
+    """The staff format: a row for each address, with those that several people share marked."""
+    own = X.staff(_released(spark, d))
+    assert own.columns[1:] == X.STAFF
+    return own.select("person", "email", "email_classification", "email_identity_conflict", "email_source_document_id", "title", "organization")
+
+
 @query(f"""SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(digest, '' ORDER BY block)) AS checksum FROM (SELECT person // 4096 AS block, count(*) AS n, sha256(string_agg(sha256(published), '' ORDER BY person)) AS digest FROM ({EXPORTED}) GROUP BY 1)""")
 def k3_checksum(spark, d):
     return X.checksum(_exported(spark, d).select("person", F.col("published").alias("value")), "person")
