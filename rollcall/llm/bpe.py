@@ -37,7 +37,7 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 END = 0xE000  # added to the code of a piece's last symbol
 APART = 0xF8FF  # no symbol: between pieces
 PAIRS = 1 << 21  # places of the table of pairs
-FEW = 32  # pieces are encoded one by one when so few are left
+AT_ONCE, FEW = 20_000, 16  # pieces that go a step at a time; so few are encoded one by one in the end
 
 
 def byte_letters() -> list[str]:
@@ -90,7 +90,7 @@ class Bpe:
             names[i] = name.encode() + b" "
         self.offsets = np.concatenate([[0], np.cumsum([len(n) for n in names])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(names), np.uint8)
-        self.fits = functools.lru_cache(1_000_000)(self._fits)
+        self.fits = functools.lru_cache(200_000)(self._fits)
         self.memo: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -227,13 +227,15 @@ class Bpe:
         return out
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of many pieces (none empty, none with a line feed) as piece() gives them, all pieces a step at a time.
+        """Ids of many pieces (none empty, none with a line feed), some at a time, so that arrays stay small."""
+        return [ids for k in range(0, len(pieces), AT_ONCE) for ids in self._encoded(pieces[k : k + AT_ONCE])]
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces as piece() gives them, all pieces a step at a time.
 
         The automaton runs once over all of them. Each piece has a place, the token before it and the next token to try
         there, longest first; a step goes on behind a token that fits, or to a shorter one, or back. Ways are kept by
         place: which token was taken there, and where the one before it began."""
-        if not pieces:
-            return []
         raw = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)
         stops = np.flatnonzero(raw == 10)
         codes = self.codes[raw]
