@@ -43,7 +43,7 @@ def x63_e28_audit_chains(spark, d):
     return first.union(chained(e.filter("not (sequence % 1000 < 500 and sequence < 500)"), last=last)).select("chain", "sequence", "previous_hash", "hash")
 
 
-@query("""SELECT chain, sequence, CASE WHEN sequence % 7 = 3 THEN 'content' ELSE 'link' END AS reason FROM (SELECT user_id AS chain, event_id AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+@query("""SELECT chain, sequence, CASE WHEN n = 5 THEN 'link' ELSE 'content' END AS reason FROM (SELECT user_id AS chain, event_id AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
 WHERE sequence % 7 = 3 OR n = 5 QUALIFY row_number() OVER (PARTITION BY chain ORDER BY sequence) = 1""")
 def e28_verified_chains(spark, d):
     """Chains in which every event with sequence % 7 = 3 was changed, and every fifth one of a user's taken out of its place."""
