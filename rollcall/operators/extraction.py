@@ -46,9 +46,10 @@ def records(found: DataFrame) -> DataFrame:
     return found.join(shared, ["page_id", "place"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).withColumn("record_key", key)
 
 
-def texts(pages: DataFrame) -> DataFrame:
-    """(page_id, text): the text of pages by blocks, scripts and styles left out."""
-    return _mapped(pages, lambda key, html: [(key, P.Page(html).text())], "page_id long, text string", pa.schema([("page_id", pa.int64()), ("text", pa.string())]))
+def texts(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """(page_id, text): the text of pages by blocks, scripts and styles left out. closed: only character references that
+    end with a semicolon are read; browsers also read some without one."""
+    return _mapped(pages, lambda key, html: [(key, P.Page(P.only_closed(html) if closed else html).text())], "page_id long, text string", pa.schema([("page_id", pa.int64()), ("text", pa.string())]))
 
 
 def next_pages(pages: DataFrame) -> DataFrame:

@@ -49,3 +49,17 @@ def test_single_profiles():
     assert P.single_profile(one.format("<footer>b@x.org</footer>"))["emails"] == ["a@x.org"]
     for more in ("<p>b@x.org", '<p class="person">x<p class="person">y', "<h1>Li Lee</h1>", "</main><article><h1>Li Lee</h1></article>"):
         assert P.single_profile(one.format(more)) is None
+
+
+def test_words_of_references_without_a_semicolon(spark, tmp_path):
+    import duckdb
+
+    from rollcall.queries import ORACLES, QUERIES
+
+    html = ["<title>a&amp; b &amp;&amp;&amp</title><p>x&copy &lt;y&gt;</p>", "<p>a&ampb &mdash;c&mdash d&#39;e & f&"]
+    spark.createDataFrame([(k, "http://h.org/", h) for k, h in enumerate(html)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(c.execute(ORACLES["h1_page_words"]).fetchall())
+    assert {r.page_id: r.words for r in QUERIES["h1_page_words"](spark, str(tmp_path)).collect()} == want
+    assert P.Page("a&amp").text() == "a&"  # a browser's reading stays the usual one
