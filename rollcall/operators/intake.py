@@ -46,10 +46,13 @@ def matched(records: DataFrame, owners: DataFrame, record: str, identifiers: lis
     """(record, owner, state): linked to the only owner of a record's identifiers, held where there are several, new
     where there is none. Null identifiers match nothing."""
     mine = records.select(record, *identifiers)
-    hits = mine.join(owners.select(*identifiers, owner), identifiers).groupBy(record).agg(F.count_distinct(owner).alias("owners"), F.min(owner).alias(owner))
-    out = mine.select(record).distinct().join(hits, record, "left")
-    state = F.when(F.col("owners") == 1, "linked").when(F.col("owners") > 1, "held").otherwise("new")
-    return out.select(record, F.when(F.col("owners") == 1, F.col(owner)).alias(owner), state.alias("state"))
+    # Of an identifier's owners the least and the greatest say all: records never meet each of them.
+    low, high = unused(mine, "low"), unused(mine, "high")
+    ends = owners.groupBy(*identifiers).agg(F.min(owner).alias(low), F.max(owner).alias(high))
+    hits = mine.join(ends, identifiers, "left").groupBy(record).agg(F.min(low).alias(low), F.max(high).alias(high))
+    one = F.col(low) == F.col(high)
+    state = F.when(one, "linked").when(~one, "held").otherwise("new")
+    return hits.select(record, F.when(one, F.col(low)).alias(owner), state.alias("state"))
 
 
 def policy_decision(status: Column, approved: Column, fixture: Column) -> Column:
