@@ -78,8 +78,18 @@ def verdict(run_used: Column, run_budget: int, depth: Column, deepest: int, visi
 def complaint_matches(complaints: DataFrame, contacts: DataFrame, complaint: str, contact: str, person: str) -> DataFrame:
     """(complaint, people, state, person): the only person of a normalised contact is suppressed; with none or several
     a human has to look."""
-    hits = complaints.join(contacts.select(contact, person).distinct(), contact, "left")
-    out = hits.groupBy(complaint).agg(F.count_distinct(person).alias("people"), F.min(person).alias("only"))
+    # A contact's people are counted once, not for each complaint that names it.
+    own = complaints.select(complaint, contact).distinct()
+    people = contacts.select(contact, person).distinct()
+    counted = people.groupBy(contact).agg(F.count(person).alias("people"), F.min(person).alias("only"))
+    named = own.groupBy(complaint).agg(F.array_sort(F.collect_set(contact)).alias("contacts"))
+    single = named.filter("size(contacts) < 2").select(complaint, F.get("contacts", F.lit(0)).alias(contact))
+    single = single.join(counted, contact, "left").select(complaint, F.coalesce("people", F.lit(0)).alias("people"), "only")
+    # Where a complaint names several contacts, people count once over all of them; equal sets are looked up once.
+    several = named.filter("size(contacts) > 1")
+    each = several.select("contacts").distinct().select("contacts", F.explode("contacts").alias(contact))
+    over = each.join(people, contact, "left").groupBy("contacts").agg(F.count_distinct(person).alias("people"), F.min(person).alias("only"))
+    out = single.unionByName(several.join(over, "contacts").select(complaint, "people", "only"))
     one = F.col("people") == 1
     return out.select(complaint, "people", F.when(one, "suppressed").otherwise("needs_review").alias("state"), F.when(one, F.col("only")).alias(person))
 

@@ -31,3 +31,15 @@ def test_matching_never_pairs_records_with_all_owners(spark, joined_rows):
     got = {r.r: (r.o, r.state) for r in rows}
     assert n <= 400 and len(got) == len(rows) == 302
     assert got[0] == got[5] == (None, "held") and got[900] == (7, "linked") and got[901] == (None, "new")
+
+
+def test_complaints_never_meet_all_people_of_a_contact(spark, joined_rows):
+    contacts = spark.range(300).select(F.lit("c").alias("contact"), F.col("id").alias("p")).union(spark.sql("SELECT 'one', 7L UNION ALL SELECT 'one', 7L UNION ALL SELECT 'two', 7L"))
+    complaints = spark.range(300).select(F.col("id").alias("k"), F.lit("c").alias("contact")).union(
+        spark.sql("SELECT * FROM VALUES (900L, 'one'), (901L, 'none'), (902L, NULL), (903L, 'one'), (903L, 'two'), (904L, 'one'), (904L, 'c'), (905L, 'c'), (905L, 'one')")
+    )
+    n, rows = joined_rows(I.complaint_matches(complaints, contacts, "k", "contact", "p"))
+    got = {r.k: (r.people, r.state, r.p) for r in rows}
+    assert n <= 700 and len(got) == len(rows) == 306
+    assert got[5] == got[904] == got[905] == (300, "needs_review", None) and got[900] == got[903] == (1, "suppressed", 7)
+    assert got[901] == got[902] == (0, "needs_review", None)
