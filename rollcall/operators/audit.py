@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical_json import event_text
+from ..shared import dealt
 from ..shipping import ship
 
 COLUMNS = ["actor_type", "actor", "action", "subject_type", "subject", "metadata"]
@@ -37,7 +38,7 @@ def chained(events: DataFrame, chain: str = "chain", sequence: str = "sequence",
 
     kinds = dict(own.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in own.columns[:-1]) + ", previous_hash string, hash string"
-    return own.repartition(chain).sortWithinPartitions(chain, sequence).mapInPandas(run, schema)
+    return dealt(own, chain).sortWithinPartitions(chain, sequence).mapInPandas(run, schema)
 
 
 def verified(events: DataFrame, chain: str = "chain", sequence: str = "sequence") -> DataFrame:
