@@ -35,10 +35,22 @@ def s1_s4_delimited(spark, d):
     name = F.expr("CASE s_suppkey % 4 WHEN 0 THEN concat(s_name, ', Inc.') WHEN 1 THEN concat('The \"', s_name, '\"') WHEN 2 THEN concat('two', char(10), 'lines') ELSE s_name END")
     own = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), name.alias("name"))
     comma, tab = (own.filter(F.col("id").cast("long") % 2 == k) for k in (0, 1))
-    lines = lambda df, sep: df.select(F.concat(F.lit(f"{D.BOM}id{sep}name{sep}note\r\n{sep} {sep}\r\n"), F.concat_ws(sep, csv_cell(F.col("id")), csv_cell(F.col("name")), F.lit(""))).alias("value"))
-    # One record a file, so that each file has its header.
-    a = D.read_strings(spark, _one_each(lines(comma, ","), "csv"))
-    return a.union(D.read_strings(spark, _one_each(lines(tab, "\t"), "tsv"), sep="\t", strict=True))
+    header = lambda sep: f"{D.BOM}id{sep}name{sep}note\r\n{sep} {sep}\r\n"
+    lines = lambda df, sep: df.select(F.concat_ws(sep, csv_cell(F.col("id")), csv_cell(F.col("name")), F.lit("")).alias("value"))
+    a = D.read_strings(spark, _headed(lines(comma, ","), header(","), "csv"))
+    return a.union(D.read_strings(spark, _headed(lines(tab, "\t"), header("\t"), "tsv"), sep="\t", strict=True))
+
+
+RECORDS = 20_000  # of a file with quoted line ends, which one task reads
+
+
+def _headed(lines: DataFrame, header: str, name: str) -> str:
+    """Files of some RECORDS lines, at least two files, each begun by its header."""
+    path = folder(lines.sparkSession, name)
+    own = lines.repartition(2 + lines.count() // RECORDS)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition, which is a file
+    own.select(F.concat(F.when(first, header).otherwise(""), "value").alias("value")).write.text(path, lineSep="\r\n")
+    return path
 
 
 def _one_each(df: DataFrame, name: str) -> str:

@@ -43,3 +43,15 @@ def test_complaints_never_meet_all_people_of_a_contact(spark, joined_rows):
     assert n <= 700 and len(got) == len(rows) == 306
     assert got[5] == got[904] == got[905] == (300, "needs_review", None) and got[900] == got[903] == (1, "suppressed", 7)
     assert got[901] == got[902] == (0, "needs_review", None)
+
+
+def test_files_with_headers_hold_many_records(spark):
+    from rollcall.queries import sources as Q
+    from rollcall.sources.delimited import read_delimited
+
+    lines = spark.range(500).select(F.concat(F.col("id").cast("string"), F.lit(',"two\nlines"')).alias("value"))
+    path = Q._headed(lines, "id,name\r\n", "csv")
+    files = spark.read.format("binaryFile").load(path)
+    assert files.count() == 2 and files.filter("startswith(cast(content AS string), 'id,name\r\n')").count() == 2
+    back = read_delimited(spark, path, "id long, name string")
+    assert sorted(r.id for r in back.collect()) == list(range(500)) and back.filter("name != 'two\\nlines'").isEmpty()
