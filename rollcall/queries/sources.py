@@ -53,13 +53,6 @@ def _headed(lines: DataFrame, header: str, name: str) -> str:
     return path
 
 
-def _one_each(df: DataFrame, name: str) -> str:
-    """Files of one record each."""
-    path = folder(df.sparkSession, name)
-    df.write.option("maxRecordsPerFile", 1).text(path, lineSep="\r\n")
-    return path
-
-
 @query("""SELECT 's' || s_suppkey AS "supplier name", CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'a b' END AS note FROM supplier""")
 def s3_objects(spark, d):
     own = table(spark, d, "supplier").select(F.concat(F.lit(" s"), "s_suppkey", F.lit("  ")).alias("supplier   name"), F.when(F.col("s_suppkey") % 3 != 0, F.lit("a \t b")).alias(" note "))
@@ -185,11 +178,11 @@ def k1_k5_files_round_trip(spark, d):
     """CSV lines and packed JSON lines written in order with checksums, verified, and read back."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
     path = folder(spark, "artifact")
-    manifest = S.write_lines(s.select("s_suppkey", F.to_json(F.struct("s_name", "s_suppkey")).alias("value")), path, "s_suppkey", tasks=3)
+    manifest = S.write_lines(s.select("s_suppkey", F.to_json(F.struct("s_name", "s_suppkey")).alias("value")), path, "s_suppkey", tasks=3 + s.count() // RECORDS)
     intact = S.verified_files(spark, path, manifest)
     whole = intact.agg(F.bool_and("intact").alias("intact"))
     back = S.read_json_lines(spark, path, "s_suppkey bigint, s_name string")
-    csv = D.read_delimited(spark, _one_each(csv_lines(s).select(F.concat(F.lit("s_suppkey,s_name\r\n"), "value").alias("value")), "csv"), "s_suppkey bigint, s_name string")
+    csv = D.read_delimited(spark, _headed(csv_lines(s), "s_suppkey,s_name\r\n", "csv"), "s_suppkey bigint, s_name string")
     return back.intersect(csv).join(whole).select("s_suppkey", "s_name", "intact")
 
 
