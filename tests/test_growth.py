@@ -55,3 +55,10 @@ def test_files_with_headers_hold_many_records(spark):
     assert files.count() == 2 and files.filter("startswith(cast(content AS string), 'id,name\r\n')").count() == 2
     back = read_delimited(spark, path, "id long, name string")
     assert sorted(r.id for r in back.collect()) == list(range(500)) and back.filter("name != 'two\\nlines'").isEmpty()
+
+
+def test_verified_chains_are_hashed_once(spark):
+    from rollcall.queries import QUERIES
+
+    plan = QUERIES["e28_verified_chains"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") <= 2  # only the events written anew, for each of two uses
