@@ -70,7 +70,8 @@ class Guard:
         self.put("url", page.url, 1)
         self._add("run", "pages")
         self._add("domain", page.domain)
-        self.put("failures", page.domain, 0)
+        if count("failures", page.domain):
+            self.put("failures", page.domain, 0)
         if self._claimed("content", page.content):
             return "duplicate_content"
         records = list(page.records) if page.records is not None else []
@@ -102,8 +103,23 @@ class _Processor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         own = pd.concat(rows).sort_values("ord")
-        guard = Guard(self.policy, self._count, self._put)
-        yield pd.DataFrame({"run": key[0], "ord": own["ord"], "verdict": [guard.verdict(p) for p in own.itertuples(index=False)]})
+        # Each entry that these pages name is read once and written once; a run's first pages find none.
+        held, changed, new = {}, set(), not self.kept.exists()
+
+        def count(kind: str, name: str) -> int:
+            if (kind, name) not in held:
+                held[kind, name] = 0 if new else self._count(kind, name)
+            return held[kind, name]
+
+        def put(kind: str, name: str, n: int) -> None:
+            held[kind, name] = n
+            changed.add((kind, name))
+
+        guard = Guard(self.policy, count, put)
+        verdicts = [guard.verdict(p) for p in own.itertuples(index=False)]
+        for entry in changed:
+            self._put(*entry, held[entry])
+        yield pd.DataFrame({"run": key[0], "ord": own["ord"], "verdict": verdicts})
         if self.policy.idle_ms:
             at = int(own["seen"].max().timestamp() * 1000) + self.policy.idle_ms
             if self.due.exists():

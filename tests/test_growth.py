@@ -62,3 +62,38 @@ def test_verified_chains_are_hashed_once(spark):
 
     plan = QUERIES["e28_verified_chains"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") <= 2  # only the events written anew, for each of two uses
+
+
+def test_a_run_reads_and_writes_each_entry_of_its_state_once():
+    import pandas as pd
+
+    from rollcall.streaming.guards import Policy, _Processor
+
+    class Kept(dict):
+        calls = 0
+
+        def exists(self):
+            return bool(self)
+
+        def containsKey(self, k):
+            Kept.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            Kept.calls += 1
+            self[k] = v
+
+    def verdicts(sizes):
+        own, kept, out = _Processor(Policy(pages_per_run=40)), Kept(), []
+        own.kept = kept
+        pages = pd.DataFrame([{"run": 1, "ord": k, "seen": pd.Timestamp(k), "url": f"u{k % 50}", "domain": "d", "depth": 0, "excluded": False, "token": None, "ok": k % 4 > 0, "content": f"c{k}", "records": [f"r{k}"]} for k in range(100)])
+        for a, b in zip(sizes, sizes[1:]):
+            out += [v for frame in own.handleInputRows((1,), iter([pages[a:b]]), None) for v in frame["verdict"]]
+        return out, len(kept)
+
+    whole, entries = verdicts([0, 100])
+    assert Kept.calls == entries  # nothing is read for a run's first pages, each entry is written once
+    assert verdicts([0, 30, 31, 100])[0] == verdicts(range(101))[0] == whole
