@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import counted, folder, written
@@ -180,56 +180,99 @@ def subtree(roots: DataFrame, edges: DataFrame, as_of: date | str | None = None)
     return known.union(_far(front.select("node"), left, f"{home}/far")).distinct()
 
 
-def _core(edges: DataFrame, n: int, home: str, rounds: int = 8) -> DataFrame:
+def _core(edges: DataFrame, n: int, home: str, rounds: int = 8, own: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Of n edges those that remain when ends without a way on and starts without a way in are taken off, again and
-    again: no cycle passes the others. It only spares work, so it stops after some rounds."""
-    for k in range(rounds):
-        on, into = edges.select(F.col("child").alias("parent")).distinct(), edges.select(F.col("parent").alias("child")).distinct()
-        edges, m = counted(edges.join(on, "parent", "left_semi").join(into, "child", "left_semi").select(*edges.columns), f"{home}/core-{k}")
-        if m in (n, 0):
+    again: no cycle passes the others. It only spares work, so it stops after some rounds. Each value of own is a graph
+    for itself."""
+    for k in range(rounds if n else 0):
+        on, into = edges.select(*own, F.col("child").alias("parent")).distinct(), edges.select(*own, F.col("parent").alias("child")).distinct()
+        left = edges.join(on, [*own, "parent"], "left_semi").join(into, [*own, "child"], "left_semi").select(*edges.columns)
+        before, (edges, n) = n, counted(left, f"{home}/core-{k}")
+        if n in (before, 0):
             break
-        n = m
-    return edges
+    return edges, n
+
+
+def _labels(edges: DataFrame, home: str, own: tuple[str, ...]) -> DataFrame:
+    """(*own, node, up, down): the least node that leads to each node, and the least that it leads to, itself included.
+    Labels pass along edges; each round they also take the label of the node that they name, so that ways double."""
+    spark = edges.sparkSession
+    ends = edges.select(*own, F.col("child").alias("node")).union(edges.select(*own, F.col("parent").alias("node"))).distinct()
+    labels, k = written(ends.select(*own, "node", F.col("node").alias("up"), F.col("node").alias("down")), f"{home}/0"), 0
+    none = F.lit(None).cast(labels.schema["node"].dataType)
+    while True:
+        on = edges.join(labels.withColumnRenamed("node", "child"), [*own, "child"]).select(*own, F.col("parent").alias("node"), "up", none.alias("down"), none.alias("_up"), none.alias("_down"))
+        back = edges.join(labels.withColumnRenamed("node", "parent"), [*own, "parent"]).select(*own, F.col("child").alias("node"), none.alias("up"), "down", none.alias("_up"), none.alias("_down"))
+        least = labels.select(*own, "node", "up", "down", F.col("up").alias("_up"), F.col("down").alias("_down")).union(on).union(back)
+        least = least.groupBy(*own, "node").agg(*[F.min(c).alias(c) for c in ("up", "down", "_up", "_down")])
+        for c in ("up", "down"):
+            least = least.join(labels.select(*own, F.col("node").alias(c), F.col(c).alias("far")), [*own, c]).withColumn(c, F.least(c, "far")).drop("far")
+        k += 1
+        new, n = _observed(least.select(*own, "node", "up", "down", "_up", "_down"), f"{home}/{k}", (F.col("up") < F.col("_up")) | (F.col("down") < F.col("_down")))
+        labels = spark.read.schema(new.schema).parquet(f"{home}/{k}").select(*own, "node", "up", "down")
+        if not n:
+            return labels
+
+
+def _strong(edges: DataFrame, home: str, own: tuple[str, ...] = ()) -> DataFrame | None:
+    """(*own, child, parent, label): of the edges (*own, child, parent) those that lie on a cycle, with the least node of
+    their strongly connected component; None if there are none. Each value of own is a graph for itself.
+
+    Nodes whose least node before them and least node after them are one belong to that node's component; of the
+    others only edges whose ends agree in both may lie within one, and go on."""
+    spark = edges.sparkSession
+    edges, n = counted(edges.select(*own, "child", "parent").distinct(), f"{home}/all")
+    paths, k = [], 0
+    while True:
+        edges, n = _core(edges, n, f"{home}/{k}", own=own)
+        if not n:
+            return spark.read.schema(schema).parquet(*paths) if paths else None
+        labels = _labels(edges, f"{home}/{k}/labels", own)
+        ends = [labels.select(*own, F.col("node").alias(c), F.struct("up", "down").alias(f"_{c}")) for c in ("child", "parent")]
+        same = edges.join(ends[0], [*own, "child"]).join(ends[1], [*own, "parent"]).filter("_child = _parent")
+        same = written(same.select(*own, "child", "parent", F.col("_child.up").alias("label"), F.col("_child.down").alias("_down")), f"{home}/{k}/same")
+        done, _ = _observed(same.filter("label = _down").select(*own, "child", "parent", "label"), f"{home}/{k}/done", F.lit(True))
+        schema = done.schema
+        paths.append(f"{home}/{k}/done")
+        edges, n = counted(same.filter("label != _down").select(*own, "child", "parent"), f"{home}/{k}/left")
+        k += 1
 
 
 def cycles(edges: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """(node): nodes from which edges (child, parent, effective_from, effective_to) lead back to themselves at a time when
     all edges on the way are in force. With `new`, further edges of the same form: their children that a cycle through
-    one of them comes back to, with all edges there are; only these are followed.
+    one of them comes back to, with all edges there are.
 
-    For each origin and node that it leads to, only the intervals are kept that no other one there holds: a way that
-    is in force for less time can't lead further. So many ways between two nodes cost no more than their intervals.
+    A cycle in force on some day is so on a day on which one of its edges begins, and lies in one strongly connected
+    component both of all edges and of that day's. So the days on which a component's edges begin are enough, with
+    `new` those with a new edge in force. Rows are edges times such days, whatever the number of ways; no pair of nodes
+    that are not neighbours is ever kept.
     """
-    spark, home = edges.sparkSession, _shared(edges.sparkSession)
+    home = _shared(edges.sparkSession)
 
     def dated(e: DataFrame) -> DataFrame:
         since, until = F.coalesce("effective_from", F.lit("0001-01-01").cast("date")), F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
         return e.select("child", "parent", since.alias("since"), until.alias("until")).filter("since <= until").distinct()
 
+    none = edges.select(F.col("child").alias("node")).limit(0)
     every = dated(edges)
     if new is not None:
         every = every.union(dated(new)).distinct()
-    every = _core(*counted(every, f"{home}/edges"), home)
-    first = every if new is None else every.join(dated(new), ["child", "parent", "since", "until"], "left_semi")
-    up = every.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.col("since").alias("a"), F.col("until").alias("b"))
-
-    def widest(ways: DataFrame) -> DataFrame:
-        """Without intervals that another one of the same origin and node holds."""
-        before = Window.partitionBy("origin", "node").orderBy("since", F.desc("until")).rowsBetween(Window.unboundedPreceding, -1)
-        return ways.distinct().withColumn("held", F.max("until").over(before)).filter("held is null or held < until").drop("held")
-
-    found: DataFrame | None = None
-    paths, step = [f"{home}/0"], 0
-    level, n = counted(widest(first.select(F.col("child").alias("origin"), F.col("parent").alias("node"), "since", "until")), f"{home}/0")
-    while n:
-        known = spark.read.schema(level.schema).parquet(*paths)
-        found = known.filter("node = origin").select(F.col("origin").alias("node")).distinct()
-        on = level.join(found.withColumnRenamed("node", "origin"), "origin", "left_anti")
-        after = on.join(up, "node").select("origin", F.col("next").alias("node"), F.greatest("since", "a").alias("since"), F.least("until", "b").alias("until"))
-        after = widest(after.filter("since <= until"))
-        held = known.select(F.col("origin").alias("o"), F.col("node").alias("n"), F.col("since").alias("s"), F.col("until").alias("u"))
-        fresh = after.join(held, (F.col("origin") == F.col("o")) & (F.col("node") == F.col("n")) & (F.col("s") <= F.col("since")) & (F.col("u") >= F.col("until")), "left_anti")
-        step += 1
-        level, n = counted(fresh, f"{home}/{step}")
-        paths.append(f"{home}/{step}")
-    return found if found is not None else edges.select(F.col("child").alias("node")).limit(0)
+    every = written(every, f"{home}/edges")
+    whole = _strong(every, f"{home}/whole")
+    if whole is None:
+        return none
+    within = written(every.join(whole, ["child", "parent"]), f"{home}/within")
+    days = within.groupBy("label").agg(F.collect_set("since").alias("days"))
+    in_force = F.explode(F.filter("days", lambda d: (d >= F.col("since")) & (d <= F.col("until"))))
+    if new is not None:
+        first = written(within.join(dated(new), ["child", "parent", "since", "until"], "left_semi").select(*within.columns), f"{home}/first")
+        days = first.join(days, "label").select("label", in_force.alias("day")).groupBy("label").agg(F.collect_set("day").alias("days"))
+    days = written(days, f"{home}/days")
+    daily = within.join(days, "label").select(in_force.alias("day"), "child", "parent")
+    found = _strong(daily, f"{home}/daily", ("day",))
+    if found is None:
+        return none
+    if new is not None:
+        found = first.drop("label").join(found, ["child", "parent"]).filter("day between since and until")
+    return found.select(F.col("child").alias("node")).distinct()

@@ -97,3 +97,23 @@ def test_a_run_reads_and_writes_each_entry_of_its_state_once():
     whole, entries = verdicts([0, 100])
     assert Kept.calls == entries  # nothing is read for a run's first pages, each entry is written once
     assert verdicts([0, 30, 31, 100])[0] == verdicts(range(101))[0] == whole
+
+
+def test_new_edges_keep_no_pairs_of_origins_and_nodes(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from rollcall.operators import graph as G
+
+    monkeypatch.setattr(G, "folder", lambda *_: f"file://{tmp_path}/g")
+    dates = "date'2020-01-01' AS effective_from, date'2020-01-01' AS effective_to"
+    knot = spark.sql(f"SELECT a.id AS child, b.id AS parent, {dates} FROM range(20) a JOIN range(20) b ON a.id <> b.id")
+    later = spark.sql("SELECT id % 20 AS child, id AS parent, date'2021-01-01' AS effective_from, CAST(NULL AS DATE) AS effective_to FROM range(100, 250)")
+    new = spark.sql(f"SELECT id AS child, id % 20 AS parent, {dates} FROM range(100, 250) UNION ALL SELECT 3, 4, {dates}")
+    assert [r.node for r in G.cycles(knot.union(later), new).collect()] == [3]
+    tables = {}
+    for p in glob.glob(f"{tmp_path}/g/**/*.parquet", recursive=True):
+        folder = p.rsplit("/", 1)[0]
+        tables[folder] = tables.get(folder, 0) + pq.read_metadata(p).num_rows
+    assert max(tables.values()) <= 2 * (380 + 150 + 151)
