@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import key_of
+from .text import key_of, let
 
 LOCAL = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
 PLAIN = rf"{LOCAL}(?:\.{LOCAL})*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}"
@@ -54,59 +54,72 @@ def is_valid(address: Column) -> Column:
 
 def without_entities(c: Column) -> Column:
     """Numeric entities, hexadecimal and decimal, and the named ones of addresses, decoded."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit("&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
 
     def one(text: Column, entity: Column) -> Column:
         hexa = F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+);$", 1)
-        code = F.when(hexa != "", F.conv(hexa, 16, 10)).otherwise(F.regexp_extract(entity, "([0-9]+)", 1)).cast("int")
+        code = let(hexa, lambda h: F.when(h != "", F.conv(h, 16, 10)).otherwise(F.regexp_extract(entity, "([0-9]+)", 1)).cast("int"))
         # By its four bytes, since char() knows only one.
-        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
-        return F.replace(text, entity, F.when(code <= 0x10FFFF, letter).otherwise(""))
+        letter = lambda k: F.decode(F.unhex(F.lpad(F.hex(k), 8, "0")), "utf-32")
+        return F.replace(text, entity, let(code, lambda k: F.when(k <= 0x10FFFF, letter(k)).otherwise("")))
 
-    c = F.aggregate(found, c, one)
-    for entity, plain in ENTITIES.items():
-        c = F.regexp_replace(c, "(?i)" + entity, plain)
-    return c
+    def decoded(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
+        text = F.aggregate(found, text, one)
+        for entity, plain in ENTITIES.items():
+            text = F.regexp_replace(text, "(?i)" + entity, plain)
+        return text
+
+    return let(c, lambda text: F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text))
 
 
 def cloudflare(encoded: Column) -> Column:
     """An address hidden as hexadecimal bytes, each but the first exclusive-or the first; null if it is none."""
-    hexa = F.lower(F.trim(encoded))
-    key = F.conv(F.substring(hexa, 1, 2), 16, 10).cast("int")
-    at = F.sequence(F.lit(3), F.greatest(F.length(hexa), F.lit(3)), F.lit(2))
-    byte = lambda k: F.char(F.conv(F.substring(hexa, k, 2), 16, 10).cast("int").bitwiseXOR(key))
-    out = F.lower(F.array_join(F.transform(at, byte), ""))
-    return F.when(hexa.rlike("^(?:[0-9a-f]{2}){2,}$") & out.rlike(PLAIN), out)
 
+    def shown(hexa: Column) -> Column:
+        key = F.conv(F.substring(hexa, 1, 2), 16, 10).cast("int")
+        at = F.sequence(F.lit(3), F.greatest(F.length(hexa), F.lit(3)), F.lit(2))
+        byte = lambda own: lambda k: F.char(F.conv(F.substring(hexa, k, 2), 16, 10).cast("int").bitwiseXOR(own))
+        out = F.lower(F.array_join(let(key, lambda own: F.transform(at, byte(own))), ""))
+        return F.when(hexa.rlike("^(?:[0-9a-f]{2}){2,}$"), let(out, lambda own: F.when(own.rlike(PLAIN), own)))
 
-def plain_addresses(c: Column) -> Column:
-    """Distinct valid addresses of a text, entities decoded, lower case, in order."""
-    found = F.transform(F.regexp_extract_all(without_entities(c), F.lit(PLAIN), F.lit(0)), lambda a: F.lower(a))
+    return let(F.lower(F.trim(encoded)), shown)
+
+
+def _plain(decoded: Column) -> Column:
+    found = F.transform(F.regexp_extract_all(decoded, F.lit(PLAIN), F.lit(0)), lambda a: F.lower(a))
     return F.filter(F.array_distinct(found), is_valid)
 
 
-def spelled_addresses(c: Column) -> Column:
-    """Distinct valid addresses written with words: jane dot smith at example dot org, jane [at] example.org."""
+def _spelled(decoded: Column) -> Column:
     dots = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\s*[\[({]?\s*\b(?:dot|d0t)\b\s*[\])}]?\s*", "."), r"\s+", "")
-    found = F.regexp_extract_all(without_entities(c), F.lit(SPELLED), F.lit(0))
+    found = F.regexp_extract_all(decoded, F.lit(SPELLED), F.lit(0))
     made = F.transform(found, lambda m: F.lower(F.concat(dots(F.regexp_extract(m, SPELLED, 1)), F.lit("@"), dots(F.regexp_extract(m, SPELLED, 2)))))
     return F.filter(F.array_distinct(made), is_valid)
 
 
+def plain_addresses(c: Column) -> Column:
+    """Distinct valid addresses of a text, entities decoded, lower case, in order."""
+    return _plain(without_entities(c))
+
+
+def spelled_addresses(c: Column) -> Column:
+    """Distinct valid addresses written with words: jane dot smith at example dot org, jane [at] example.org."""
+    return _spelled(without_entities(c))
+
+
 def addresses(c: Column) -> Column:
     """array<struct<address, form>>: plain ones first, then those only spelled out."""
-    plain, spelled = plain_addresses(c), spelled_addresses(c)
     as_ = lambda form: lambda a: F.struct(a.alias("address"), F.lit(form).alias("form"))
-    return F.concat(F.transform(plain, as_("plain")), F.transform(F.array_except(spelled, plain), as_("spelled")))
+    both = lambda plain, spelled: F.concat(F.transform(plain, as_("plain")), F.transform(F.array_except(spelled, plain), as_("spelled")))
+    return let(without_entities(c), lambda text: let(_plain(text), lambda plain: both(plain, _spelled(text))))
 
 
 def of_mailto(href: Column) -> Column:
     """The address of a mailto link, percent signs and entities decoded, lower case; null if it is none."""
     own = F.regexp_extract(F.trim(href), r"(?i)^mailto:([^?]*)", 1)
     # A plus sign is itself in such a link.
-    plain = F.coalesce(F.try_url_decode(F.replace(own, F.lit("+"), F.lit("%2B"))), own)
-    out = F.lower(F.trim(without_entities(plain)))
-    return F.when(is_valid(out), out)
+    plain = let(own, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
+    return let(F.lower(F.trim(without_entities(plain))), lambda out: F.when(is_valid(out), out))
 
 
 def is_personal(address_domain: Column) -> Column:

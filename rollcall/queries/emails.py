@@ -10,6 +10,7 @@ from ..directory import PEOPLE_SQL, people
 from ..functions import emails as E
 from ..functions import names as N
 from ..operators import patterns as P
+from ..shared import spread
 from .base import query, table
 from .people import PARTS
 from .text import sql_key
@@ -40,15 +41,16 @@ def x31_x35_decoded(spark, d):
     """Each address hidden in five ways and found again."""
     a = F.col("address")
     letters = F.split(a, "")
-    own = people(spark, d).filter("address is not null")
+    own = spread(people(spark, d).filter("address is not null").select("person", "address"))
     entities = F.array_join(F.transform(letters, lambda x, k: F.when(k % 3 == 0, F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))).when(k % 3 == 1, F.concat(F.lit("&#x"), F.hex(F.ascii(x)), F.lit(";"))).otherwise(x)), "")
     hidden = F.lower(F.concat(F.lit("5A"), F.array_join(F.transform(letters, lambda x: F.lpad(F.hex(F.ascii(x).bitwiseXOR(F.lit(0x5A))), 2, "0")), "")))
     spelled = F.replace(F.replace(a, F.lit("."), F.lit(" dot ")), F.lit("@"), F.lit(" at "))
     bracketed = F.replace(F.replace(a, F.lit("."), F.lit(" [dot] ")), F.lit("@"), F.lit("[at]"))
     mail = F.concat(F.lit(" MAILTO:"), F.replace(a, F.lit("@"), F.lit("%40")), F.lit("?subject=x"))
     whole = F.concat(F.lit("Write to: "), spelled, F.lit(". Thanks"))
-    found = E.addresses(F.concat(F.lit("<"), entities, F.lit(">")))
-    return own.select("person", found[0]["address"].alias("entities"), E.cloudflare(hidden).alias("cloudflare"), E.spelled_addresses(whole)[0].alias("spelled"), E.spelled_addresses(bracketed)[0].alias("bracketed"), E.of_mailto(mail).alias("mailto"), found[0]["form"].alias("form"))
+    found = E.addresses(F.concat(F.lit("<"), entities, F.lit(">")))[0].alias("found")
+    rows = own.select("person", found, E.cloudflare(hidden).alias("cloudflare"), E.spelled_addresses(whole)[0].alias("spelled"), E.spelled_addresses(bracketed)[0].alias("bracketed"), E.of_mailto(mail).alias("mailto"))
+    return rows.select("person", F.col("found.address").alias("entities"), "cloudflare", "spelled", "bracketed", "mailto", F.col("found.form").alias("form"))
 
 
 @query(f"""SELECT person, CASE person % 5 WHEN 0 THEN 'invalid' WHEN 1 THEN 'general_inbox' WHEN 2 THEN 'inferred_candidate' WHEN 3 THEN 'published' ELSE 'decoded_published' END AS kind, person % 7 = 0 AS personal FROM ({PEOPLE_SQL})""")

@@ -117,3 +117,18 @@ def test_new_edges_keep_no_pairs_of_origins_and_nodes(spark, tmp_path, monkeypat
         folder = p.rsplit("/", 1)[0]
         tables[folder] = tables.get(folder, 0) + pq.read_metadata(p).num_rows
     assert max(tables.values()) <= 2 * (380 + 150 + 151)
+
+
+def test_entities_are_decoded_once_for_all_uses(spark):
+    from rollcall.functions import emails as E
+
+    for c in (E.addresses(F.col("c")), E.of_mailto(F.col("c"))):
+        plan = spark.createDataFrame([("a",)], "c string").select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("utf-32") == 1
+
+
+@pytest.mark.parametrize("name", ["x31_x35_decoded"])
+def test_small_files_are_worked_on_by_many_tasks(spark, name):
+    from rollcall.queries import QUERIES
+
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
