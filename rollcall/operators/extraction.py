@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as P
 from ..functions.text import collapse_whitespace, record_key
+from ..shared import spread
 from ..shipping import ship
 
 COLUMNS = "page_id long, place int, name string, title string, department string, phone string, emails array<string>, profile string, strategy string, confidence double"
@@ -35,7 +36,7 @@ def people(pages: DataFrame) -> DataFrame:
 
 def profiles(pages: DataFrame) -> DataFrame:
     """COLUMNS: the person of each page that is one person's own."""
-    return _mapped(pages, lambda key, html: [(key, 0, *(p[f] for f in FIELDS))] if (p := P.single_profile(html)) else [], COLUMNS, ARROW)
+    return _mapped(spread(pages), lambda key, html: [(key, 0, *(p[f] for f in FIELDS))] if (p := P.single_profile(html)) else [], COLUMNS, ARROW)
 
 
 def records(found: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def test_entities_are_decoded_once_for_all_uses(spark):
         assert plan.count("utf-32") == 1
 
 
-@pytest.mark.parametrize("name", ["x31_x35_decoded", "x13_x17_rules_by_scope"])
+@pytest.mark.parametrize("name", ["x31_x35_decoded", "x13_x17_rules_by_scope", "h5_single_profiles"])
 def test_small_files_are_worked_on_by_many_tasks(spark, name):
     from rollcall.queries import QUERIES
 
