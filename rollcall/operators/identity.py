@@ -67,6 +67,9 @@ def folded(own: DataFrame, latest: list[str], known: list[str]) -> DataFrame:
     strongest. first_seen is that of the first arrival, last_seen the latest of all. An organisation may hold any share
     of the arrivals: what came before is looked up by tier, or by ranges, never gathered.
     """
+    # Read four times below, and dear: only what is asked for, once.
+    wanted = ["organization", "record", "observed", "tier", "fingerprint", "name", "confidence", *latest, *known]
+    own = written(own.select(*dict.fromkeys(wanted)), folder(own.sparkSession, "identity"))
     # Where each tier first came: an arrival counts if none stronger did before it.
     came = own.groupBy("organization").agg(*[F.min(F.when(F.col("tier") >= t, F.col("record"))).alias(f"_from_{t}") for t in range(1, len(TIERS))])
     stronger = F.coalesce(F.element_at(F.array(*[F.col(f"_from_{t}") for t in range(1, len(TIERS))], F.lit(None).cast("long")), F.col("tier") + 1), F.col("record"))

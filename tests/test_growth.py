@@ -132,3 +132,12 @@ def test_small_files_are_worked_on_by_many_tasks(spark, name):
     from rollcall.queries import QUERIES
 
     assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_organizations_are_folded_from_one_narrow_table(spark):
+    from rollcall.operators.identity import folded
+
+    own = spark.range(20).selectExpr("id AS record", "id AS observed", "1 AS tier", "'f' AS fingerprint", "'n' AS name", "0.5D AS confidence", "'m' AS method", "'w' AS website", "rand() AS evidence")
+    own = own.withColumn("organization", F.when(F.col("evidence") < 2, F.col("record") % 3))
+    out = folded(own, ["method"], ["website"])
+    assert "rand(" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 3
