@@ -17,6 +17,7 @@ repeated rows are stored each for itself; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import struct
@@ -436,6 +437,9 @@ class Writer:
         self.n += n
 
 
+NONE = 1 << 62
+
+
 def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a Huffman code by symbol, at most so long; 1 for an only symbol."""
     out = np.zeros(len(counts), np.int64)
@@ -446,21 +450,23 @@ def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
         return out
     while True:
         order = np.argsort(own, kind="stable")
-        weight = own[order].tolist() + [0] * (n - 1)
+        # Leaves, then inner nodes; what isn't there yet, or no more, is heavier than all.
+        weight, made = [*own[order].tolist(), NONE, NONE], [NONE] * (n + 1)
         top = [0] * (2 * n - 1)
-        leaf, inner = 0, n
-        for k in range(n, 2 * n - 1):
-            total = 0
+        leaf, inner = 0, 0
+        for k in range(n - 1):
+            total, new = 0, n + k
             for _ in (0, 1):
-                if leaf < n and (inner >= k or weight[leaf] <= weight[inner]):
-                    pick = leaf
+                one, other = weight[leaf], made[inner]
+                if one <= other:
+                    top[leaf] = new
                     leaf += 1
+                    total += one
                 else:
-                    pick = inner
+                    top[n + inner] = new
                     inner += 1
-                top[pick] = k
-                total += weight[pick]
-            weight[k] = total
+                    total += other
+            made[k] = total
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[top[k]] + 1
@@ -489,6 +495,7 @@ MOST = 11  # bits of a written code
 STATED = np.array([4 if s <= 12 or s >= 16 else 0 for s in range(19)])
 
 
+@functools.cache
 def _stated() -> tuple[int, int, list[int]]:
     """The bits that state the code of lengths, how many there are, and its symbols' values."""
     w = Writer()
@@ -497,38 +504,44 @@ def _stated() -> tuple[int, int, list[int]]:
     return w.value, w.n, _code_values(STATED).tolist()
 
 
-def _put_code(w: Writer, lengths: np.ndarray, known: list = []) -> None:  # noqa: B006
+@functools.lru_cache(4096)
+def _run(own: int, left: int) -> tuple[int, int]:
+    """(bits, how many) that state a run of one length."""
+    _, _, of = _stated()
+    value = n = 0
+    if own:
+        value, n = of[own], 4
+        left -= 1
+        while left >= 3:
+            k = min(left, 6)
+            value |= (of[16] | k - 3 << 4) << n
+            n += 6
+            left -= k
+    else:
+        while left >= 3:
+            k = min(left, 138)
+            value |= (of[18] | k - 11 << 4 if k >= 11 else of[17] | k - 3 << 4) << n
+            n += 11 if k >= 11 else 7
+            left -= k
+    for _ in range(left):
+        value |= of[own] << n
+        n += 4
+    return value, n
+
+
+def _put_code(w: Writer, lengths: np.ndarray) -> None:
     """States a code: one or two symbols of a byte as they are, others by their lengths, runs cut short."""
     symbols = np.flatnonzero(lengths).tolist() or [0]
     if len(symbols) <= 2 and symbols[-1] < 256:
         for x, n in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)):
             w.put(x, n)
         return
-    if not known:
-        known.extend(_stated())
-    value, n, of = known
+    value, n, _ = _stated()
     at = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
-    runs = lengths[at[:-1]].tolist()
-    for own, begin, end in zip(runs, at, at[1:]):
-        left = end - begin
-        if own:
-            value |= of[own] << n
-            n += 4
-            left -= 1
-            while left >= 3:
-                k = min(left, 6)
-                value |= (of[16] | k - 3 << 4) << n
-                n += 6
-                left -= k
-        else:
-            while left >= 3:
-                k = min(left, 138)
-                value |= (of[18] | k - 11 << 4 if k >= 11 else of[17] | k - 3 << 4) << n
-                n += 11 if k >= 11 else 7
-                left -= k
-        for _ in range(left):
-            value |= of[own] << n
-            n += 4
+    for own, begin, end in zip(lengths[at[:-1]].tolist(), at, at[1:]):
+        more, size = _run(own, end - begin)
+        value |= more << n
+        n += size
     w.put(value, n)
 
 
@@ -539,7 +552,7 @@ def _bits_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (np.repeat(values, sizes) >> within & 1).astype(np.uint8)
 
 
-def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, ...]:
     """(prefix, extra bits, how many) of lengths or distances."""
     v = values - 1
     high = np.frexp(np.maximum(v, 1))[1] - 1  # the place of the highest bit
@@ -547,6 +560,18 @@ def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), np.where(v < 4, 0, v & (1 << n) - 1), n
 
 
+@functools.cache
+def _prefixes() -> tuple[np.ndarray, ...]:
+    """_prefix_of() of what images of store() have."""
+    return _prefix_of(np.arange(WIDE * TALLEST + len(NEAR) + 1))
+
+
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """_prefix_of(), by a table where it reaches."""
+    known = _prefixes()
+    return tuple(x[values] for x in known) if not len(values) or values.max() < len(known[0]) else _prefix_of(values)
+
+
 def _before(keys: np.ndarray) -> np.ndarray:
     """Where each key was last, -1 if nowhere."""
     order = np.argsort(keys, kind="stable")
@@ -615,7 +640,7 @@ def _put_image(parts: list[np.ndarray], w: Writer, pixels: np.ndarray, wide: int
     own = pixels[single]
     channels = [own >> s & 255 for s in (8, 16, 0, 24)]
     slot = (CACHE_FACTOR * pixels & 0xFFFFFFFF) >> 32 - CACHE_BITS
-    last = _before(slot)
+    last = _before(slot.astype(np.uint8))  # so few bits are sorted by their digits
     hit = ((last >= 0) & (pixels[last] == pixels))[single]
 
     cached = bool(8 * np.count_nonzero(hit) > len(single))
@@ -638,18 +663,24 @@ def _put_image(parts: list[np.ndarray], w: Writer, pixels: np.ndarray, wide: int
     flat = np.concatenate(lengths)
     values_of = _code_values(flat, start[:-1])
     codes = [values_of[a:b] for a, b in zip(start, start[1:])]
-    values, sizes = (np.zeros((len(single) + len(copies), 4), np.int64) for _ in (0, 1))
-    n = len(single)
-    for out, of in ((values, codes), (sizes, lengths)):
-        out[:n, 0] = of[0][first]
-        for k in (1, 2, 3):
-            out[:n, k] = np.where(hit, 0, of[k][channels[k]])
-        out[n:, 0], out[n:, 2] = of[0][LITERALS + size], of[4][far]
-    values[n:, 1], values[n:, 3] = extra, far_extra
-    sizes[n:, 1], sizes[n:, 3] = n_extra, n_far
-    order = np.argsort(np.concatenate([single, copies[:, 0]]), kind="stable")
+    # A pixel's or copy's codes in one number: four of MOST bits, or two and what goes with them.
+    value, taken = codes[0][first], lengths[0][first]
+    for of, own, channel in zip(codes[1:4], lengths[1:4], channels[1:], strict=True):
+        if own.any():
+            more, n = of[channel], own[channel]
+            if cached:
+                more[hit], n[hit] = 0, 0
+            value |= more << taken
+            taken += n
+    if len(copies):
+        more, n = codes[0][LITERALS + size], lengths[0][LITERALS + size]
+        for own, bits in ((extra, n_extra), (codes[4][far], lengths[4][far]), (far_extra, n_far)):
+            more |= own << n
+            n += bits
+        order = np.argsort(np.concatenate([single, copies[:, 0]]), kind="stable")
+        value, taken = np.concatenate([value, more])[order], np.concatenate([taken, n])[order]
     parts.append(_written(w))
-    parts.append(_bits_of(values[order].reshape(-1), sizes[order].reshape(-1)))
+    parts.append(_bits_of(value, taken))
     return Writer()
 
 
@@ -707,7 +738,8 @@ def encode_rgb(pixels: np.ndarray, turn: int | None = None) -> bytes:
     w, parts = Writer(), []
     for value, n in ((wide - 1, 14), (tall - 1, 14), (0, 1), (0, 3)):  # sizes, no alpha, version
         w.put(value, n)
-    colours = np.unique(joined)
+    colours = np.sort(joined)
+    colours = colours[np.concatenate([[True], colours[1:] != colours[:-1]])]
     index = np.searchsorted(colours, joined) if len(colours) <= 256 else None
     plain, across, alpha = _cost_of(rgb), wide, BLACK
     if plain > BUSY * rgb.size:
@@ -891,6 +923,10 @@ class Unfit(Exception):
     """Images that decode() has to take one by one."""
 
 
+class Crowded(Unfit):
+    """Too many images at once for their tables."""
+
+
 def _images(s: Streams, which: np.ndarray, wide: np.ndarray, tall: np.ndarray, top: bool) -> tuple[np.ndarray, np.ndarray]:
     """(pixels, start of each image's): entropy-coded images of these streams, one pixel of every image at a time."""
     total = wide * tall
@@ -909,8 +945,10 @@ def _images(s: Streams, which: np.ndarray, wide: np.ndarray, tall: np.ndarray, t
     sizes = [LITERALS + LENGTH_CODES + slots, *(np.full(len(w), n) for n in (LITERALS, LITERALS, LITERALS, DISTANCE_CODES))]
     read = [_tables(_read_codes(s, w, n)) for n in sizes]
     s.check(w)
-    if total[0] > LOCKSTEP_PIXELS or sum(len(c) for c, _, _ in read) > LOCKSTEP_CELLS:
+    if total[0] > LOCKSTEP_PIXELS:
         raise Unfit
+    if sum(len(c) for c, _, _ in read) > LOCKSTEP_CELLS:
+        raise Crowded
     (green, g0, gm), (red, r0, rm), (blue, b0, bm), (alpha, a0, am), (far, f0, fm) = read
     # A code of one symbol takes no bits: where all alphas are such, the channel is the same for all pixels of an image.
     still = alpha[a0].astype(np.int64) >> 4 << 24 if not am.any() else None
@@ -1078,6 +1116,9 @@ def load_many(media: list[bytes]) -> list[np.ndarray]:
     files = [_files(m) for m in media]
     try:
         flat = decode_streams([p for f in files for p in f])
+    except Crowded:
+        half = len(media) // 2
+        return load_many(media[:half]) + load_many(media[half:]) if half else [load(m) for m in media]
     except Unfit:
         return [load(m) for m in media]
     out, at = [], 0
@@ -1100,7 +1141,7 @@ def feature(pixels: np.ndarray) -> str:
     return f"{pixels.shape[1]}x{pixels.shape[0]} " + " ".join(f"{m:.3f}/{s:.3f}" for m, s in zip(mean, spread, strict=True))
 
 
-AT_ONCE = 12_000_000  # bytes of texts whose images are decoded together
+AT_ONCE = 6_000_000  # bytes of texts whose images are decoded together
 
 
 def _grouped(rows):
