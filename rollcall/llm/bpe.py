@@ -28,7 +28,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import LETS_GO, map_rows, texts
 
 MEMO_CHUNKS, MEMO_BYTES = 500_000, 40  # entries kept, and the longest chunk that is kept
 #: White space as the vocabulary's patterns know it; Python's own also has U+001C to U+001F.
@@ -90,7 +90,7 @@ class Bpe:
             names[i] = name.encode() + b" "
         self.offsets = np.concatenate([[0], np.cumsum([len(n) for n in names])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(names), np.uint8)
-        self.fits = functools.lru_cache(200_000)(self._fits)
+        self.fits = functools.lru_cache(20_000)(self._fits)
         self.memo: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -336,7 +336,10 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encoded(rows: Iterator[tuple], bpe: Bpe, at_once: int = 4_000_000) -> Iterator[tuple]:
+LETS_GO[__name__] = loaded.cache_clear
+
+
+def encoded(rows: Iterator[tuple], bpe: Bpe, at_once: int = 1_000_000) -> Iterator[tuple]:
     """(doc_id, ids) from (doc_id, text), texts of about at_once bytes at a time."""
     held, size = [], 0
     for row in rows:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,14 +67,33 @@ def _prepared(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: By operator (module): what lets go of the tables that it keeps in a Python worker between tasks.
+LETS_GO: dict[str, Callable[[], None]] = {}
+_last: list[str] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def task_of(module: str, batches: Iterator) -> Iterator:
+    """What a task of an operator gives. Workers outlive stages, so tables of others go before it begins, if the worker's
+    last task was another operator's, and when it is done the system gets back what it has freed."""
+    if _last[:1] != [module]:
+        _last[:] = [module]
+        for let_go in LETS_GO.values():
+            let_go()
+    yield from batches
+    del batches
+    if _trim is not None:
+        _trim(0)
+
+
 def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with function(iterator of row tuples) -> iterator of row tuples; schema: 'name type, ...'."""
     _prepared(df.sparkSession)
-    arrow = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
+    arrow, module = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(", "))]), function.__module__
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
-        return batches_of(function(rows_of(batches)), arrow)
+        return task_of(module, batches_of(function(rows_of(batches)), arrow))
 
     return df.mapInArrow(run, schema)
 
@@ -81,32 +101,44 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with function(iterator of record batches) -> iterator of lists of columns."""
     _prepared(df.sparkSession)
-    arrow = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
+    arrow, module = pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(", "))]), function.__module__
 
-    def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
+    def made(batches):
         for columns in function(batches):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        return task_of(module, made(batches))
+
     return df.mapInArrow(run, schema)
 
 
 def map_columns(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with function(iterator of row tuples) -> iterator of lists of columns, each a list or an array."""
-    return map_batches(df, lambda batches: function(rows_of(batches)), schema)
+
+    def of_batches(batches):
+        return function(rows_of(batches))
+
+    of_batches.__module__ = function.__module__
+    return map_batches(df, of_batches, schema)
 
 
 def keep_rows(docs: DataFrame, wanted, columns: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows of docs, all columns as they are, for which wanted(*values) holds; values are UTF-8, null as empty, and
     those of the columns in `more` as they are."""
     _prepared(docs.sparkSession)
+    module = wanted.__module__
 
-    def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
+    def left(batches):
         for batch in batches:
             parts = [pa.array(batch.column(c)).cast(pa.string()).cast(pa.binary()) for c in columns]
             others = [batch.column(c) for c in more]
             mask = [bool(wanted(*(x.as_py() or b"" for x in row[: len(columns)]), *(x.as_py() for x in row[len(columns) :]))) for row in zip(*parts, *others, strict=True)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        return task_of(module, left(batches))
+
     return docs.mapInArrow(run, docs.schema)
