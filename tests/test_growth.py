@@ -141,3 +141,18 @@ def test_organizations_are_folded_from_one_narrow_table(spark):
     own = own.withColumn("organization", F.when(F.col("evidence") < 2, F.col("record") % 3))
     out = folded(own, ["method"], ["website"])
     assert "rand(" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 3
+
+
+def test_orders_of_one_nation_meet_its_suppliers_together(spark, tmp_path):
+    from rollcall.queries import QUERIES
+
+    orders = spark.range(2000).selectExpr("if(id = 7, NULL, id) AS o_orderkey", "if(id = 8, NULL, if(id % 3 = 0, 'F', 'P')) AS o_orderstatus").coalesce(1)
+    supplier = spark.range(250).selectExpr("id AS s_suppkey", "if(id = 9, NULL, id % 25) AS s_nationkey").coalesce(1)
+    orders.write.parquet(str(tmp_path / "orders.parquet")), supplier.write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = QUERIES["j15_array_containment"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    want = [(o, s) for o in range(2000) if o not in (7, 8) and o % 3 for s in range(250) if s != 9 and s % 25 in {o % 25, (o + 7) % 25}]
+    assert sorted((r.o_orderkey, r.s_suppkey) for r in rows) == want
+    nations = {}
+    for r in rows:
+        nations.setdefault(r.task, set()).add(r.s_suppkey % 25)
+    assert len(nations) == 4 and max(map(len, nations.values())) <= 10
