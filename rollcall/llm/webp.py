@@ -9,7 +9,8 @@ groups of codes, or very large ones, are left to decode().
 
 store() lays bytes out as rows of 64 RGB pixels and compresses them: prefix codes by frequency, back-references, a
 colour cache, and a palette where an estimate says that it makes the file smaller, or predictor or cross-colour
-transforms by turns. What is taller than TALLEST rows goes on in further images.
+transforms by turns. What is taller than TALLEST rows goes on in further images. store_many() gives the same files for
+many texts, with the work on images that take no transform done for all of them together.
 
 Edge cases: a null or empty text is 192 blanks; equal texts give equal bytes; damaged images raise ValueError;
 repeated rows are stored each for itself; an empty table gives no rows.
@@ -482,7 +483,8 @@ def _code_values(lengths: np.ndarray, start: np.ndarray | None = None) -> np.nda
     symbols = np.flatnonzero(lengths)
     own = lengths[symbols]
     which = np.zeros(len(symbols), np.int64) if start is None else np.searchsorted(start, symbols, "right") - 1
-    order = np.argsort(which * 16 + own, kind="stable")
+    key = which * 16 + own
+    order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 65536 else key, kind="stable")
     symbols, own, which = symbols[order], own[order], which[order]
     step = np.cumsum(1 << 15 - own)
     # A code of two symbols or more fills 2^15, so that each begins anew at a multiple of it.
@@ -774,7 +776,10 @@ def encode_rgb(pixels: np.ndarray, turn: int | None = None) -> bytes:
         joined = (rgb[..., 0] << 16 | rgb[..., 1] << 8 | rgb[..., 2]).reshape(-1)
     w.put(0, 1)  # no more transforms
     _put_image(parts, w, joined | alpha, across, top=True)
-    body = b"\x2f" + np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+    return _file_of(b"\x2f" + np.packbits(np.concatenate(parts), bitorder="little").tobytes())
+
+
+def _file_of(body: bytes) -> bytes:
     pad = len(body) & 1
     return b"RIFF" + struct.pack("<I", 12 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + b"\0" * pad
 
@@ -791,6 +796,232 @@ def store(payload: bytes) -> bytes:
     return b"".join(encode_rgb(p, zlib.crc32(p) % TURNS) for p in parts)
 
 
+# Many images at once, as store() writes them: the same steps, each taken for all of them together.
+
+TOGETHER, TOGETHER_PIXELS = 512, 300_000  # images that are written together, and their pixels
+CODES, LARGEST = 5, LITERALS + LENGTH_CODES + (1 << CACHE_BITS)  # codes of an image, symbols of the largest
+LONG_RUN = 48  # of equal lengths; what states a longer one does not fit into a number
+
+
+def _by_two(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """The order of two keys below 65,536, sorted by their digits."""
+    order = np.argsort(minor.astype(np.uint16), kind="stable")
+    return order[np.argsort(major[order].astype(np.uint16), kind="stable")]
+
+
+def _lengths_many(counts: np.ndarray, most: int) -> np.ndarray:
+    """_lengths() of many codes, rows of counts by symbol below 65,536: a node of each tree at a time."""
+    out = np.zeros(counts.shape, np.int64)
+    n = np.count_nonzero(counts, 1)
+    out[n == 1] = counts[n == 1] > 0
+    rows = np.flatnonzero(n > 1)
+    if not len(rows):
+        return out
+    rows = rows[np.argsort(-n[rows], kind="stable")]
+    n, k, longest = n[rows], len(rows), int(n[rows[0]])
+    own = counts[rows]
+    row, symbol = np.nonzero(own)
+    weight = own[row, symbol]
+    order = _by_two(row, weight)
+    row, symbol, weight = row[order], symbol[order], weight[order]
+    place = (np.arange(len(row)) - (np.cumsum(n) - n)[row]) * k + row
+    # Leaves, then inner nodes, each column a tree; what isn't there yet, or no more, is heavier than all.
+    inner_at = (longest + 1) * k
+    nodes = np.full(inner_at + (longest + 1) * k, NONE)
+    nodes[place] = weight
+    top = np.zeros(len(nodes), np.int64)
+    leaf, inner = np.arange(k), inner_at + np.arange(k)
+    open_ = np.searchsorted(-n, -np.arange(1, longest), "left")  # trees that have an inner node j: of more than j + 1 leaves
+    for j, a in enumerate(open_.tolist()):
+        total = 0
+        for _ in (0, 1):
+            x, y = leaf[:a], inner[:a]
+            one, other = nodes[x], nodes[y]
+            take = one <= other
+            top[np.where(take, x, y)] = j
+            total = total + np.minimum(one, other)
+            step = take * k
+            x += step
+            y += k - step
+        nodes[inner_at + j * k : inner_at + j * k + a] = total
+    depth = np.zeros((longest, k), np.int64)
+    every = np.arange(k)
+    for j in range(longest - 3, -1, -1):
+        a = int(open_[j + 1])  # the last one is the root
+        depth[j, :a] = depth[top[inner_at + j * k : inner_at + j * k + a], every[:a]] + 1
+    deep = depth[top[place], row] + 1
+    out[rows[row], symbol] = deep
+    again = np.unique(rows[row[deep > most]])
+    if len(again):
+        out[again] = _lengths_many(counts[again] + 1 >> 1, most)
+    return out
+
+
+@functools.cache
+def _runs() -> tuple[np.ndarray, np.ndarray]:
+    """(bits, how many) by length and run, as _run() has them; 0 bits for long runs."""
+    known = [[_run(own, k) if k and (not own or k <= LONG_RUN) else (0, 0) for k in range(LARGEST + 1)] for own in range(MOST + 1)]
+    return tuple(np.array([[x[j] for x in line] for line in known]) for j in (0, 1))
+
+
+def _lay(words: np.ndarray, at: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+    """Puts numbers of up to 63 bits at rising places, in bits, into words."""
+    some = np.flatnonzero(sizes)
+    if len(some):
+        at, v = at[some], values[some].astype(np.uint64)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[start]] |= np.bitwise_or.reduceat(v << shift, start)
+        words[word[start] + 1] |= np.bitwise_or.reduceat(v >> np.uint64(1) >> np.uint64(63) - shift, start)
+
+
+def _within(sizes: np.ndarray, image: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each number begins among those of its image, all bits of each image)."""
+    total = np.bincount(image, sizes, count).astype(np.int64)
+    return np.cumsum(sizes) - sizes - (np.cumsum(total) - total)[image], total
+
+
+def _plain_bodies(joined: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """The bit streams of images, WIDE pixels wide, without transforms; none for what has a long run of lengths."""
+    count, begin = len(sizes), np.cumsum(sizes) - sizes
+    image, pixels = np.repeat(np.arange(count), sizes), joined | BLACK
+    found = [_copies(pixels[a : a + n]) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    of = np.repeat(np.arange(count), [len(x) for x in found])
+    copies = np.concatenate(found)
+    copies[:, 0] += begin[of]
+    covered = np.zeros(len(pixels) + 1, np.int64)
+    covered[copies[:, 0]] = 1
+    np.subtract.at(covered, copies[:, 0] + copies[:, 1], 1)
+    single = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    size, extra, n_extra = _prefix(copies[:, 1])
+    near = _near_codes(WIDE)
+    code = near[np.minimum(copies[:, 2], len(near) - 1)]
+    code = np.where((code > 0) & (copies[:, 2] < len(near)), code, copies[:, 2] + len(NEAR))
+    far, far_extra, n_far = _prefix(code)
+    slot = (CACHE_FACTOR * pixels & 0xFFFFFFFF) >> 32 - CACHE_BITS
+    last = _before((image << CACHE_BITS | slot).astype(np.uint16))
+    hit = ((last >= 0) & (pixels[last] == pixels))[single]
+    who = image[single]
+    cached = 8 * np.bincount(who[hit], minlength=count) > np.bincount(who, minlength=count)
+    hit &= cached[who]
+    own = pixels[single]
+    channels = [own >> s & 255 for s in (8, 16, 0, 24)]
+    channels[0] = np.where(hit, LITERALS + LENGTH_CODES + slot[single], channels[0])
+    # Symbols of all codes of all images in one row of numbers.
+    counts = np.zeros(count * CODES * LARGEST, np.int64)
+    base, copy_base, literal = who * (CODES * LARGEST), of * (CODES * LARGEST), np.flatnonzero(~hit)
+    for k in ([base + channels[0], copy_base + LITERALS + size, copy_base + 4 * LARGEST + far] + [base[literal] + j * LARGEST + channels[j][literal] for j in (1, 2, 3)]):
+        counts += np.bincount(k, minlength=len(counts))
+    lengths = _lengths_many(counts.reshape(-1, LARGEST), MOST)
+    kinds = np.count_nonzero(lengths, 1)
+    low = np.argmax(lengths > 0, 1)
+    high = np.where(kinds > 0, LARGEST - 1 - np.argmax(lengths[:, ::-1] > 0, 1), 0)
+    simple = (kinds <= 2) & (high < 256)
+
+    alphabet = np.tile([LARGEST, LITERALS, LITERALS, LITERALS, DISTANCE_CODES], (count, 1))
+    alphabet[~cached, 0] = LITERALS + LENGTH_CODES
+    alphabet = alphabet.reshape(-1)
+    flat = lengths[np.arange(LARGEST) < alphabet[:, None]]
+    start = np.cumsum(alphabet) - alphabet
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    new[start] = True
+    at = np.flatnonzero(new)
+    run, which = np.diff(at, append=len(flat)), np.repeat(np.arange(len(alphabet)), np.add.reduceat(new, start, dtype=np.int64))
+    keep = ~simple[which]
+    at, run, which = at[keep], run[keep], which[keep]
+    value_of, size_of = _runs()
+    long = np.bincount(which[(flat[at] > 0) & (run > LONG_RUN)] // CODES, minlength=count) > 0
+
+    # Sizes and switches of each image, then what each code begins with, then its runs.
+    stated, n_stated, _ = _stated()
+    begins = np.where(simple, 5 | (kinds == 2) << 1 | low << 3 | np.where(kinds == 2, high << 11, 0), stated)
+    n_begins = np.where(simple, np.where(kinds == 2, 19, 11), n_stated)
+    head = WIDE - 1 | sizes // WIDE - 1 << 14 | np.where(cached, 1 | CACHE_BITS << 1, 0) << 33
+    order = np.argsort(np.concatenate([CODES * np.arange(count), np.arange(len(alphabet)), which]).astype(np.uint16), kind="stable")
+    value = np.concatenate([head, begins, value_of[flat[at], run]])[order]
+    taken = np.concatenate([np.where(cached, 39, 35), n_begins, size_of[flat[at], run]])[order]
+    holder = np.concatenate([np.arange(count), np.arange(len(alphabet)) // CODES, which // CODES])[order]
+
+    flat *= np.repeat(kinds > 1, alphabet)
+    codes, start = _code_values(flat, start), start.reshape(-1, CODES)
+    # A pixel's or copy's codes in one number, as in _put_image(); all alphas are the same, which takes no bits.
+    values, bits = np.zeros(len(pixels), np.int64), np.zeros(len(pixels), np.int64)
+    k = start[who, 0] + channels[0]
+    own, n = codes[k], flat[k]
+    for j in (1, 2):
+        k = start[who, j] + channels[j]
+        own |= np.where(hit, 0, codes[k]) << n
+        n += np.where(hit, 0, flat[k])
+    values[single], bits[single] = own, n
+    k = start[of, 0] + LITERALS + size
+    own, n = codes[k], flat[k]
+    k = start[of, 4] + far
+    for more, n_more in ((extra, n_extra), (codes[k], flat[k]), (far_extra, n_far)):
+        own |= more << n
+        n += n_more
+    values[copies[:, 0]], bits[copies[:, 0]] = own, n
+
+    (place, n_head), (pixel_place, n_pixels) = _within(taken, holder, count), _within(bits, image, count)
+    taking = n_head + n_pixels + 7 >> 3
+    end = np.cumsum(taking)
+    first = 8 * (end - taking)
+    words = np.zeros(int(end[-1]) // 8 + 2, "<u8")
+    _lay(words, first[holder] + place, value, taken)
+    _lay(words, (first + n_head)[image] + pixel_place, values, bits)
+    raw = words.tobytes()
+    return [None if x else raw[b - t : b] for x, b, t in zip(long.tolist(), end.tolist(), taking.tolist(), strict=True)]
+
+
+def encode_many(images: list[np.ndarray]) -> list[bytes]:
+    """encode_rgb() of images of store(), each with its turn: those that surely take no transform together, others by themselves."""
+    count, sizes = len(images), np.array([len(x) * WIDE for x in images])
+    turns = np.array([zlib.crc32(x) % TURNS for x in images])
+    rgb = np.concatenate([x.reshape(-1, 3) for x in images]).astype(np.int64)
+    image = np.repeat(np.arange(count), sizes)
+    joined = rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2]
+    # The estimates of _cost(), of all images.
+    times = np.arange(sizes.max() + 1)
+    dear = times * np.log2(np.maximum(times, 1))
+    plain = 3 * dear[sizes]
+    for k in range(3):
+        seen = np.bincount(image << 8 | rgb[:, k], minlength=count << 8).reshape(count, 256)
+        plain += 6 * np.count_nonzero(seen, 1) - dear[seen].sum(1)
+    keys = np.sort(image << 24 | joined)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    of = keys[new] >> 24
+    kinds = np.bincount(of, minlength=count)
+    palette = dear[sizes] - np.bincount(of, dear[np.diff(new, append=len(keys))], count) + 26 * kinds
+    near = 1e-6 * plain  # what is so near to another choice is left to encode_rgb()
+    alone = (turns == PREDICTED) | (turns == CROSSED) | (plain + near > 3 * BUSY * sizes) | ((kinds <= 256) & (palette < plain + near))
+    bodies: list[bytes | None] = [None] * count
+    together = np.flatnonzero(~alone)
+    if len(together):
+        for k, body in zip(together.tolist(), _plain_bodies(joined[~alone[image]], sizes[together]), strict=True):
+            bodies[k] = body
+    return [encode_rgb(x, int(t)) if b is None else _file_of(b"\x2f" + b) for x, t, b in zip(images, turns, bodies, strict=True)]
+
+
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """store() of many payloads, their images written together."""
+    held: list[np.ndarray] = []
+    whose, files, pixels = [], [], 0
+    for k, payload in enumerate(payloads):
+        rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDE, 3)
+        for a in range(0, len(rows), TALLEST):
+            held.append(rows[a : a + TALLEST])
+            whose.append(k)
+            pixels += held[-1].size // 3
+            if len(held) >= TOGETHER or pixels >= TOGETHER_PIXELS:
+                files += encode_many(held)
+                held, pixels = [], 0
+    if held:
+        files += encode_many(held)
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for k, file in zip(whose, files, strict=True):
+        out[k].append(file)
+    return [b"".join(x) for x in out]
+
+
 def load(media: bytes) -> np.ndarray:
     """The rows that store() wrote, all files together: rows x 64 x 3."""
     parts, at = [], 0
@@ -802,7 +1033,7 @@ def load(media: bytes) -> np.ndarray:
 
 # Many images at once: the same steps as above, each taken for all streams together.
 
-LOCKSTEP_PIXELS, LOCKSTEP_CELLS = 1 << 14, 1 << 23  # of an image and of all code tables that are decoded so
+LOCKSTEP_PIXELS, LOCKSTEP_CELLS = 1 << 14, 1 << 26  # of an image and of all code tables that are decoded so
 
 
 class Streams:
@@ -833,29 +1064,37 @@ class Streams:
             raise ValueError("the stream ends too early")
 
 
-def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells, start, mask): the tables of many codes, rows of lengths by symbol, in one array of symbol << 4 | length."""
+def _tables(lengths: np.ndarray, room: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, start, mask): the tables of many codes, rows of lengths by symbol, in one array of symbol << 4 | length;
+    raises Crowded if that is more than `room` cells."""
     count = np.count_nonzero(lengths, 1)
     most = np.where(count > 1, lengths.max(1), 0).astype(np.int64)
     size = 1 << most
-    start = np.cumsum(size) - size
+    if size.sum() > room:
+        raise Crowded
+    by_most = np.argsort(most, kind="stable")  # tables of one size lie together
+    rank = np.empty_like(by_most)
+    rank[by_most] = np.arange(len(by_most))
+    start = np.empty_like(most)
+    start[by_most] = np.cumsum(size[by_most]) - size[by_most]
     row, symbol = np.nonzero(lengths)
     own = lengths[row, symbol].astype(np.int64)
-    order = np.argsort(row * 16 + own, kind="stable")
+    none = np.flatnonzero(count == 0)
+    row, symbol, own = (np.concatenate(x) for x in ((row, none), (symbol, 0 * none), (own, 0 * none)))
+    order = _by_two(rank[row], own) if len(lengths) < 65536 else np.argsort(rank[row] * 16 + own, kind="stable")
     row, symbol, own = row[order], symbol[order], own[order]
-    lone = count[row] == 1
+    lone = count[row] < 2
     times = np.where(lone, 1, 1 << np.maximum(most[row] - own, 0))
-    entries = np.repeat(symbol << 4 | np.where(lone, 0, own), times)
-    filled = np.bincount(row, times, len(lengths)).astype(np.int64)
-    if (filled[count > 0] != size[count > 0]).any():
+    if (np.bincount(row, times, len(lengths)) != size).any():
         raise ValueError("a prefix code is not complete")
-    cells = np.zeros(size.sum(), np.int32)
-    used = np.repeat(count > 0, size)
-    laid = np.zeros(len(cells), np.int32)
-    laid[used] = entries
+    cells = np.repeat((symbol << 4 | np.where(lone, 0, own)).astype(np.uint16), times)
     # Entries of the first bit first become entries in the order of the stream: places with their bits reversed.
-    place = np.arange(len(cells)) - np.repeat(start, size)
-    cells[:] = laid[np.repeat(start, size) + (REVERSED[15][place] >> np.repeat(15 - most, size))]
+    many, at = np.bincount(most, minlength=16).tolist(), 0
+    for k, n in enumerate(many):
+        end = at + (n << k)
+        if k > 1 and n:
+            cells[at:end] = cells[at:end].reshape(n, 1 << k)[:, REVERSED[k]].reshape(-1)
+        at = end
     return cells, start, size - 1
 
 
@@ -943,12 +1182,13 @@ def _images(s: Streams, which: np.ndarray, wide: np.ndarray, tall: np.ndarray, t
         raise Unfit  # groups of codes
     slots = np.where(bits > 0, 1 << bits, 0)
     sizes = [LITERALS + LENGTH_CODES + slots, *(np.full(len(w), n) for n in (LITERALS, LITERALS, LITERALS, DISTANCE_CODES))]
-    read = [_tables(_read_codes(s, w, n)) for n in sizes]
+    read, room = [], LOCKSTEP_CELLS
+    for n in sizes:
+        read.append(_tables(_read_codes(s, w, n), room))
+        room -= len(read[-1][0])
     s.check(w)
     if total[0] > LOCKSTEP_PIXELS:
         raise Unfit
-    if sum(len(c) for c, _, _ in read) > LOCKSTEP_CELLS:
-        raise Crowded
     (green, g0, gm), (red, r0, rm), (blue, b0, bm), (alpha, a0, am), (far, f0, fm) = read
     # A code of one symbol takes no bits: where all alphas are such, the channel is the same for all pixels of an image.
     still = alpha[a0].astype(np.int64) >> 4 << 24 if not am.any() else None
@@ -993,7 +1233,7 @@ def _images(s: Streams, which: np.ndarray, wide: np.ndarray, tall: np.ndarray, t
             else:
                 high = still[m]
             at[m] += um
-            row[m] = high | (e1 & 0xFF0) << 12 | (sm << 8 | e2 >> 4)
+            row[m] = high | (e1 >> 4).astype(np.int64) << 16 | (sm << 8 | e2 >> 4)
             if m is not d:
                 length = symbol >= LITERALS
                 hit = symbol >= LITERALS + LENGTH_CODES
@@ -1141,15 +1381,15 @@ def feature(pixels: np.ndarray) -> str:
     return f"{pixels.shape[1]}x{pixels.shape[0]} " + " ".join(f"{m:.3f}/{s:.3f}" for m, s in zip(mean, spread, strict=True))
 
 
-AT_ONCE = 6_000_000  # bytes of texts whose images are decoded together
+AT_ONCE, AT_LEAST = 12_000_000, 1_000  # bytes of texts whose images are decoded together; what each counts at least
 
 
 def _grouped(rows):
-    """Rows of (key, bytes) in lists of about AT_ONCE bytes."""
+    """Rows of (key, bytes) in lists of about AT_ONCE bytes; what is short or empty counts too, so that lists end."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[1])
+        size += max(len(row[1]), AT_LEAST)
         if size >= AT_ONCE:
             yield held
             held, size = [], 0
@@ -1162,7 +1402,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
     def run(rows):
         for held in _grouped(rows):
-            stored_ = [store(padded(text)) for _, text in held]
+            stored_ = store_many([padded(text) for _, text in held])
             for (doc_id, text), media, pixels in zip(held, stored_, load_many(stored_), strict=True):
                 back = np.ascontiguousarray(pixels).tobytes()
                 yield doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)
@@ -1172,7 +1412,12 @@ def stored(docs: DataFrame) -> DataFrame:
 
 def media(docs: DataFrame) -> DataFrame:
     """(doc_id, media binary): the stored form of every whole text."""
-    return map_rows(texts(docs), lambda rows: ((i, store(padded(t))) for i, t in rows), "doc_id long, media binary")
+
+    def run(rows):
+        for held in _grouped(rows):
+            yield from zip((doc_id for doc_id, _ in held), store_many([padded(text) for _, text in held]), strict=True)
+
+    return map_rows(texts(docs), run, "doc_id long, media binary")
 
 
 def pixels(stored_media: DataFrame) -> DataFrame:
