@@ -156,3 +156,13 @@ def test_orders_of_one_nation_meet_its_suppliers_together(spark, tmp_path):
     for r in rows:
         nations.setdefault(r.task, set()).add(r.s_suppkey % 25)
     assert len(nations) == 4 and max(map(len, nations.values())) <= 10
+
+
+def test_orders_of_every_status_meet_suppliers(spark, tmp_path):
+    from rollcall.queries import QUERIES
+
+    spark.sql("SELECT * FROM VALUES (1L, 'P'), (2L, 'F'), (3L, 'O'), (4L, NULL), (NULL, 'P'), (-3L, 'F') AS t(o_orderkey, o_orderstatus)").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT id AS s_suppkey, CAST(id AS INT) AS s_nationkey FROM range(25) UNION ALL SELECT NULL, 9 UNION ALL SELECT 30L, NULL UNION ALL SELECT 2L, 2").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = QUERIES["j15_array_containment"](spark, str(tmp_path)).collect()
+    want = [(1, 1), (1, 8), (2, 2), (2, 2), (2, 9), (2, None), (3, 3), (3, 10), (4, 4), (4, 11), (-3, 4)]
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
