@@ -166,3 +166,18 @@ def test_orders_of_every_status_meet_suppliers(spark, tmp_path):
     rows = QUERIES["j15_array_containment"](spark, str(tmp_path)).collect()
     want = [(1, 1), (1, 8), (2, 2), (2, 2), (2, 9), (2, None), (3, 3), (3, 10), (4, 4), (4, 11), (-3, 4)]
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+
+
+def test_files_of_orders_and_suppliers_pack(spark, tmp_path):
+    import glob
+    import os
+
+    from rollcall.queries import QUERIES
+
+    spark.sql("SELECT id AS o_orderkey, 'P' AS o_orderstatus FROM range(2500)").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT nullif(id, 77) AS s_suppkey, CAST(id % 25 AS INT) AS s_nationkey FROM range(25000)").write.parquet(str(tmp_path / "supplier.parquet"))
+    QUERIES["j15_array_containment"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    total = "SELECT count(*), count(s_suppkey), sum(CAST(xxhash64(o_orderkey, s_suppkey) AS DECIMAL(20, 0))) FROM {t}"
+    want = spark.sql("SELECT o_orderkey, s_suppkey FROM {o} JOIN {s} ON s_nationkey IN (o_orderkey % 25, (o_orderkey + 7) % 25)", o=spark.read.parquet(str(tmp_path / "orders.parquet")), s=spark.read.parquet(str(tmp_path / "supplier.parquet")))
+    assert spark.sql(total, t=spark.read.parquet(str(tmp_path / "out"))).first() == spark.sql(total, t=want).first()
+    assert sum(map(os.path.getsize, glob.glob(f"{tmp_path}/out/*.parquet"))) < 0.5 * 2500 * 2 * 1000
